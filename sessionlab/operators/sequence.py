@@ -18,7 +18,7 @@ from .stats import median_mad, quantiles, scale_0_100, top_k
 
 def exact_sum(x: Column) -> Column:
     """Sum whose result does not depend on the order of the rows, so that re-evaluated branches agree."""
-    return F.sum(x.cast("decimal(28,12)")).cast("double")
+    return F.sum(x.cast("decimal(28,16)")).cast("double")
 
 
 def session_steps(events: DataFrame, keys: Sequence[str], token: str) -> DataFrame:
@@ -146,7 +146,9 @@ def composite(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Seque
     n_ev = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
     p = F.col("c") / F.col("n")
     ent = counts.join(n_ev, list(keys)).groupBy(*keys).agg(exact_sum(-p * F.ln(p + eps)).alias("b3_entropy"))
-    s = materialize(seq.join(ent, list(keys)), "scores")
+    # Rounded, so that where the MAD is 0 the tiny eps divides real differences and not summation noise.
+    s = materialize(seq.join(ent, list(keys)).withColumns(
+        {c: F.round(c, 9) for c in ("b1_mnll", "b2_score", "b3_entropy")}), "scores")
     long = s.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).alias("x"))
                                               for i, c in enumerate(("b1_mnll", "b2_score", "b3_entropy"))])))
     mm = median_mad(long, [*part, "m"], "x")
@@ -202,3 +204,16 @@ def drill_entropy(events: DataFrame, scores: DataFrame, wanted: DataFrame, keys:
     rows = events.join(wanted.select(*keys), list(keys), "left_semi")
     return top_values(rows, keys, token, k, "top_tokens").join(
         scores.select(*keys, "entropy_session", "entropy_median_partition"), list(keys))
+
+
+REASONS = {"b1": "TRANSITIONS", "b2": "NGRAMS", "b3": "ENTROPY"}
+
+
+def sequence_summary(scores: DataFrame, model: str, k: int = 200, keys: Sequence[str] = SESSION_KEYS,
+                     part: Sequence[str] = PARTITION_KEYS) -> DataFrame:
+    """Ranked sessions of every partition with model type and reason."""
+    risk, what = F.col("risk_score_seq"), REASONS[model]
+    reason = F.when(risk >= 100, f"RARE_{what}").when(risk > 0, f"UNUSUAL_{what}").otherwise("TYPICAL")
+    return rank_sequences(scores, part, k).select(
+        *keys, "rank", "seq_raw", "risk_score_seq", "n_events", F.lit(model.upper()).alias("model_type"),
+        reason.alias("primary_reason_code"))
