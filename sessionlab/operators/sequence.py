@@ -116,8 +116,12 @@ MODELS = {"b1": markov, "b2": ngram_rarity, "b3": entropy_deviation}
 
 
 def with_risk(scores: DataFrame, part: Sequence[str] = PARTITION_KEYS, flat: str = "minmax") -> DataFrame:
-    """`risk_score_seq`: the raw score scaled by p50..p95 of its partition."""
-    scores = materialize(scores, "scores")
+    """`risk_score_seq`: the raw score scaled by p50..p95 of its partition.
+
+    Raw scores are rounded to 9 places first: sessions that are alike then have equal scores, and a flat
+    partition is seen as flat.
+    """
+    scores = materialize(scores.withColumn("seq_raw", F.round("seq_raw", 9)), "scores")
     return scale_0_100(scores, part, "seq_raw", "risk_score_seq", 0.50, 0.95, flat)
 
 

@@ -61,7 +61,7 @@ b3 AS (SELECT *, greatest(h, 0) AS entropy_session,
 def scaled(cte: str, flat: str) -> str:
     """Risk 0-100 of `seq_raw` of a CTE between p50 and p95 of its partition."""
     instead = "0" if flat == "zero" else "CASE WHEN hi > lo THEN (seq_raw - lo) / (hi - lo) * 100 ELSE 0 END"
-    return f"""fx AS (SELECT * REPLACE (round(seq_raw, 12) AS seq_raw) FROM {cte}),
+    return f"""fx AS (SELECT * REPLACE (round(seq_raw, 9) AS seq_raw) FROM {cte}),
 sc AS (SELECT *, greatest(0, least(100,
       CASE WHEN p95 > p50 THEN (seq_raw - p50) / (p95 - p50) * 100 ELSE {instead} END)) AS risk_score_seq
   FROM fx JOIN (SELECT {PART}, quantile_cont(seq_raw, 0.5) AS p50, quantile_cont(seq_raw, 0.95) AS p95,
@@ -120,10 +120,11 @@ d AS (SELECT {PART}, any_value(m1) AS m1, any_value(m2) AS m2, any_value(m3) AS
   quantile_cont(abs(b2_score - m2), 0.5) AS d2, quantile_cont(abs(b3_entropy - m3), 0.5) AS d3 FROM a JOIN m USING (client_name, day) GROUP BY ALL),
 z AS (SELECT a.*, (b1_mnll - m1) / (1.4826::DOUBLE * (d1 + 1e-9)) AS b1_z, (b2_score - m2) / (1.4826::DOUBLE * (d2 + 1e-9)) AS b2_z,
   abs((b3_entropy - m3) / (1.4826::DOUBLE * (d3 + 1e-9))) AS b3_z FROM a JOIN d USING (client_name, day))
-SELECT {KEYS}, {r6('b1_mnll')} AS b1_mnll, {r6('b2_score')} AS b2_score, {r6('b3_entropy')} AS b3_entropy, {r6('b1_z')} AS b1_z,
-  {r6('b2_z')} AS b2_z, {r6('b3_z')} AS b3_z, {r6('greatest(b1_z, 0) + greatest(b2_z, 0) + b3_z')} AS b_risk FROM z""")
+SELECT {KEYS}, {r6('b1_mnll')} AS b1_mnll, {r6('b2_score')} AS b2_score, {r6('b3_entropy')} AS b3_entropy, round(b1_z, 3) + 0.0 AS b1_z,
+  round(b2_z, 3) + 0.0 AS b2_z, round(b3_z, 3) + 0.0 AS b3_z, round(greatest(b1_z, 0) + greatest(b2_z, 0) + b3_z, 3) + 0.0 AS b_risk FROM z""")
 def b_composite(spark, sf):
-    return S.composite(X.weekly_events(spark, sf))
+    return S.composite(X.weekly_events(spark, sf)).withColumns(
+        {c: F.round(c, 3) for c in ("b1_z", "b2_z", "b3_z", "b_risk")})
 
 
 @query("transition_counts", f"""WITH {STEPS}
