@@ -55,6 +55,10 @@ def score_in_chunks(df: DataFrame, model: DataFrame, scope: Sequence[str], keys:
 
     def run(rows: pa.Table, fitted: pa.Table) -> pa.Table:
         out = rows.select(names)
+        # Arrow hands timestamps over in the session's zone and wants them back in UTC.
+        out = out.cast(pa.schema([
+            pa.field(f.name, pa.timestamp("us", tz="UTC")) if pa.types.is_timestamp(f.type) and f.type.tz else f
+            for f in out.schema]))
         for name, values in score(rows, fitted).items():
             out = out.append_column(name, values)
         return out

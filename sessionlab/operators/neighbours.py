@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..staging import materialize
-from .forest import _matrix, keys_apart
+from .forest import matrix, keys_apart
 from .models import draw_samples, score_in_chunks
 
 BLOCK = 1024
@@ -64,7 +64,7 @@ def lof(features: DataFrame, scope: Sequence[str], keys: Sequence[str], columns:
     def score(rows: pa.Table, fitted: pa.Table) -> dict[str, pa.Array]:
         order = np.argsort(fitted.column("_ref").to_numpy())
         sample_x = np.array(fitted.column("_x").to_pylist(), dtype=float)[order]
-        values = local_outlier_factors(_matrix(rows, columns), rows.column("_id").to_numpy(), sample_x,
+        values = local_outlier_factors(matrix(rows, columns), rows.column("_id").to_numpy(), sample_x,
                                        fitted.column("_ref").to_numpy()[order], k)
         return {"lof": pa.array(values)}
 
