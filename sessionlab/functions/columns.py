@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -249,12 +251,7 @@ def stable_bucket(text: Column, buckets: int = 100) -> Column:
 
 def blake_bucket(text: Column, buckets: int = 100) -> Column:
     """As `stable_bucket` with blake2b-64, for splits that must agree with ones made earlier that way."""
-    import hashlib
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("int")
+    @F.pandas_udf("int")
     def bucket(s: pd.Series) -> pd.Series:
         return s.map(lambda v: int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big") % buckets)
 

@@ -361,3 +361,44 @@ SELECT client_name, user_id, count(*) FILTER (duration_sec <= 172800 AND rate_li
 def evasive_users(spark, sf):
     ev = spec_events(spark, sf).select(*SESSION_KEYS, "seq_no", "event_time", "route_group", "outcome")
     return R.evasive_users(R.rule_features(ev, SESSION_KEYS, X.START, RULE_END, window_s=W), ("client_name", "user_id"), 172800.0, 1)
+
+
+@query("rule_details", f"""WITH {SESSIONS}, {RULES}, h AS (SELECT {KEYS}, unnest([
+    {{'t': 'BURST', 'ok': bu, 'v': CAST(peak30s AS DOUBLE)}}, {{'t': 'ERROR_HEAVY', 'ok': eh, 'v': error_rate}}, {{'t': 'EXTREME_BURST', 'ok': xb, 'v': CAST(peak30s AS DOUBLE)}},
+    {{'t': 'LONG_DURATION', 'ok': duration_sec >= 7200, 'v': duration_sec}}, {{'t': 'NORMAL_LONG_SESSION_HINT', 'ok': calm, 'v': duration_sec}},
+    {{'t': 'POLICY_PRESSURE', 'ok': rh AND (route_skew >= 0.8 OR bu), 'v': rate_limited_rate}}, {{'t': 'RATE_LIMIT_HEAVY', 'ok': rh, 'v': rate_limited_rate}},
+    {{'t': 'RETRY_STORM', 'ok': (rh OR eh) AND bu, 'v': CAST(peak30s AS DOUBLE)}}, {{'t': 'ROUTE_SKEW', 'ok': route_skew >= 0.9, 'v': route_skew}},
+    {{'t': 'SINGLE_ROUTE_LOOP', 'ok': route_skew >= 0.95 AND n_events >= 20, 'v': route_skew}}, {{'t': 'TIME_UNRELIABLE', 'ok': NOT time_valid, 'v': CAST(time_unreliable_count AS DOUBLE)}}]) AS x, s_error, raw2 FROM rt)
+SELECT {KEYS}, x.t AS tag, {r6('x.v')} AS value, {r6('s_error')} AS s_error, 0.35::DOUBLE AS w_error, {r6('raw2')} AS raw FROM h WHERE x.ok""")
+def rule_details(spark, sf):
+    r = rule_rows(spark, sf).withColumn("b", R.component_breakdown())
+    return r.select(*SESSION_KEYS, F.inline("threshold_hits"), "b").select(
+        *SESSION_KEYS, "tag", "value", F.col("b.s_error").alias("s_error"), F.col("b.weights")["s_error"].alias("w_error"),
+        F.col("b.risk_score_v2_raw").alias("raw"))
+
+
+@query("review_log", f"""WITH {SESSIONS}, {RULES}, r AS (SELECT *, row_number() OVER (PARTITION BY client_name ORDER BY round(risk_score_v2, 9) DESC, session_key, user_id) AS rank FROM ra)
+SELECT client_name || '/' || user_id || '/' || session_key AS review_id, day, user_id AS user_id_norm, session_key AS session_id_norm, rank, {r6('risk_score_v2')} AS risk_score_v2, label_suggested AS label,
+  primary_reason_code AS reason_code, 'auto_accept' AS label_source FROM r WHERE rank <= 25""")
+def review_log(spark, sf):
+    import uuid
+
+    from ..operators.stats import top_k
+    from ..sources.writers import append_reviews
+    from ..staging import shared_dir
+    r = rule_rows(spark, sf).withColumn("risk_score_v2", F.round("risk_score_v2", 9))
+    top = top_k(r, ["client_name"], [F.desc("risk_score_v2"), F.asc("session_key"), F.asc("user_id")], 25)
+    log = top.select(F.concat_ws("/", "client_name", "user_id", "session_key").alias("review_id"), "day", F.col("user_id").alias("user_id_norm"),
+                     F.col("session_key").alias("session_id_norm"), "rank", "risk_score_v2", "risk_tags", F.col("label_suggested").alias("label"),
+                     F.col("primary_reason_code").alias("reason_code"), F.lit("auto_accept").alias("label_source"))
+    path = f"{shared_dir(spark)}/reviews-{uuid.uuid4().hex}"
+    append_reviews(log, path)
+    return spark.read.parquet(path).select("review_id", "day", "user_id_norm", "session_id_norm", "rank", "risk_score_v2", "label", "reason_code", "label_source")
+
+
+@query("excluded", """WITH a AS (SELECT o_orderkey, count(l_orderkey) FILTER (l_discount >= 0.09) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT o_orderkey, 'EMPTY_SESSION' AS exclude_reason, 'EMPTY_SESSION' AS risk_tags, n AS min_len FROM a WHERE n = 0""")
+def excluded(spark, sf):
+    li = X.read(spark, sf, "lineitem").where(F.col("l_discount") >= 0.09).groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("items"))
+    o = X.read(spark, sf, "orders").select("o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return R.excluded(o, ["o_orderkey"], ["items"]).select("o_orderkey", "exclude_reason", "risk_tags", F.col("explode_meta.min_len").alias("min_len"))

@@ -148,3 +148,20 @@ def ranked_tags(spark, sf):
     f = Z.session_features(ev).select(*SESSION_KEYS, "duration_s")
     dd = D.drilldown(ev, top, window_s=W)
     return R.with_ranked_tags(D.with_details(top.join(f, list(SESSION_KEYS)), dd)).select(*SESSION_KEYS, "risk_tags", "why_ranked", "timeline_1line")
+
+
+@query("ranked_summary", f"""WITH {TAGGED}, {FEATURES_SQL},
+sc AS (SELECT *, CAST(n_events AS DOUBLE) AS x FROM feat), q AS (SELECT quantile_cont(x, 0.01) AS p1, quantile_cont(x, 0.99) AS p99, count(*) AS n FROM sc),
+rk AS (SELECT {KEYS}, n_events, feat_d AS duration_s, (rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2) / n * 100 AS risk_pct, greatest(0, least(100, (x - p1) / (p99 - p1) * 100)) AS risk_score
+  FROM (SELECT *, duration_s AS feat_d FROM sc), q)
+SELECT {KEYS}, round(risk_pct, 6) + 0.0 AS risk_pct, round(risk_score, 6) + 0.0 AS risk_score, n_events, rk.duration_s, n_events_dd, n_tokens_dd, error_rate_dd, token_top3, route_skew_pct, top_error_route, timeline_1line
+FROM rk JOIN tg USING ({KEYS})""")
+def ranked_summary(spark, sf):
+    """The whole way to the summary with the number of events as score, which makes it checkable."""
+    ev = X.session_events(spark, sf)
+    f = Z.session_features(ev).withColumn("x", F.col("n_events").cast("double")).withColumn("anomaly_score", F.col("x")).withColumn("scope", F.lit("all").substr(F.lit(1), F.length("user_id") + 3))
+    f = materialize(f, "features")
+    s = St.percent_rank(St.scale_0_100(f, ["scope"], "x", "risk_score", 0.01, 0.99, "rank"), ["scope"], "x", "risk_pct")
+    summary, _ = A.summarize(s, ev, 100, ("scope",), W)
+    return summary.select(*SESSION_KEYS, "risk_pct", "risk_score", "n_events", "duration_s", "n_events_dd", "n_tokens_dd", "error_rate_dd",
+                          "token_top3", "route_skew_pct", "top_error_route", "timeline_1line")

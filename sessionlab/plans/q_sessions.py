@@ -157,3 +157,32 @@ SELECT client_name, count(*) AS n FROM base WHERE client_name IN ('client_1', 'c
 def client_filter(spark, sf):
     return X.base_events(spark, sf).where(F.col("client_name").isin("client_1", "client_3")) \
         .groupBy("client_name").agg(F.count("*").alias("n"))
+
+
+@query("spec_route", f"""WITH {RAW} SELECT observation_id, CASE WHEN k % 5 = 0 THEN 'UNKNOWN_ROUTE' WHEN coalesce(route, '') <> '' THEN route ELSE obs_name END AS route FROM (
+  SELECT observation_id, CASE WHEN k % 5 <> 0 THEN route END AS route, obs_name, k FROM named)""")
+def spec_route(spark, sf):
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    ids = X.read(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), k.alias("k"))
+    o = X.observations(spark, sf).join(ids, "id")
+    gone = F.col("k") % 5 == 0
+    return o.select(F.col("id").alias("observation_id"), C.route_or_name(
+        F.when(gone, "  ").otherwise(F.col("metadata")[C.META_ROUTE]), F.when(gone, "").otherwise(F.col("name"))).alias("route"))
+
+
+@query("token_repair", """SELECT doc_id, CASE WHEN trim(source) = 'web' THEN 'crawl' WHEN trim(lang) = 'en' THEN 'english' ELSE lang END AS fixed FROM (SELECT doc_id, source, lang FROM documents)
+  WHERE 1 = 1""")
+def token_repair(spark, sf):
+    d = X.read(spark, sf, "documents")
+    return d.select("doc_id", F.when(F.trim("source") == "web", C.repair(F.concat(F.lit(" "), "source"), {"web": "crawl"}))
+                    .otherwise(C.repair(F.concat("lang", F.lit("  ")), {"en": "english"})).alias("fixed"))
+
+
+@query("parsed_times", """WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderkey % 3 = 0 AS bad FROM orders)
+SELECT o_orderkey, d || ' 01:02:03' AS first, CASE WHEN bad THEN '-' ELSE d || ' 00:00:00' END AS second, 2 AS n FROM o""")
+def parsed_times(spark, sf):
+    d = F.date_format("o_orderdate", "yyyy-MM-dd")
+    raw = F.array(F.concat(d, F.lit(" 01:02:03")), F.when(F.col("o_orderkey") % 3 == 0, "no time").otherwise(d))
+    t = X.read(spark, sf, "orders").select("o_orderkey", C.parse_times(raw).alias("t"))
+    text = [F.coalesce(F.date_format(F.col("t")[i], "yyyy-MM-dd HH:mm:ss"), F.lit("-")) for i in (0, 1)]
+    return t.select("o_orderkey", text[0].alias("first"), text[1].alias("second"), F.size("t").alias("n"))
