@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from ..profiles import IMPL, Profile
 from ..staging import materialize
-from .models import draw_samples, score_in_chunks
-from .stats import percent_rank, scale_0_100
+from .models import draw_samples, scope_sizes, score_in_chunks
+from .stats import hygiene, percent_rank, scale_0_100
 
 BATCH = 25          # trees grown together in one call
 ROWS = 4096         # rows walked down a batch of trees at a time
@@ -90,11 +90,11 @@ def walk(x: np.ndarray, nodes: dict[str, np.ndarray], trees: int) -> np.ndarray:
 
 
 def grow_forest(features: DataFrame, scope: Sequence[str], keys: Sequence[str], columns: Sequence[str],
-                trees: int, sample: int = 256, seed: int = 42) -> DataFrame:
+                trees: int, sample: int = 256, seed: int = 42, sizes: DataFrame | None = None) -> DataFrame:
     """The trees of every scope, a batch of them per row."""
     scope = list(scope)
     x = features.select(*scope, *keys_apart(keys, scope), F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
-    drawn = draw_samples(x, scope, keys, sample, trees, seed).withColumn("batch", (F.col("draw") / BATCH).cast("int"))
+    drawn = draw_samples(x, scope, keys, sample, trees, seed, sizes).withColumn("batch", (F.col("draw") / BATCH).cast("int"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "_place"])
@@ -120,7 +120,7 @@ def matrix(rows: pa.Table, columns: Sequence[str]) -> np.ndarray:
 
 
 def score_forest(features: DataFrame, forest: DataFrame, scope: Sequence[str], keys: Sequence[str],
-                 columns: Sequence[str], out: str = "if_raw") -> DataFrame:
+                 columns: Sequence[str], out: str = "if_raw", sizes: DataFrame | None = None) -> DataFrame:
     """Append 2^(-mean depth / expected depth): near 1 for rows that are cut off early."""
     columns = list(columns)
     names = ["feature", "threshold", "left", "right", "depth"]
@@ -134,19 +134,20 @@ def score_forest(features: DataFrame, forest: DataFrame, scope: Sequence[str], k
         norm = max(float(expected_depth(psi)), 1e-12)
         return {out: pa.array(np.power(2.0, -(total / max(used, 1)) / norm))}
 
-    return score_in_chunks(features, forest, scope, keys, score, T.StructType([T.StructField(out, T.DoubleType())]))
+    return score_in_chunks(features, forest, scope, keys, score, T.StructType([T.StructField(out, T.DoubleType())]), sizes=sizes)
 
 
 def rank_by_forest(features: DataFrame, scope: Sequence[str] = ("day",), keys: Sequence[str] = (), profile: Profile = IMPL,
                    columns: Sequence[str] | None = None) -> DataFrame:
     """Fit and score in one go: `if_raw`, `anomaly_score`, `risk_score` (or `risk_score_if`) and `risk_pct`.
 
-    The features are written once and then read for counting, drawing and scoring.
+    The features are written once and then read for cleaning, counting, drawing and scoring.
     """
     columns = columns or profile.features
-    staged = materialize(features, "features")
-    forest = grow_forest(staged, scope, keys, columns, profile.trees, profile.sample, profile.seed)
-    scored = materialize(score_forest(staged, forest, scope, keys, columns), "scores")
+    clean = hygiene(materialize(features, "features"), scope, columns)
+    sizes = scope_sizes(clean, scope)
+    forest = grow_forest(clean, scope, keys, columns, profile.trees, profile.sample, profile.seed, sizes)
+    scored = materialize(score_forest(clean, forest, scope, keys, columns, sizes=sizes), "scores")
     scored = scored.withColumn("anomaly_score", F.col("if_raw") - 0.5)
     name, flat = ("risk_score", "rank") if profile.name == "impl" else ("risk_score_if", "zero")
     return percent_rank(scale_0_100(scored, scope, "if_raw", name, *profile.scale, flat), scope, "if_raw", "risk_pct")

@@ -14,37 +14,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import small_side
+
 CHUNK_ROWS = 50_000
 _SPACE = 2 ** 50
 
 
 def scope_sizes(df: DataFrame, scope: Sequence[str]) -> DataFrame:
-    return df.groupBy(*scope).agg(F.count("*").alias("_n"))
+    """Rows per scope, ready to be joined to the rows without moving them."""
+    return small_side(df.groupBy(*scope).agg(F.count("*").alias("_n")))
 
 
-def draw_samples(df: DataFrame, scope: Sequence[str], keys: Sequence[str], size: int, draws: int = 1, seed: int = 42) -> DataFrame:
-    """`draws` independent samples of at most `size` rows per scope: the input rows with a column `draw`.
+def draw_samples(df: DataFrame, scope: Sequence[str], keys: Sequence[str], size: int, draws: int = 1, seed: int = 42,
+                 sizes: DataFrame | None = None) -> DataFrame:
+    """`draws` samples of at most `size` rows per scope: the input rows with a column `draw`.
 
-    Each row decides by hash in which draws it takes part, at a rate slightly above what is needed; then the
-    lowest hashes of each draw are kept. Row order and partitioning do not matter.
+    A row needs to be in about `rate * draws` of the draws. It therefore gets that many tickets (one, in a
+    large scope), each falling at random into its own stretch of the draws and kept at the remaining rate; then
+    the lowest hashes of each draw stay. Row order and partitioning do not matter.
     """
     rate = F.least(F.lit(1.0), F.lit(1.3 * size) / F.col("_n"))
+    sized = df.join(sizes if sizes is not None else scope_sizes(df, scope), list(scope)).withColumns(
+        {"_rate": rate * draws, "_tickets": F.ceil(rate * draws).cast("int")})
 
-    def ticket(d):
-        return F.pmod(F.xxhash64(*keys, d, F.lit(seed)), F.lit(_SPACE))
+    def spot(i):
+        u = F.pmod(F.xxhash64(*keys, i, F.lit(seed)), F.lit(_SPACE)) / float(_SPACE)
+        return (i + u) * draws / F.col("_tickets")
 
-    hits = F.filter(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: ticket(d) < rate * float(_SPACE))
-    rows = (df.join(scope_sizes(df, scope), list(scope)).withColumn("draw", F.explode(hits))
-            .withColumn("_ticket", ticket(F.col("draw"))))
+    spots = F.transform(F.sequence(F.lit(0), F.col("_tickets") - 1), spot)
+    rows = (sized.withColumn("_spot", F.explode(spots)).withColumn("draw", F.floor("_spot").cast("int"))
+            .where(F.col("_spot") - F.col("draw") < F.col("_rate") / F.col("_tickets"))
+            .withColumn("_ticket", F.xxhash64(*keys, "draw", F.lit(seed + 1))))
     w = Window.partitionBy(*scope, "draw").orderBy("_ticket", *keys)
-    return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= size).drop("_n", "_ticket")
+    return (rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= size)
+            .drop("_n", "_rate", "_tickets", "_spot", "_ticket"))
 
 
 def score_in_chunks(df: DataFrame, model: DataFrame, scope: Sequence[str], keys: Sequence[str],
                     score: Callable[[pa.Table, pa.Table], dict[str, pa.Array]], added: T.StructType,
-                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                    chunk_rows: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Append the columns `score(rows, model_rows)` computes to every row of `df`."""
-    sizes = scope_sizes(df, scope).select(*scope, F.ceil(F.col("_n") / chunk_rows).cast("int").alias("_chunks"))
+    sizes = (sizes if sizes is not None else scope_sizes(df, scope)).select(
+        *scope, F.ceil(F.col("_n") / (chunk_rows or CHUNK_ROWS)).cast("int").alias("_chunks"))
     left = df.join(sizes, list(scope)).withColumn(
         "_chunk", F.pmod(F.xxhash64(*keys), F.col("_chunks").cast("long")).cast("int")).drop("_chunks")
     # Fresh column identities: the model may have been fitted on `df` itself.

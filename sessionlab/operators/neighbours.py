@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..staging import materialize
 from .forest import matrix, keys_apart
-from .models import draw_samples, score_in_chunks
+from .models import draw_samples, scope_sizes, score_in_chunks
 
 BLOCK = 1024
 
@@ -59,7 +59,8 @@ def lof(features: DataFrame, scope: Sequence[str], keys: Sequence[str], columns:
     columns = list(columns)
     staged = materialize(features.withColumn("_id", F.xxhash64(*keys)), "features")
     x = staged.select(*scope, *keys_apart(keys, scope), "_id", F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
-    ref = draw_samples(x, scope, keys, sample, 1, seed).select(*scope, F.col("_id").alias("_ref"), "_x")
+    sizes = scope_sizes(staged, scope)
+    ref = draw_samples(x, scope, keys, sample, 1, seed, sizes).select(*scope, F.col("_id").alias("_ref"), "_x")
 
     def score(rows: pa.Table, fitted: pa.Table) -> dict[str, pa.Array]:
         order = np.argsort(fitted.column("_ref").to_numpy())
@@ -69,4 +70,4 @@ def lof(features: DataFrame, scope: Sequence[str], keys: Sequence[str], columns:
         return {"lof": pa.array(values)}
 
     added = T.StructType([T.StructField("lof", T.DoubleType())])
-    return score_in_chunks(staged, ref, scope, keys, score, added).drop("_id")
+    return score_in_chunks(staged, ref, scope, keys, score, added, sizes=sizes).drop("_id")

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import small_side
+
 GRID = 4096.0
 FINEST = 1e-9
 
@@ -116,7 +118,7 @@ def hygiene(df: DataFrame, part: Sequence[str], features: Sequence[str], cap: fl
     if cap is None:
         tops = num.groupBy(*part).agg(*[F.max(F.when((F.col(f) != inf) & (F.col(f) != ninf), F.col(f))).alias(f"_top_{f}")
                                         for f in features])
-        num = num.join(tops, list(part))
+        num = num.join(small_side(tops), list(part))
         top = {f: F.coalesce(F.col(f"_top_{f}"), F.lit(0.0)) for f in features}
     else:
         top = {f: F.lit(float(cap)) for f in features}
@@ -127,7 +129,7 @@ def hygiene(df: DataFrame, part: Sequence[str], features: Sequence[str], cap: fl
 def scale_0_100(df: DataFrame, part: Sequence[str], value: str, out: str, lo: float, hi: float, flat: str = "zero") -> DataFrame:
     """Map quantile `lo` to 0 and `hi` to 100 and clip; when both are equal: 0, min-max, or percent rank."""
     q = quantiles(df, part, value, {"_qlo": lo, "_qhi": hi, "_qmin": 0.0, "_qmax": 1.0})
-    x = df.join(q.drop("n_values"), list(part), "left")
+    x = df.join(small_side(q.drop("n_values")), list(part), "left")
     v, a, b = F.col(value), F.col("_qlo"), F.col("_qhi")
     if flat == "minmax":
         span = F.col("_qmax") - F.col("_qmin")

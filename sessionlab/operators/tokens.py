@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -70,10 +70,10 @@ def token_rows(events: DataFrame, version: str, keys: Sequence[str] = SESSION_KE
         ev = last_known(ev, keys, "seq_no", F.col("event_time"), "_prev")
     cells = _event_tokens(version)
     width = len(cells)
+    # Each task keeps the last few events of a session it has seen before anything is shuffled.
+    ev = top_k(ev, keys, [F.desc("seq_no")], max_len // width + 2, "_back")
+    ev = ev.withColumn("_n", F.max("seq_no").over(Window.partitionBy(*keys)) + 1)
     total = F.col("_n") * width + 2
-    sizes = events.groupBy(*keys).agg(F.count("*").alias("_n"))
-    # The last token of an event sits at (seq_no + 1) * width; EOS comes right after the last event.
-    ev = ev.join(sizes, list(keys)).where((F.col("seq_no") + 1) * width + 1 >= total - max_len)
     first, last = F.col("seq_no") == 0, F.col("seq_no") == F.col("_n") - 1
     start = 1 + F.col("seq_no") * width
     items = [F.when(first, F.struct(F.lit(0).cast("long").alias("pos"), F.lit("BOS").alias("token")))]

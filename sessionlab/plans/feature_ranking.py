@@ -11,7 +11,6 @@ from ..operators import drilldown as D
 from ..operators.explain import why_top
 from ..operators.forest import rank_by_forest
 from ..operators.risk import with_ranked_tags
-from ..operators.stats import hygiene
 from ..profiles import IMPL, Profile
 from ..schema import SESSION_KEYS
 from ..staging import materialize
@@ -24,7 +23,7 @@ SUMMARY = ("risk_pct", "risk_score", "anomaly_score", *SESSION_KEYS, "n_events",
 
 def score_features(features: DataFrame, scope: Sequence[str] = ("day",), profile: Profile = IMPL,
                    keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
-    return rank_by_forest(hygiene(features, scope, profile.features), scope, keys, profile)
+    return rank_by_forest(features, scope, keys, profile)
 
 
 def highest(scored: DataFrame, k: int, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:

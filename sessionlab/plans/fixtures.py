@@ -34,9 +34,9 @@ def _client() -> F.Column:
         F.concat(F.lit("client_"), (F.col("user_id") % 4).cast("string")))
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traces(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     week = F.floor((F.dayofmonth("ts") - 1) / 7).cast("string")
-    return _events(spark, sf_dir).select(
+    return (events if events is not None else _events(spark, sf_dir)).select(
         F.lit("p0").alias("project_id"), F.col("event_id").cast("string").alias("id"),
         F.when(F.col("user_id") == 0, "").otherwise(F.col("user_id").cast("string")).alias("user_id"),
         F.when(F.col("k") % 10 == 0, F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("_"), week))
@@ -45,7 +45,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("created_at"), F.when(F.col("k") == 13, 1).otherwise(0).alias("is_deleted"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     kind, value, k = F.col("event_type"), F.col("value"), F.col("k")
     name = (F.when(k == 99, "IGNORE_THIS")
             .when((kind == "error") & (k % 2 == 0), "internal_error")
@@ -56,7 +56,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when((kind == "view") & (value < 5), "bad_request_error")
             .when(k % 11 == 0, "models").otherwise("acompletion"))
     route = F.element_at(F.array(*[F.lit(r) for r in ROUTES]), k % 14 + 1)
-    return _events(spark, sf_dir).select(
+    return (events if events is not None else _events(spark, sf_dir)).select(
         F.lit("p0").alias("project_id"), F.col("event_id").cast("string").alias("id"),
         F.col("event_id").cast("string").alias("trace_id"), F.col("ts").alias("created_at"),
         F.concat(F.lit("litellm-"), name).alias("name"),
@@ -67,7 +67,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_events(traces(spark, sf_dir), observations(spark, sf_dir), START, END)
+    ev = _events(spark, sf_dir)
+    return join_events(traces(spark, sf_dir, ev), observations(spark, sf_dir, ev), START, END)
 
 
 _STAGED: dict[tuple[str, str], DataFrame] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,6 @@ from ..operators import sequence as S
 from ..operators import sessionize as Z
 from ..operators import stats as St
 from ..operators.forest import rank_by_forest
-from ..operators.stats import hygiene as clean
 from ..profiles import IMPL
 from ..schema import PARTITION_KEYS, SESSION_KEYS
 from ..sources import readers, writers
@@ -158,11 +158,10 @@ def gain(spark, sf):
 
 @query("seed_sensitivity")
 def seed_sensitivity(spark, sf):
-    f = materialize(clean(weekly_features(spark, sf), ["day"], IMPL.features), "features")
+    f = materialize(weekly_features(spark, sf), "features")
     labels = V.weak_labels(X.weekly_events(spark, sf))
     tops, precisions = [], []
     for seed in (1, 2, 3):
-        from dataclasses import replace
         r = rank_by_forest(f, ("day",), SESSION_KEYS, replace(IMPL, trees=50, seed=seed))
         r = materialize(r.select(*SESSION_KEYS, "if_raw"), "scores")
         tag = [F.lit("forest").alias("model"), F.lit(seed).alias("seed")]

@@ -10,6 +10,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +31,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A table expected to be small as a join side: staged, counted, and broadcast only if it is within `limit`.
+
+    Beyond the limit it stays an ordinary join side, which is then sorted and merged.
+    """
+    staged = materialize(df, "small")
+    return F.broadcast(staged) if staged.limit(limit + 1).count() <= limit else staged
