@@ -88,9 +88,9 @@ def ngram_rarity(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Se
                  token: str = "token", reduce: str = "mean", sizes: Sequence[int] = (2, 3)) -> DataFrame:
     """Mean (or summed) surprise of a session's n-grams; sessions without any score 0."""
     scored = score_ngrams(session_ngrams(events, keys, token, sizes), keys, part, max(sizes))
-    per = scored.groupBy(*keys).agg(exact_sum(-F.col("c") * F.col("lp")).alias("s"), F.sum("c").alias("n_ngrams"))
+    per = scored.groupBy(*keys).agg(exact_sum(-F.col("c") * F.col("lp")).alias("_nll"), F.sum("c").alias("n_ngrams"))
     sizes_of = events.groupBy(*keys).agg(F.count("*").alias("n_events"))
-    raw = F.col("s") if reduce == "sum" else F.col("s") / F.col("n_ngrams")
+    raw = F.col("_nll") if reduce == "sum" else F.col("_nll") / F.col("n_ngrams")
     return sizes_of.join(per, list(keys), "left").select(
         *keys, F.coalesce(raw, F.lit(0.0)).alias("seq_raw"), "n_events",
         F.coalesce("n_ngrams", F.lit(0)).alias("n_ngrams"), F.lit("b2").alias("model"))

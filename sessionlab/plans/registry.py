@@ -11,11 +11,21 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Session settings the operators are written for.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Top lists of up to this many rows per group are cut inside each task before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+}
+
 
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            for key, value in SETTINGS.items():
+                spark.conf.set(key, value)
             return tidy(fn(spark, sf_dir))
         QUERIES[name] = run
         if sql:
