@@ -167,21 +167,26 @@ def weak_label_scores(events: DataFrame, labels: DataFrame, keys: Sequence[str]
     """Probability of the weak label from tokens and token pairs.
 
     Terms carry their group's name, so one fit keeps the groups apart. `labels` are (keys, label, split); the
-    model is fitted on the train split and scores every session.
+    model is fitted on the train split and scores every session. Terms become one of `dims` slots before they
+    are listed, which bounds a session's list; scores are sums of the slots' weights, a table of `dims` rows.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.feature import CountVectorizerModel
 
     pairs = neighbours(events.select(*keys, "seq_no", F.col(token).alias("a")), keys, "seq_no", ahead={"b": ("a", 1)})
     words = F.array_compact(F.array(F.concat(by, F.lit("\u0001"), "a"), F.concat(by, F.lit("\u0001"), "a", F.lit("\u0002"), "b")))
-    terms = (pairs.select(*keys, F.explode(words).alias("term")).distinct()
-             .groupBy(*keys).agg(F.array_sort(F.collect_list("term")).alias("terms")))
-    data = HashingTF(inputCol="terms", outputCol="x", numFeatures=dims, binary=True).transform(terms.join(labels, list(keys)))
-    data = materialize(data.select(*keys, "split", F.col("label").cast("double").alias("label"), "x"), "terms")
+    slots = materialize(pairs.select(*keys, F.explode(words).alias("term")).select(
+        *keys, F.pmod(F.xxhash64("term"), F.lit(dims)).cast("int").alias("slot")).distinct(), "slots")
+    train = (slots.join(labels.where(F.col("split") == "train"), list(keys)).groupBy(*keys)
+             .agg(F.max(F.col("label").cast("double")).alias("label"), F.collect_list(F.col("slot").cast("string")).alias("slots")))
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(dims)], "slots", "x").transform(train)
     fitted = LogisticRegression(featuresCol="x", labelCol="label", maxIter=iterations, regParam=reg).fit(
-        data.where(F.col("split") == "train"))
-    return fitted.transform(data).select(*keys, "split", "label", vector_to_array("probability")[1].alias("score_weak_label"))
+        materialize(vectors.select("label", "x"), "terms"))
+    weights = events.sparkSession.createDataFrame(
+        [(i, float(w)) for i, w in enumerate(fitted.coefficients.toArray()) if w], "slot int, w double")
+    z = slots.join(F.broadcast(weights), "slot", "left").groupBy(*keys).agg(exact_sum(F.coalesce("w", F.lit(0.0))).alias("z"))
+    score = 1.0 / (1.0 + F.exp(-(F.col("z") + F.lit(float(fitted.intercept)))))
+    return z.join(labels, list(keys)).select(*keys, "split", F.col("label").cast("double").alias("label"), score.alias("score_weak_label"))
 
 
 def pseudo_training_set(scores: DataFrame, positives: Sequence[DataFrame], keys: Sequence[str] = SESSION_KEYS, by: str = "client_name",

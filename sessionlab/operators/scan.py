@@ -57,7 +57,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[st
             .drop("_slot", "_off"))
 
 
-def last_known(df: DataFrame, keys: Sequence[str], seq: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
+def last_known(df: DataFrame, keys: Sequence[str], seq: str, value: Column, out: str, block: int = 16 * BLOCK) -> DataFrame:
     """Latest non-null `value` among the earlier rows of the session."""
     df = df.withColumn("_val", value).withColumn("_blk", ((F.col(seq) - F.col(seq) % block) / block).cast("long"))
     per_block = df.groupBy(*keys, "_blk").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col(seq))).alias("_last"))

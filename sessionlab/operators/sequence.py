@@ -37,13 +37,16 @@ def partition_vocabulary(steps: DataFrame, part: Sequence[str]) -> DataFrame:
 
 
 def markov(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Sequence[str] = PARTITION_KEYS,
-           token: str = "token", reduce: str = "mean") -> DataFrame:
-    """Negative log-likelihood of a session's steps under add-one transition probabilities of its partition."""
-    steps = session_steps(events, keys, token)
+           token: str = "token", reduce: str = "mean", steps: DataFrame | None = None) -> DataFrame:
+    """Negative log-likelihood of a session's steps under add-one transition probabilities of its partition.
+
+    The step counts are written once (or passed in) and then read for the statistics and for scoring.
+    """
+    steps = steps if steps is not None else materialize(session_steps(events, keys, token), "steps")
     pair = steps.groupBy(*part, "a", "b").agg(F.sum("c").alias("c_ab"))
     out = pair.groupBy(*part, "a").agg(F.sum(F.when(F.col("b").isNotNull(), F.col("c_ab")).otherwise(0)).alias("c_a"))
     vocab = out.groupBy(*part).agg(F.count("*").alias("v"))
-    logp = (pair.where(F.col("b").isNotNull()).join(out, [*part, "a"]).join(vocab, list(part))
+    logp = (pair.join(out, [*part, "a"]).join(vocab, list(part))
             .select(*part, "a", "b", F.ln((F.col("c_ab") + 1) / (F.col("c_a") + F.col("v"))).alias("lp")))
     scored = steps.join(logp, [*part, "a", "b"], "left")
     nll = exact_sum(-F.col("c") * F.coalesce(F.col("lp"), F.lit(0.0)))
@@ -87,7 +90,8 @@ def score_ngrams(grams: DataFrame, keys: Sequence[str], part: Sequence[str], wid
 def ngram_rarity(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Sequence[str] = PARTITION_KEYS,
                  token: str = "token", reduce: str = "mean", sizes: Sequence[int] = (2, 3)) -> DataFrame:
     """Mean (or summed) surprise of a session's n-grams; sessions without any score 0."""
-    scored = score_ngrams(session_ngrams(events, keys, token, sizes), keys, part, max(sizes))
+    grams = materialize(session_ngrams(events, keys, token, sizes), "grams")
+    scored = score_ngrams(grams, keys, part, max(sizes))
     per = scored.groupBy(*keys).agg(exact_sum(-F.col("c") * F.col("lp")).alias("_nll"), F.sum("c").alias("n_ngrams"))
     sizes_of = events.groupBy(*keys).agg(F.count("*").alias("n_events"))
     raw = F.col("_nll") if reduce == "sum" else F.col("_nll") / F.col("n_ngrams")
@@ -106,7 +110,7 @@ def entropies(events: DataFrame, keys: Sequence[str], token: str = "token") -> D
 
 def entropy_deviation(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Sequence[str] = PARTITION_KEYS,
                       token: str = "token") -> DataFrame:
-    ent = entropies(events, keys, token)
+    ent = materialize(entropies(events, keys, token), "entropy")
     med = quantiles(ent, part, "entropy_session", {"entropy_median_partition": 0.5}).drop("n_values")
     return ent.join(med, list(part)).withColumn(
         "seq_raw", F.abs(F.col("entropy_session") - F.col("entropy_median_partition"))).withColumn("model", F.lit("b3"))
@@ -131,7 +135,7 @@ def composite(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Seque
 
     The vocabulary comes from sessions with at least two events only.
     """
-    steps = session_steps(events, keys, token)
+    steps = materialize(session_steps(events, keys, token), "steps")
     pair = transition_counts(steps, part)
     out = pair.groupBy(*part, "a").agg(F.sum("c_ab").alias("c_a"))
     vocab = (pair.select(*part, F.explode(F.array("a", "b")).alias("t"), "c_ab").groupBy(*part)

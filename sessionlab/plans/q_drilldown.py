@@ -243,7 +243,7 @@ def spec_events(spark, sf):
     k = X.read(spark, sf, "events").select(F.col("event_id").cast("string").alias("observation_id"),
                                            F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
     ev = X.session_events(spark, sf).join(k, "observation_id")
-    return ev.withColumn("raw", signals(ev)).withColumn("outcome", C.parse_outcome(F.col("raw")))
+    return materialize(ev.withColumn("raw", signals(ev)).withColumn("outcome", C.parse_outcome(F.col("raw"))), "signals")
 
 
 @query("outcome_parse", f"WITH {SESSIONS}, {SIGNALS} SELECT raw, outcome, count(*) AS n FROM sp GROUP BY ALL")

@@ -11,6 +11,7 @@ from ..operators import sequence as S
 from ..operators import stats as St
 from ..operators import tokens as K
 from ..schema import SESSION_KEYS
+from ..staging import materialize
 from . import fixtures as X
 from .q_sequences import B1_MEAN, B3
 from .registry import query, r6
@@ -106,8 +107,8 @@ kn AS (SELECT client_name, sum(freq) AS total, sum(CASE WHEN token IN (SELECT to
 SELECT client_name, CAST(total AS BIGINT) AS total, CAST(known AS BIGINT) AS known, {r6('known / total')} AS coverage, {r6('(known + pad) / (total + pad)')} AS coverage_padded,
   (SELECT count(*) FROM voc v WHERE v.client_name = kn.client_name) AS vocab_size FROM kn JOIN pads USING (client_name)""")
 def coverage(spark, sf):
-    rows = rows_of(spark, sf, "v1")
-    v = vocab_of(rows)
+    rows = materialize(rows_of(spark, sf, "v1"), "tokens")
+    v = materialize(vocab_of(rows), "vocab")
     pad = K.coverage(rows, v, pad_to=MAX_LEN).select("client_name", F.col("coverage").alias("coverage_padded"))
     return K.coverage(rows, v).join(pad, "client_name")
 
@@ -115,7 +116,7 @@ def coverage(spark, sf):
 @query("ids", f"""WITH {SESSIONS}, {VOCAB}
 SELECT {KEYS}, string_agg(CAST(coalesce(id, 1) AS VARCHAR), ' ' ORDER BY pos) AS ids FROM (SELECT tk.*, voc.id FROM tk LEFT JOIN voc ON tk.client_name = voc.client_name AND tk.token = voc.token) GROUP BY {KEYS}""")
 def ids(spark, sf):
-    rows = rows_of(spark, sf, "v1")
+    rows = materialize(rows_of(spark, sf, "v1"), "tokens")
     s = K.sequences(K.token_ids(rows, vocab_of(rows)), col="token_id", out="ids")
     return s.select(*SESSION_KEYS, F.transform("ids", lambda i: i.cast("string")).alias("ids"))
 
@@ -198,7 +199,7 @@ SELECT {KEYS}, 1 AS label FROM po UNION ALL SELECT {KEYS}, 0 FROM b1 ANTI JOIN p
 WHERE CAST(('0x' || substr(md5(client_name || '|' || day || '|' || user_id || '|' || session_key), 1, 13)) AS BIGINT) % 1000000 < n_pos * 3.0::DOUBLE / (n_all - n_pos) * 1000000""")
 def pseudo_train(spark, sf):
     ev = X.weekly_events(spark, sf)
-    a = S.markov(ev).withColumn("seq_raw", F.round("seq_raw", 9))
+    a = materialize(S.markov(ev).withColumn("seq_raw", F.round("seq_raw", 9)), "scores")
     b = S.entropies(ev, SESSION_KEYS).withColumn("h", F.round("entropy_session", 9))
     pb = St.top_k(b, ("client_name", "day"), [F.desc("h"), F.asc("session_key"), F.asc("user_id")], 5)
     return L.pseudo_training_set(a, [S.rank_sequences(a, k=5), pb])

@@ -36,7 +36,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         writer.json(path)
     else:
         writer.option("compression", "zstd").parquet(path)
-    if not allow_empty and not seen.get["rows"]:
+    if not allow_empty and not seen.get.get("rows", 0):
         raise ValueError(f"nothing to write to {path}: the input is empty")
 
 

@@ -34,7 +34,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A table expected to be small as a join side: staged, counted, and broadcast only if it is within `limit`.
+    """A table expected to be small as a join side: staged, counted, and broadcast only within `limit`.
 
     Beyond the limit it stays an ordinary join side, which is then sorted and merged.
     """

@@ -74,6 +74,19 @@ def test_language_model_prefers_what_it_has_seen(spark):
     assert got["same"]["score_max_nll"] < 1.2 and got["new"]["score_tail_nll"] <= got["new"]["score_max_nll"]
 
 
+def test_weak_label_classifier_learns_also_after_rows_were_observed(spark):
+    from pyspark.sql import Observation
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    rows = [("c", f"s{i}", p, t) for i in range(60) for p, t in enumerate(["a", "bad" if i % 3 == 0 else "b", "c"])]
+    df = spark.createDataFrame(rows, "client_name string, session_key string, seq_no long, token string")
+    labels = spark.createDataFrame([("c", f"s{i}", int(i % 3 == 0), "train" if i < 45 else "test") for i in range(60)],
+                                   "client_name string, session_key string, label int, split string")
+    got = L.weak_label_scores(df, labels, ["client_name", "session_key"], dims=1024).collect()
+    assert len(got) == 60 and min(r["score_weak_label"] for r in got if r["label"]) > 0.5 > max(r["score_weak_label"] for r in got if not r["label"])
+
+
 def test_split_is_stable_and_near_ninety_percent(spark):
     df = spark.range(4000).select(F.lit("c").alias("client_name"), F.col("id").cast("string").alias("user_id"), F.lit("s").alias("session_key"))
     for blake in (False, True):
