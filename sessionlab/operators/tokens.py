@@ -70,8 +70,10 @@ def token_rows(events: DataFrame, version: str, keys: Sequence[str] = SESSION_KE
         ev = last_known(ev, keys, "seq_no", F.col("event_time"), "_prev")
     cells = _event_tokens(version)
     width = len(cells)
-    # Each task keeps the last few events of a session it has seen before anything is shuffled.
-    ev = top_k(ev, keys, [F.desc("seq_no")], max_len // width + 2, "_back")
+    # Each task keeps the last few events of a session it has seen before they are shuffled. Naming `_prev` in
+    # the order (it never decides: seq_no is unique) keeps the optimizer from moving this step below its window.
+    order = [F.desc("seq_no")] + ([F.asc("_prev")] if "_prev" in ev.columns else [])
+    ev = top_k(ev, keys, order, max_len // width + 2, "_back")
     ev = ev.withColumn("_n", F.max("seq_no").over(Window.partitionBy(*keys)) + 1)
     total = F.col("_n") * width + 2
     first, last = F.col("seq_no") == 0, F.col("seq_no") == F.col("_n") - 1
