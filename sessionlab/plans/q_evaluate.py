@@ -232,7 +232,9 @@ def fingerprint(spark, sf):
 
 @query("schema_manifest")
 def schema_manifest(spark, sf):
-    return writers.schema_manifest(X.session_events(spark, sf), {"token": "client, operation, outcome, gap"})
+    ev = X.session_events(spark, sf)
+    filled = ev.agg(*[F.count(c).alias(c) for c in ev.columns]).unpivot([], ev.columns, "column", "filled_rows")
+    return writers.schema_manifest(ev, {"token": "client, operation, outcome, gap"}).join(filled, "column")
 
 
 @query("run_metadata")
