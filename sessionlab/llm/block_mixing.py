@@ -147,11 +147,12 @@ class Mix:
         """doc_id, size, source, source_size, target, taken of every document."""
         spark = self.placed.sparkSession
         times = self.slots(spark).groupBy("rank", "block").agg(F.count("*").alias("times"))
-        used = self.blocks().join(times, ["rank", "block"]).select(F.col("rank").alias("_rank"), F.col("bucket").alias("_bucket"), F.col("at").alias("_at"), "times")
+        # Exploded rows look as small as what they come from: without the hints blocks would be broadcast unseen.
+        used = self.blocks().hint("merge").join(times, ["rank", "block"]).select(F.col("rank").alias("_rank"), F.col("bucket").alias("_bucket"), F.col("at").alias("_at"), "times")
         w = self.block_words
         first, last = F.floor(F.col("start") / w), F.floor((F.col("end") - 1) / w)
         laid = self.placed.where("size > 0").select("rank", "bucket", "row", "start", "end", F.explode(F.sequence(first, last)).alias("at"))
-        met = laid.join(used, (F.col("rank") == F.col("_rank")) & (F.col("bucket") == F.col("_bucket")) & (F.col("at") == F.col("_at")))
+        met = laid.hint("merge").join(used, (F.col("rank") == F.col("_rank")) & (F.col("bucket") == F.col("_bucket")) & (F.col("at") == F.col("_at")))
         words = F.least("end", (F.col("at") + 1) * w) - F.greatest("start", F.col("at") * w)
         sums = met.groupBy("rank", "bucket", "row").agg(F.sum(words * F.col("times")).alias("taken")).withColumnsRenamed({"rank": "_rank", "bucket": "_bucket", "row": "_row"})
         joined = self.placed.join(sums, (F.col("rank") == F.col("_rank")) & (F.col("bucket") == F.col("_bucket")) & (F.col("row") == F.col("_row")), "left")
