@@ -139,7 +139,7 @@ def fingerprint_links(classes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     flips = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     beside = met.where(F.col("n") > bucket).select("fp").distinct().select("fp", F.explode(flips).alias("mid"))
     heads = beside.groupBy("mid").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
-    stars = beside.join(heads, "mid").where("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    stars = beside.hint("merge").join(heads, "mid").where("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 

@@ -33,6 +33,7 @@ REVISIT_BYTES = 1000
 PACKAGE_BYTES = 256 << 20
 PACKAGE_RECORDS = 100_000
 RANGE_BYTES = 4 << 20
+MOST_TASKS = 100_000
 
 # Signatures and sizes of the ZIP format's records.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -275,8 +276,9 @@ def read_records(packages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFra
     `verified` says that the payload read has the digest of the header (null for revisits).
     """
     fields = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, verified boolean"
-    ranges = record_ranges(packages, range_bytes)
-    dealt = ranges.repartition(F.xxhash64("path", "start"))
+    ranges = materialize(record_ranges(packages, range_bytes), "ranges")
+    tasks = max(1, min(ranges.count(), 2 * packages.sparkSession.sparkContext.defaultParallelism, MOST_TASKS))
+    dealt = ranges.repartition(tasks, F.xxhash64("path", "start"))  # a fixed number: these rows are small, what they stand for is not
     shape = schema_of(fields)
 
     def run(batches):
