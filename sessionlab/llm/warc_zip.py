@@ -102,7 +102,7 @@ def directory(f, size: int) -> list[dict]:
     tail_at = max(0, size - END_SIZE - LONGEST_COMMENT)
     tail = read_range(f, tail_at, size - tail_at)
     at = tail.rfind(END)
-    while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + END_SIZE > len(tail) or at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(END, 0, at)  # the signature may also occur in the comment
     if at < 0:
         raise ValueError("no end of central directory")
