@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..staging import join_scope
 from .stats import feature_stats, long_form
 
 
@@ -48,5 +49,5 @@ def why_top(df: DataFrame, scope: Sequence[str], features: Sequence[str], n: int
         group, far, text = _line(f, F.col(f).cast("double"), F.col("_s")[f]["med"], F.col("_s")[f]["mad"])
         cells.append(F.struct(group.alias("g"), far.alias("d"), F.lit(i).alias("i"), text.alias("t")))
     best = F.slice(F.array_sort(F.array(*cells)), 1, n)
-    return df.join(per_scope, list(scope)).withColumn(
+    return join_scope(df, per_scope, scope).withColumn(
         out, F.array_join(F.transform(best, lambda c: c.t), "; ")).drop("_s")

@@ -131,7 +131,9 @@ def score_forest(features: DataFrame, forest: DataFrame, scope: Sequence[str], k
         for b in sorted(fitted.select(["batch", "trees", "psi", *names]).to_pylist(), key=lambda r: r["batch"]):
             total += walk(x, {n: np.array(b[n]) for n in names}, b["trees"])
             used, psi = used + b["trees"], max(psi, b["psi"])
-        norm = max(float(expected_depth(psi)), 1e-12)
+        norm = float(expected_depth(psi))
+        if norm <= 0:  # a row alone in its scope is neither near nor far
+            return {out: pa.array(np.full(len(x), 0.5))}
         return {out: pa.array(np.power(2.0, -(total / max(used, 1)) / norm))}
 
     return score_in_chunks(features, forest, scope, keys, score, T.StructType([T.StructField(out, T.DoubleType())]), sizes=sizes)

@@ -122,7 +122,9 @@ def conform_packed(df: DataFrame, day: str | None = None) -> DataFrame:
     # Surrogate ids 0..n-1. With 0 <= n the sequence would run downwards for n = 0, hence the guard.
     ids = F.when(F.size("token") > 0, F.sequence(F.lit(0).cast("long"), F.size("token").cast("long") - 1)) \
         .otherwise(F.array().cast("array<long>"))
-    df = df.withColumn("observation_id", ids)
+    # A session in several rows is numbered through already.
+    if not ("chunk" in df.columns and isinstance(dict((f.name, f.dataType) for f in df.schema.fields).get("observation_id"), T.ArrayType)):
+        df = df.withColumn("observation_id", ids)
     if day is not None:
         df = df.withColumn("day", F.lit(day))
     if "chunk" not in df.columns:

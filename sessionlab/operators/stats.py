@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import small_side
+from ..staging import join_scope, small_side
 
 GRID = 4096.0
 FINEST = 1e-9
@@ -26,7 +26,7 @@ def grid_bucket(x: Column) -> Column:
 
 def _counted(df: DataFrame, part: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
     """Distinct values with counts, and bucket totals with the number of smaller rows and of all rows."""
-    values = (df.where(F.col(value).isNotNull()).groupBy(*part, F.col(value).cast("double").alias("_v"))
+    values = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*part, F.col(value).cast("double").alias("_v"))
               .agg(F.count("*").alias("_n")).withColumn("_b", grid_bucket(F.col("_v"))))
     whole = Window.partitionBy(*part)
     below = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,7 +38,7 @@ def _counted(df: DataFrame, part: Sequence[str], value: str) -> tuple[DataFrame,
 
 def _ranked(values: DataFrame, buckets: DataFrame, part: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*part, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    return (values.join(buckets, [*part, "_b"])
+    return (join_scope(values, buckets, [*part, "_b"])
             .withColumn("_less", F.col("_below") + F.coalesce(F.sum("_n").over(w), F.lit(0))))
 
 
@@ -53,7 +53,7 @@ def percent_rank(df: DataFrame, part: Sequence[str], value: str, out: str) -> Da
     """Rank as a percentage, ties at their average."""
     ranks = value_ranks(df, part, value).select(
         *part, value, ((F.col("n_less") + (F.col("n_equal") + 1) / 2.0) / F.col("n_total") * 100.0).alias(out))
-    return df.join(ranks, [*part, value], "left")
+    return join_scope(df, ranks, [*part, value], "left")
 
 
 def quantiles(df: DataFrame, part: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
@@ -82,9 +82,9 @@ def quantiles(df: DataFrame, part: Sequence[str], value: str, qs: dict[str, floa
 def median_mad(df: DataFrame, part: Sequence[str], value: str) -> DataFrame:
     """`med` and `mad` (median distance from the median) per partition."""
     med = quantiles(df, part, value, {"med": 0.5}).select(*part, "med")
-    dist = df.join(med, list(part)).select(*part, F.abs(F.col(value).cast("double") - F.col("med")).alias("_d"))
+    dist = join_scope(df, med, part).select(*part, F.abs(F.col(value).cast("double") - F.col("med")).alias("_d"))
     mad = quantiles(dist, part, "_d", {"mad": 0.5}).select(*part, "mad")
-    return med.join(mad, list(part))
+    return join_scope(med, mad, part)
 
 
 def long_form(df: DataFrame, part: Sequence[str], features: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -107,7 +107,7 @@ def iqr_stats(df: DataFrame, part: Sequence[str], features: Sequence[str]) -> Da
 def robust_scale(df: DataFrame, part: Sequence[str], features: Sequence[str], ids: Sequence[str]) -> DataFrame:
     """(x - median) / IQR in long form; a zero range divides by one."""
     rows = long_form(df, part, features, ids)
-    return (rows.join(iqr_stats(df, part, features), [*part, "feature"])
+    return (join_scope(rows, iqr_stats(df, part, features), [*part, "feature"])
             .withColumn("scaled", (F.col("value") - F.col("center")) / F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr"))))
 
 
@@ -118,7 +118,7 @@ def hygiene(df: DataFrame, part: Sequence[str], features: Sequence[str], cap: fl
     if cap is None:
         tops = num.groupBy(*part).agg(*[F.max(F.when((F.col(f) != inf) & (F.col(f) != ninf), F.col(f))).alias(f"_top_{f}")
                                         for f in features])
-        num = num.join(small_side(tops), list(part))
+        num = join_scope(num, small_side(tops), part)
         top = {f: F.coalesce(F.col(f"_top_{f}"), F.lit(0.0)) for f in features}
     else:
         top = {f: F.lit(float(cap)) for f in features}
@@ -129,7 +129,7 @@ def hygiene(df: DataFrame, part: Sequence[str], features: Sequence[str], cap: fl
 def scale_0_100(df: DataFrame, part: Sequence[str], value: str, out: str, lo: float, hi: float, flat: str = "zero") -> DataFrame:
     """Map quantile `lo` to 0 and `hi` to 100 and clip; when both are equal: 0, min-max, or percent rank."""
     q = quantiles(df, part, value, {"_qlo": lo, "_qhi": hi, "_qmin": 0.0, "_qmax": 1.0})
-    x = df.join(small_side(q.drop("n_values")), list(part), "left")
+    x = join_scope(df, small_side(q.drop("n_values")), part, "left")
     v, a, b = F.col(value), F.col("_qlo"), F.col("_qhi")
     if flat == "minmax":
         span = F.col("_qmax") - F.col("_qmin")

@@ -21,14 +21,18 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
                 allow_empty: bool = False) -> None:
     """Write parquet (zstd), CSV or JSON lines. Refuses existing targets unless told otherwise, and empty input.
 
-    Emptiness is seen while writing, by a counter on the rows, so the input is not computed twice.
+    Emptiness is seen while writing, by a counter on the rows, so the input is not computed twice; only before an
+    existing target is overwritten is the first row asked for. Rows of one partition value come from a few tasks.
     """
+    if overwrite and not allow_empty and df.isEmpty():
+        raise ValueError(f"nothing to write to {path}: the input is empty, what is there stays")
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     if fmt == "csv":
         out = out.select(*[F.to_json(f.name).alias(f.name) if _nested(f.dataType) else F.col(f.name) for f in df.schema.fields])
     writer = out.write.mode("overwrite" if overwrite else "errorifexists")
     if partition_by:
+        writer = out.hint("rebalance", *partition_by).write.mode("overwrite" if overwrite else "errorifexists")
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
         writer.option("header", "true").csv(path)

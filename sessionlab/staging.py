@@ -33,6 +33,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_scope(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join on columns in which null is a value like any other, so rows without a scope keep their own."""
+    named = right.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    test = F.lit(True)
+    for c in on:
+        test = test & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return left.join(named, test, how).drop(*(f"_of_{c}" for c in on))
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A table expected to be small as a join side: staged, counted, and broadcast only within `limit`.
 

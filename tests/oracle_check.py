@@ -7,6 +7,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -23,7 +24,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def rows_of(df) -> list[tuple]:
     df = df[sorted(df.columns)]
-    rows = [tuple("NULL" if v is None or v != v else repr(v.item() if hasattr(v, "item") else v) for v in r)
+    rows = [tuple("NULL" if v is None or v is pd.NA or v != v else repr(v.item() if hasattr(v, "item") else v) for v in r)
             for r in df.itertuples(index=False)]
     return sorted(rows)
 

@@ -43,7 +43,7 @@ def test_scores_do_not_depend_on_chunking(planted, spark):
 
 
 def test_draws_are_full_and_even(spark):
-    for n, want in ((50, 50), (256, 256), (3000, 256), (60000, 256)):
+    for n, want in ((50, 50), (256, 256), (300, 256), (400, 256), (500, 256), (700, 256), (1000, 256), (3000, 256), (5000, 256), (60000, 256)):
         df = spark.range(n).select(F.lit("s").alias("scope"), F.col("id").alias("k"))
         d = draw_samples(df, ["scope"], ["k"], 256, 40)
         c = d.groupBy("draw").agg(F.count("*").alias("n"), F.count_distinct("k").alias("u")).collect()
@@ -79,3 +79,18 @@ def test_lof_equals_direct_form_when_all_rows_fit_the_sample(spark):
 
 def test_lof_of_one_row():
     assert local_outlier_factors(np.zeros((1, 2)), np.array([1]), np.zeros((1, 2)), np.array([1]), 5).tolist() == [1.0]
+
+
+def test_rows_without_scope_and_lone_rows_are_scored(spark):
+    from sessionlab.operators.explain import why_top
+    from sessionlab.operators.forest import grow_forest, score_forest
+    from sessionlab.operators.stats import hygiene, percent_rank, quantiles, scale_0_100
+    rows = [(None if i < 20 else "s", i, float(i)) for i in range(40)] + [("alone", 99, 1.0)]
+    df = spark.createDataFrame(rows, "day string, k long, x double")
+    clean = hygiene(df, ["day"], ["x"])
+    scored = score_forest(clean, grow_forest(clean, ["day"], ["k"], ["x"], 20), ["day"], ["k"], ["x"])
+    ranked = percent_rank(scale_0_100(scored, ["day"], "if_raw", "r", 0.05, 0.95, "rank"), ["day"], "if_raw", "p").collect()
+    assert len(ranked) == 41 and all(r.p is not None and r.r is not None for r in ranked)
+    assert [r.if_raw for r in ranked if r.day == "alone"] == [0.5]
+    assert why_top(df, ["day"], ["x"]).count() == 41
+    assert quantiles(spark.createDataFrame([(1.0,), (3.0,), (float("nan"),)], "x double"), [], "x", {"m": 0.5}).first().m == 2.0

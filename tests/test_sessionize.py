@@ -152,3 +152,14 @@ def test_mismatched_arrays(spark):
     assert {r["k"] for r in P.empty_sessions(df, ["x", "y", "z"]).collect()} == {"b", "c"}
     m = {r["k"]: r["explode_meta"] for r in P.explode_meta(df, ["x", "y", "z"], ["x", "y"]).collect()}
     assert m["a"]["truncated_counts"] == {"x": 1, "y": 0, "z": 2} and m["a"]["original_lengths"]["z"] == 4
+
+
+def test_packing_a_chunked_table_again_keeps_the_numbers(spark):
+    from pyspark.sql import functions as F
+    from sessionlab.operators.pack import pack, unpack
+    ev = spark.range(25).select(F.lit("u").alias("user_id"), F.lit("c").alias("client_name"), F.lit("s").alias("session_key"), F.col("id").alias("observation_id"),
+                                F.timestamp_seconds(F.col("id")).alias("event_time"), F.lit("chat").alias("route_group"), F.lit("ok").alias("outcome_class"))
+    once = pack(ev, "2024-01-01", chunk_events=10)
+    again = pack(once, "2024-01-01")
+    assert once.count() == again.count() == 3
+    assert sorted(r.seq_no for r in unpack(again).collect()) == sorted(r.seq_no for r in unpack(once).collect()) == list(range(25))

@@ -142,3 +142,13 @@ def test_union_with_widening_and_review_log(spark, tmp_path):
         writers.append_reviews(spark.createDataFrame([("r1", label)], "review_id string, label string"), f"{tmp_path}/log")
     got = spark.read.parquet(f"{tmp_path}/log")
     assert got.columns == log.columns and sorted(r["label"] for r in got.collect()) == ["normal", "suspicious"]
+
+
+def test_an_empty_overwrite_keeps_what_is_there(spark, tmp_path):
+    import pytest
+    from sessionlab.sources.writers import write_table
+    path = str(tmp_path / "t")
+    write_table(spark.range(25).selectExpr("id", "id % 3 AS g"), path, partition_by=("g",))
+    with pytest.raises(ValueError):
+        write_table(spark.range(0).selectExpr("id", "id AS g"), path, partition_by=("g",), overwrite=True)
+    assert spark.read.parquet(path).count() == 25
