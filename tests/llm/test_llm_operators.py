@@ -40,21 +40,25 @@ def everything(spark):
     bench = spark.createDataFrame([(1, prose(20, 3)), (None, None), (2, "")], "item_id long, text string")
     return {
         "chunk": chunk_dedup.dedup_substrings, "pseudonyms": lambda d: pseudonyms.pseudonymise(d, "k"), "simhash": golay_simhash.near_duplicates,
-        "simhash_kept": golay_simhash.one_of_each, "template": lambda d: template_match.contamination(d, bench), "clean": lambda d: template_match.clean_documents(d, bench),
+        "simhash_kept": golay_simhash.one_of_each, "similar": golay_simhash.similar_documents, "similar_kept": golay_simhash.one_of_similar,
+        "template": lambda d: template_match.contamination(d, bench), "clean": lambda d: template_match.clean_documents(d, bench),
         "toxic": lambda d: compression_toxicity.toxicity(d, labels), "host": host_rules.quality, "host_kept": host_rules.kept_documents,
         "bpe": lambda d: bpe_count.token_counts(d, public_tokenizers.path("byte_bpe_50k.json")), "mix": lambda d: block_mixing.Mix(d).taken(),
     }
 
 
 def test_edges_and_empty_tables(spark):
-    one_each = {"chunk", "pseudonyms", "simhash", "template", "toxic", "host", "bpe", "mix"}
+    one_each = {"chunk", "pseudonyms", "simhash", "similar", "template", "toxic", "host", "bpe", "mix"}
     for name, fn in everything(spark).items():
         assert fn(docs(spark, []).limit(0)).count() == 0, name
         got = fn(docs(spark, EDGE)).collect()
         if name in one_each:
             assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in EDGE), name
-    kept = golay_simhash.one_of_each(docs(spark, EDGE)).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 4), (False, 5), (True, 0)]
+    for fn in (golay_simhash.one_of_each, golay_simhash.one_of_similar):
+        kept = fn(docs(spark, EDGE)).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 4), (False, 5), (True, 0)]
+    twins = [(None, prose(60, 1), "a"), (None, prose(60, 2), "a"), (7, prose(60, 1), "a")]  # rows without an id stay
+    assert sorted(str(r.doc_id) for r in golay_simhash.one_of_similar(docs(spark, twins)).collect()) == ["7", "None", "None"]
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -200,6 +204,25 @@ def test_simhash_components(spark):
     assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) < 0.8 * len(rows)
 
 
+def test_similar_documents_against_all_pairs(spark):
+    """Chains of edits, so that a bucket's smallest member is near some of its members only; and a passage that many share."""
+    rows, passage = [], prose(90, 999)
+    for family in range(6):
+        words = prose(120, family).split()
+        for step in range(25):
+            rows.append((5000 - len(rows), " ".join(words), "s"))
+            r = random.Random(family * 100 + step)
+            for _ in range(r.randint(0, 3)):
+                words[r.randrange(len(words))] = "new%d" % r.randrange(10 ** 6)
+    rows += [(9000 + k, f"{prose(r, 400 + k)} {passage}", "s") for k, r in enumerate([5, 10, 20, 25, 30, 40, 60] * 6)]
+    sets = {i: frozenset(golay_simhash.shingle_set(t, 5)[1].tolist()) for i, t, _ in rows}
+    fps = {i: golay_simhash.fingerprint(t, 5) for i, t, _ in rows}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = brute_components(sorted(sets), lambda a, b: alike(a, b) or bin(fps[a] ^ fps[b]).count("1") <= 2)
+    got = golay_simhash.similar_documents(docs(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and 20 < len(set(want.values())) < len(rows) - 60
+
+
 @pytest.mark.parametrize("bucket", [64, 2])
 def test_links_connect_all_within_two_bits(spark, bucket):
     r = random.Random(1)
@@ -321,6 +344,7 @@ def test_pipeline_stages(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     leak = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").first().text
     rows = [(i, prose(120, i), "s%d" % (i % 3)) for i in range(40)] + [(40, prose(120, 3), "s1"), (41, "too short", "s1"), (42, f"{prose(50, 77)} {leak}", "s2"), (43, prose(60, 78) + " call +1 (489) 555-7686", "s0")]
+    rows.append((44, prose(120, 4).replace(" ", " odd ", 1), "s1"))  # a near copy: one word more
     docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert set(got) <= set(range(40)) | {43} and len(got) > 30 and all(r.taken > 0 for r in got.values())
@@ -328,4 +352,4 @@ def test_pipeline_stages(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     d = spark.read.parquet(f"{folder}/documents.parquet")
     left = lambda name: {x[0] for x in rows} - {r.doc_id for r in stages[name](spark, d, folder).collect()}
-    assert (left("quality_rules"), left("near_duplicates"), left("decontamination"), left("private_data")) == ({41}, {40}, {42}, set())
+    assert (left("quality_rules"), left("near_duplicates"), left("decontamination"), left("private_data")) == ({41}, {40, 44}, {42}, set())
