@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..schema import SESSION_KEYS
 from ..staging import materialize
+from .pack import unpack
+from .scan import neighbours
 from .stats import quantiles
 
 
@@ -117,34 +119,50 @@ def timeline() -> Column:
                        F.concat(F.lit("rate_limited_rate="), C.percent(F.col("rate_limited_rate_dd"))))
 
 
-def _array_top(arr: Column, k: int = 3) -> Column:
-    """`value(count)` of the k most frequent elements, ties by value."""
-    known = F.filter(arr, lambda v: v.isNotNull())
-    counted = F.transform(F.array_distinct(known), lambda v: F.struct(
-        (-F.size(F.filter(known, lambda x: x == v))).alias("c"), v.alias("v")))
-    return F.array_join(F.transform(F.slice(F.array_sort(counted), 1, k), lambda s: F.concat(
-        s.v, F.lit("("), (-s.c).cast("string"), F.lit(")"))), ", ")
+def drilldown_packed(packed: DataFrame, wanted: DataFrame, keys: Sequence[str] = SESSION_KEYS, window_s: int = 30) -> DataFrame:
+    """The same details from packed sessions: the wanted ones are cut out before their arrays are unpacked."""
+    ev = unpack(packed.join(wanted.select(*keys), list(keys), "left_semi"), keys)
+    return drilldown(neighbours(ev, keys, "seq_no", behind={"prev_time": ("event_time", 1)}), wanted, keys, window_s)
 
 
 def drilldown_arrays(packed: DataFrame, wanted: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
-    """Details from arrays alone, for sessions packed in one row and without times; same columns, unknown ones null."""
+    """Details from arrays alone, without times; same columns, unknown ones null. A session's chunks are counted together."""
     p = packed.join(wanted.select(*keys), list(keys), "left_semi")
-    n = F.size("token")
 
-    def share(test) -> Column:
-        return F.when(F.size("outcome_class") > 0, F.size(F.filter("outcome_class", test)) / F.size("outcome_class"))
+    def cells_of(c: str) -> Column:
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.struct(F.lit(c).alias("col"), v.alias("val")))
 
-    top_route = -F.array_min(F.transform(F.array_distinct("route_group"),
-                                         lambda v: -F.size(F.filter("route_group", lambda x: x == v))))
-    skew = F.when(F.size("route_group") > 0, top_route / (F.size("route_group") + 1e-9))
+    cells = [cells_of(c) for c in ("token", "route_group", "outcome_class")]
+    vals = p.select(*keys, F.inline(F.flatten(F.array(*cells)))).groupBy(*keys, "col", "val").agg(F.count("*").alias("c"))
+    known = F.col("val").isNotNull()
+    rank = F.row_number().over(Window.partitionBy(*keys, "col").orderBy(F.desc(known), F.desc("c"), F.asc("val")))
+    vals = vals.withColumn("r", rank)
+
+    def top3(c: str) -> Column:
+        cell = F.when((F.col("col") == c) & known & (F.col("r") <= 3),
+                      F.struct("r", F.concat("val", F.lit("("), F.col("c").cast("string"), F.lit(")")).alias("s")))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x.s), ", ")
+
+    def total(c: str, test: Column | None = None) -> Column:
+        return F.sum(F.when((F.col("col") == c) & (F.lit(True) if test is None else test), F.col("c")).otherwise(0))
+
+    out = F.col("val")
+    n_out, n_routes = total("outcome_class"), total("route_group")
+    found = vals.groupBy(*keys).agg(
+        total("token").alias("n_events_dd"), F.count_if(F.col("col") == "token").alias("n_tokens_dd"),
+        F.count_if(F.col("col") == "outcome_class").alias("n_outcomes_dd"), top3("token").alias("token_top3"),
+        top3("route_group").alias("route_group_top3"), top3("outcome_class").alias("outcome_top3"),
+        (total("outcome_class", C.error_like(out)) / F.nullif(n_out, F.lit(0))).alias("error_rate_dd"),
+        (total("outcome_class", C.rate_limit_like(out)) / F.nullif(n_out, F.lit(0))).alias("rate_limited_rate_dd"),
+        F.when(n_routes > 0, F.max(F.when((F.col("col") == "route_group") & known, F.col("c"))) / (n_routes + 1e-9)).alias("route_skew"))
     none, ts = F.lit(None).cast("double"), F.lit(None).cast("timestamp")
-    return p.select(
-        *keys, n.cast("long").alias("n_events_dd"), F.size(F.array_distinct("token")).cast("long").alias("n_tokens_dd"),
-        F.size(F.array_distinct("outcome_class")).cast("long").alias("n_outcomes_dd"),
-        _array_top(F.col("token")).alias("token_top3"), _array_top(F.col("route_group")).alias("route_group_top3"),
-        _array_top(F.col("outcome_class")).alias("outcome_top3"), F.lit("").alias("dt_bucket_top3"),
-        share(C.error_like).alias("error_rate_dd"), share(C.rate_limit_like).alias("rate_limited_rate_dd"),
-        skew.alias("route_skew"), F.coalesce(C.percent(skew), F.lit("")).alias("route_skew_pct"), none.alias("burst_score"),
+    d = p.select(*keys).distinct().join(found, list(keys), "left")    # sessions without any value stay
+    d = d.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_events_dd", "n_tokens_dd", "n_outcomes_dd")})
+    d = d.withColumns({c: F.coalesce(c, F.lit("")) for c in ("token_top3", "route_group_top3", "outcome_top3")})
+    return d.select(
+        *keys, "n_events_dd", "n_tokens_dd", "n_outcomes_dd", "token_top3", "route_group_top3", "outcome_top3",
+        F.lit("").alias("dt_bucket_top3"), "error_rate_dd", "rate_limited_rate_dd", "route_skew",
+        F.coalesce(C.percent(F.col("route_skew")), F.lit("")).alias("route_skew_pct"), none.alias("burst_score"),
         ts.alias("first_ts"), ts.alias("last_ts"), ts.alias("peak_30s_start"), ts.alias("peak_30s_end"),
         F.lit(0).cast("long").alias("peak_30s_events"), none.alias("max_events_in_30s"), none.alias("p50_gap_s"),
         none.alias("p95_gap_s"), F.lit("").alias("top_error_route"), F.lit("").alias("timeline_1line"))

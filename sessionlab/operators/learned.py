@@ -30,7 +30,8 @@ def context_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def mixture_log_probs(train: DataFrame, wanted: DataFrame, by: Sequence[str], weights: Sequence[float] = WEIGHTS) -> DataFrame:
     """ln P(t3 | t1, t2) of the wanted grams under the mixture fitted on the training grams.
 
-    Both inputs are gram counts per `by`: t1, t2, t3, c.
+    Both inputs are gram counts per `by`: t1, t2, t3, c. Where a context was not seen, or a session begins, its weight is
+    shared among the parts that are known, so the probabilities of a context always sum to one.
     """
     by = list(by)
     g3 = train
@@ -45,8 +46,12 @@ def mixture_log_probs(train: DataFrame, wanted: DataFrame, by: Sequence[str], we
     def share(num: str, den: str) -> Column:
         return F.coalesce(F.col(num) / F.col(den), F.lit(0.0))
 
-    p = weights[0] * share("n123", "n12") + weights[1] * share("n23", "n2") \
-        + weights[2] * (F.coalesce("n3", F.lit(0)) + 1) / F.coalesce("n0", F.lit(1))
+    def known(den: str, weight: float) -> Column:
+        return F.when(F.col(den).isNotNull(), F.lit(weight)).otherwise(F.lit(0.0))
+
+    p = (weights[0] * share("n123", "n12") + weights[1] * share("n23", "n2")
+         + weights[2] * (F.coalesce("n3", F.lit(0)) + 1) / F.coalesce("n0", F.lit(1))) \
+        / (known("n12", weights[0]) + known("n2", weights[1]) + weights[2])
     return w.select(*by, "t1", "t2", "t3", F.ln(p).alias("lp"))
 
 

@@ -23,16 +23,18 @@ def rule_features(events: DataFrame, keys: Sequence[str], start: str, end: str,
                   window_s: int = 30, tz: str = "Asia/Seoul") -> DataFrame:
     """The six specified features with counters, per session of (event_time, route_group, outcome, seq_no) rows.
 
-    Sessions with an unusable time keep their rates; their duration and peak are 0.
+    Sessions with an unusable time keep their rates; their duration and peak are 0, their day is that of
+    `trace_created_at` where the rows have it.
     """
     t = F.col("event_time")
     guard = F.make_dt_interval(F.lit(guard_days))
     fine = (t.isNotNull() & (t >= F.lit(start).cast("timestamp") - guard)
             & (t <= F.lit(end).cast("timestamp") + guard) & (F.year(t) != 1970))
     err, rl = F.col("outcome") == "error", F.col("outcome") == "rate_limited"
+    traced = F.col("trace_created_at") if "trace_created_at" in events.columns else F.lit(None).cast("timestamp")
     base = events.groupBy(*keys).agg(
         F.count("*").alias("n_events"), F.bool_and(F.coalesce(fine, F.lit(False))).alias("time_valid"),
-        F.min(t).alias("t0"), F.max(t).alias("t1"),
+        F.min(traced).alias("traced"), F.min(t).alias("t0"), F.max(t).alias("t1"),
         F.count_if(F.col("outcome") == "ok").alias("ok_count"), F.count_if(err).alias("error_count"),
         F.count_if(rl).alias("rate_limited_count"),
         F.min(F.when(err, t)).alias("first_err"), F.min(F.when(rl, t)).alias("first_rl"))
@@ -46,8 +48,8 @@ def rule_features(events: DataFrame, keys: Sequence[str], start: str, end: str,
                 "time_unreliable_count": F.when(ok, F.lit(0)).otherwise(n),
                 "error_rate": F.col("error_count") / n, "rate_limited_rate": F.col("rate_limited_count") / n,
                 "route_skew": F.col("top_route") / n,
-                "local_day": F.when(ok, C.local_day(F.col("t0"), tz))})
-            .drop("top_route", "peak_events", "peak_start", "peak_end"))
+                "local_day": F.when(ok, C.local_day(F.col("t0"), tz)).otherwise(C.local_day(F.col("traced"), tz))})
+            .drop("traced", "top_route", "peak_events", "peak_start", "peak_end"))
 
 
 def components() -> dict[str, Column]:

@@ -196,13 +196,29 @@ def drilldown(spark, sf):
     return gaps_in_us(D.drilldown(ev, longest(ev), window_s=W))
 
 
-@query("drilldown_arrays", f"""WITH {SESSIONS}, {DRILL}
+@query("drilldown_packed", f"WITH {SESSIONS}, {DRILL} SELECT * FROM dd")
+def drilldown_packed(spark, sf):
+    ev = X.session_events(spark, sf)
+    return gaps_in_us(D.drilldown_packed(P.pack_numbered(ev, chunk_events=20), longest(ev), window_s=W))
+
+
+ARRAYS_SQL = f"""WITH {SESSIONS}, {DRILL}
 SELECT {KEYS}, n_events_dd, n_tokens_dd, n_outcomes_dd, token_top3, route_group_top3, outcome_top3, '' AS dt_bucket_top3, error_rate_dd,
-  rate_limited_rate_dd, {r6('top_route / (n_events_dd + 1e-9::DOUBLE)')} AS route_skew, printf('%.0f%%', top_route / (n_events_dd + 1e-9::DOUBLE) * 100) AS route_skew_pct, 0 AS peak_30s_events, '' AS top_error_route, '' AS timeline_1line FROM dd JOIN sk USING ({KEYS})""")
+  rate_limited_rate_dd, {r6('top_route / (n_events_dd + 1e-9::DOUBLE)')} AS route_skew, printf('%.0f%%', top_route / (n_events_dd + 1e-9::DOUBLE) * 100) AS route_skew_pct, 0 AS peak_30s_events, '' AS top_error_route, '' AS timeline_1line FROM dd JOIN sk USING ({KEYS})"""
+UNTIMED = ("burst_score", "first_ts", "last_ts", "peak_30s_start", "peak_30s_end", "max_events_in_30s", "p50_gap_s", "p95_gap_s")
+
+
+@query("drilldown_arrays", ARRAYS_SQL)
 def drilldown_arrays(spark, sf):
     ev = X.session_events(spark, sf)
-    return D.drilldown_arrays(P.pack_numbered(ev), longest(ev)).drop(
-        "burst_score", "first_ts", "last_ts", "peak_30s_start", "peak_30s_end", "max_events_in_30s", "p50_gap_s", "p95_gap_s")
+    return D.drilldown_arrays(P.pack_numbered(ev), longest(ev)).drop(*UNTIMED)
+
+
+@query("drilldown_arrays_chunks", ARRAYS_SQL)
+def drilldown_arrays_chunks(spark, sf):
+    """Sessions of several packed rows."""
+    ev = X.session_events(spark, sf)
+    return D.drilldown_arrays(P.pack_numbered(ev, chunk_events=20), longest(ev)).drop(*UNTIMED)
 
 
 @query("histograms", f"""WITH {SESSIONS},

@@ -170,7 +170,8 @@ tr AS (SELECT * FROM gr WHERE split = 'train'),
 g3 AS (SELECT client_name, t1, t2, token, count(*) AS n123 FROM tr GROUP BY ALL), x2 AS (SELECT client_name, t1, t2, count(*) AS n12 FROM tr GROUP BY ALL),
 g2 AS (SELECT client_name, t2, token, count(*) AS n23 FROM tr GROUP BY ALL), x1 AS (SELECT client_name, t2, count(*) AS n2 FROM tr GROUP BY ALL),
 g1 AS (SELECT client_name, token, count(*) AS n3 FROM tr GROUP BY ALL), g0 AS (SELECT client_name, sum(n3) + count(*) + 1 AS n0 FROM g1 GROUP BY ALL),
-pr AS (SELECT gr.*, -ln(0.6::DOUBLE * coalesce(n123 / n12, 0) + 0.3::DOUBLE * coalesce(n23 / n2, 0) + 0.1::DOUBLE * (coalesce(n3, 0) + 1) / coalesce(n0, 1)) AS nll FROM gr
+pr AS (SELECT gr.*, -ln((0.6::DOUBLE * coalesce(n123 / n12, 0) + 0.3::DOUBLE * coalesce(n23 / n2, 0) + 0.1::DOUBLE * (coalesce(n3, 0) + 1) / coalesce(n0, 1))
+  / (CASE WHEN n12 IS NULL THEN 0::DOUBLE ELSE 0.6::DOUBLE END + CASE WHEN n2 IS NULL THEN 0::DOUBLE ELSE 0.3::DOUBLE END + 0.1::DOUBLE)) AS nll FROM gr
   LEFT JOIN g3 USING (client_name, t1, t2, token) LEFT JOIN x2 USING (client_name, t1, t2) LEFT JOIN g2 USING (client_name, t2, token)
   LEFT JOIN x1 USING (client_name, t2) LEFT JOIN g1 USING (client_name, token) LEFT JOIN g0 USING (client_name) WHERE split = 'test')
 SELECT {KEYS}, 'test' AS split, {r6('avg(nll)')} AS score_mean_nll, {r6('avg(nll) FILTER (seq_len - pos <= 8)')} AS score_tail_nll, {r6('max(nll)')} AS score_max_nll FROM pr GROUP BY {KEYS}""")

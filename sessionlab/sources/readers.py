@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +41,25 @@ def union_relaxed(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
 
 
+def _scans(spark: SparkSession, path: str) -> list[DataFrame]:
+    """One scan of a path or glob; if its files differ in the types of a column, one scan per distinct schema."""
+    try:
+        return [spark.read.option("mergeSchema", "true").parquet(path)]
+    except PySparkException as e:
+        if "CANNOT_MERGE" not in str(e):
+            raise
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    by_schema: dict[str, list[str]] = {}
+    for row in listed.select("path").sort("path").collect():
+        by_schema.setdefault(spark.read.parquet(row.path).schema.json(), []).append(row.path)
+    return [spark.read.parquet(*files) for files in by_schema.values()]
+
+
 def read_tables(spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str] | None = None,
                 clients: Sequence[str] | None = None) -> DataFrame:
-    """Parquet from one or several paths or globs. One path is one scan; several may differ in types."""
+    """Parquet from one or several paths or globs, which may differ in columns and types."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = [spark.read.option("mergeSchema", "true").parquet(p) for p in paths]
+    frames = [df for p in paths for df in _scans(spark, p)]
     df = frames[0] if len(frames) == 1 else union_relaxed(frames)
     if clients:
         df = df.where(F.col("client_name").isin(list(clients)))
