@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def _scans(spark: SparkSession, path: str) -> list[DataFrame]:
     """One scan of a path or glob; if its files differ in the types of a column, one scan per distinct schema."""
     try:
         return [spark.read.option("mergeSchema", "true").parquet(path)]
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:
         if "CANNOT_MERGE" not in str(e):
             raise
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
