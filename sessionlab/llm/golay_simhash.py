@@ -259,22 +259,21 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -> D
     return materialize(both.where(under * common >= over * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
 
 
-def with_root(df: DataFrame, edges: DataFrame) -> DataFrame:
-    """`df` with root, the component of its set_key under `edges`."""
-    found = components(edges)
-    nodes = small_side(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
-    return df.join(nodes, df.set_key == nodes.node, "left").drop("node").withColumn("root", F.coalesce("root", "set_key"))
+def with_root(df: DataFrame, found: DataFrame, col: str = "set_key") -> DataFrame:
+    """`df` with root, the component of `col` among the components `found` (node, root)."""
+    nodes = small_side(found.select("node", F.col("root").alias("found_root")))
+    return df.join(nodes, df[col] == nodes.node, "left").withColumn("root", F.coalesce("found_root", col)).drop("node", "found_root")
 
 
 def similar_documents(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: the smallest id reachable over fingerprint links and links of a Jaccard similarity of 0.8 or more."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(sketches(docs, size), "sketches")
-    _, nodes = fingerprint_roots(rows.select("doc_id", "fp"))
-    fps = rows.select("fp", "set_key").distinct()
-    placed = fps.join(nodes, fps.fp == nodes.node, "left").select("set_key", F.coalesce("root", "fp").alias("root"))
-    heads = placed.groupBy("root").agg(F.min("set_key").alias("head"), F.max("set_key").alias("last")).where("head < last").drop("last")
-    near = materialize(placed.join(heads, "root").where("set_key != head").select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct(), "links")
+    fps = materialize(rows.select("fp", "set_key").distinct(), "fingerprints")
+    heads = materialize(fps.groupBy("fp").agg(F.min("set_key").alias("head")), "classes")
+    same = fps.join(heads, "fp").where("set_key != head").select(F.col("head").alias("a"), F.col("set_key").alias("b"))
+    far = fingerprint_links(heads).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("of_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("of_b")), "b")
+    near = materialize(same.unionByName(far.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).distinct(), "links")
 
     sets = rows.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "code0", "code1", "bands")))
     sets = materialize(sets, "shingle-classes")
@@ -284,7 +283,8 @@ def similar_documents(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id"
     starred = met.where("set_key != head").select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct()
     links = near.unionByName(verified(starred, sets, docs, size))
 
-    apart = with_root(met, links)
+    joined = materialize(components(links), "roots")
+    apart = with_root(met, joined)
     split = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("bucket"))
     open_ = materialize(apart.join(split, F.col("key") == F.col("bucket"), "left_semi"), "open-buckets")
     a, b = open_.alias("a"), open_.alias("b")
@@ -294,7 +294,10 @@ def similar_documents(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id"
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.set_key") < F.col("b.set_key")) & (F.col("a.root") != F.col("b.root")) & sizes_fit & (differ <= CODE_BITS))
     # Pairs with the bucket's smallest member are judged already.
     across = across.where("a.set_key != a.head").select(F.col("a.set_key").alias("a"), F.col("b.set_key").alias("b")).distinct()
-    labelled = with_root(sets.select("set_key", "rep"), links.unionByName(verified(across, sets, docs, size)))
+    # What the last links join are components as a whole.
+    added = verified(across, sets, docs, size)
+    bridges = with_root(with_root(added, joined, "a").select("b", F.col("root").alias("a")), joined, "b").select("a", F.col("root").alias("b"))
+    labelled = with_root(with_root(sets.select("set_key", "rep"), joined).withColumnRenamed("root", "first_root"), components(bridges), "first_root").drop("first_root")
     lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("sets"))
     shared = rows.groupBy("set_key").agg(F.count("*").alias("copies"))
     grouped = labelled.join(lowest, "root").join(shared, "set_key").where("sets > 1 or copies > 1")
