@@ -164,6 +164,14 @@ def test_pseudonyms(spark):
     assert got[3].text == f"again {m[2]} and {m[1].replace(' ', '-')}"
 
 
+def test_phone_numbers_by_length_and_punctuation(spark):
+    numbers = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (489) 055-1352", "(017) 555-7713", "117-155-7713"]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, [(i, f"Call {n} now", "s") for i, n in enumerate(numbers)]), "k").collect()}
+    for i, n in enumerate(numbers):
+        fresh = got[i].text[5:-4]
+        assert got[i].n_replaced == 1 and fresh != n and re.sub(r"\d", "0", fresh) == re.sub(r"\d", "0", n), n
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
     df = spark.range(1000)
