@@ -22,13 +22,22 @@ ROUNDS = 10
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"
 PASSWORD = r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api_key)[=:] ?[^\s,;\"']{4,200}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
-CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
-ANY = "|".join((EMAIL, KEY, PASSWORD, IBAN, IP, DATE, SSN, PHONE, CARD))
+PHONE3 = r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+PHONE = (r"(?<![A-Za-z0-9])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|"
+         rf"\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}})(?:(?! (?:{IP}|{DATE}|{SSN}))[ .-]?[0-9]{{2,4}}){{2,4}}|\([0-9]{{3}}\) ?[0-9]{{3}}-[0-9]{{4}}|{PHONE3})(?![0-9])")
+# Cards and IBANs stand in runs of groups, which end where a value of another format begins; the values are looked for inside.
+OTHER = f"(?! (?:{EMAIL}|{KEY}|{IP}|{DATE}|{SSN}|{PHONE3}))"
+IBANS = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{8}})[A-Z0-9]++(?![a-z])(?:{OTHER}[ -][A-Z0-9]++(?![a-z]))*+"
+CARDS = rf"(?<![A-Za-z0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:{OTHER}[ -][0-9]++(?![A-Za-z]))*+"
+ANY = "|".join((EMAIL, KEY, PASSWORD, IBANS, IP, DATE, SSN, PHONE, CARDS))
+# Readings of a run at its group bounds, the first valid ones win: longer before shorter, for cards those of the usual first digits before others.
+IBAN_READINGS = tuple(rf"(?<![A-Za-z0-9])(?=([A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}})(?![A-Za-z0-9]))" for n in range(31, 7, -1))
+CARD_READINGS = tuple(rf"(?<![A-Za-z0-9])(?=({first}(?:[ -]?[0-9]){{{n}}})(?![A-Za-z0-9]))" for first in ("[2-6]", "[0-9]") for n in range(18, 11, -1))
+HIDDEN = "".join(chr(0xE000 + i) for i in range(36))
+SHOWN = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def digits(s: Column) -> Column:
@@ -164,17 +173,40 @@ def password(m: Column, key: str) -> tuple[Column, Column]:
     return F.lit(True), F.concat(name, feistel(part(m, F.length(name) + 1), key, "password"))
 
 
+def in_run(m: Column, key: str) -> tuple[Column, Column]:
+    """A run of groups with the cards and IBANs in it replaced, and their number. What is replaced is hidden from later readings."""
+    def readings(patterns):
+        return F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, patterns)), lambda p: F.regexp_extract_all(m, p, F.lit(1)))))
+
+    def put(kind):
+        def step(acc, r):
+            ok, fresh = kind(r, key)
+            bounded = F.concat(F.lit(f"(?<![A-Za-z0-9{HIDDEN}])"), r, F.lit(f"(?![A-Za-z0-9{HIDDEN}])"))
+            return F.when(ok, F.struct(F.regexp_replace(acc["s"], bounded, F.translate(fresh, SHOWN, HIDDEN)).alias("s"),
+                                       (acc["n"] + F.regexp_count(acc["s"], bounded)).alias("n"))).otherwise(acc)
+        return step
+    start = F.struct(m.alias("s"), F.lit(0).alias("n"))
+    ibans = F.when(m.rlike("^[A-Z]"), F.aggregate(readings(IBAN_READINGS), start, put(iban))).otherwise(start)
+    end = F.aggregate(readings(CARD_READINGS), ibans, put(card))
+    return F.translate(end["s"], HIDDEN, SHOWN), end["n"]
+
+
 def pseudonym(m: Column, key: str) -> Column:
-    """One match with its pseudonym in place of the value, or null where the value fails its check."""
+    """One match with pseudonyms in place of its values (s) and their number (n, 0 where no value passes its check)."""
     def when_ok(found):
-        return F.when(found[0], found[1])
-    kinds = ((m.rlike(f"^(?:{PASSWORD})$"), password), (m.contains("@"), email), (m.rlike("^A[KS]IA[0-9A-Z]{16}$"), access_key), (m.rlike("^[A-Z]{2}"), iban),
+        return F.when(found[0], F.struct(found[1].alias("s"), F.lit(1).alias("n"))).otherwise(F.struct(m.alias("s"), F.lit(0).alias("n")))
+
+    def run(m, key):
+        s, n = in_run(m, key)
+        return F.struct(s.alias("s"), n.alias("n"))
+    kinds = ((m.rlike(f"^(?:{PASSWORD})$"), password), (m.contains("@"), email), (m.rlike("^A[KS]IA[0-9A-Z]{16}$"), access_key), (m.rlike("^[A-Z]{2}"), None),
              (m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), ip), (m.rlike(r"^(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})$"), date),
              (m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ssn), (m.rlike(r"^[+(]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), phone))
     out = None
     for test, fn in kinds:
-        out = F.when(test, when_ok(fn(m, key))) if out is None else out.when(test, when_ok(fn(m, key)))
-    return out.otherwise(when_ok(card(m, key)))
+        fresh = run(m, key) if fn is None else when_ok(fn(m, key))
+        out = F.when(test, fresh) if out is None else out.when(test, fresh)
+    return out.otherwise(run(m, key))
 
 
 def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -183,10 +215,9 @@ def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFr
     found = F.when(text.rlike("[0-9@]|(?:password|passwd|pwd|secret|token|api_key)[=:]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     some = docs.withColumn("_found", F.coalesce(found, F.when(text.isNotNull(), F.array().cast("array<string>"))))
     fresh = some.withColumn("_fresh", F.transform("_found", lambda m: pseudonym(m, key)))
-    put = F.zip_with("_fresh", "_found", lambda a, b: F.coalesce(a, b))
-    whole = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(put, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    whole = F.array_join(F.zip_with(F.split(text, ANY, -1), F.concat(F.col("_fresh.s"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     return fresh.withColumn(text_col, F.when(F.size("_found") > 0, whole).otherwise(text)).withColumn(
-        "_replaced", F.when(text.isNotNull(), F.size(F.filter("_fresh", lambda x: x.isNotNull()))).cast("long")).drop("_found", "_fresh")
+        "_replaced", F.when(text.isNotNull(), F.aggregate("_fresh", F.lit(0), lambda acc, f: acc + f["n"])).cast("long")).drop("_found", "_fresh")
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
