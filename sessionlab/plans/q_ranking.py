@@ -10,7 +10,6 @@ from ..operators import risk as R
 from ..operators import sessionize as Z
 from ..operators import stats as St
 from ..operators.forest import rank_by_forest
-from ..operators.neighbours import lof as lof_scores
 from ..profiles import SPEC
 from ..schema import FEATURES, SESSION_KEYS
 from ..staging import materialize
@@ -125,11 +124,6 @@ def feature_summary(spark, sf):
     return A.summarize(A.score_features(weekly_features(spark, sf)), X.weekly_events(spark, sf), window_s=W)[0]
 
 
-@query("lof")
-def lof(spark, sf):
-    return lof_scores(weekly_features(spark, sf), ["day"], SESSION_KEYS, FEATURES).select(*SESSION_KEYS, "lof")
-
-
 TAGGED = f"""{SESSIONS}, {DRILL},
 du AS (SELECT {KEYS}, date_diff('second', first, last) AS duration_s FROM (SELECT {KEYS}, min(event_time) AS first, max(event_time) AS last FROM ev GROUP BY {KEYS})),
 tg AS (SELECT dd.*, duration_s, dd1.error_rate_dd AS er, dd1.rate_limited_rate_dd AS rl, dd1.route_skew AS sk, dd1.burst_score AS bs FROM dd JOIN du USING ({KEYS}) JOIN dd1 USING ({KEYS}))"""

@@ -76,3 +76,7 @@ def test_entry_and_contract(spark):
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 90
     assert entry.entry(spark).count() > 0
+
+
+def test_sampled_outlier_factor_is_not_registered():
+    assert "lof" not in entry.queries()
