@@ -278,6 +278,20 @@ def test_templates(spark):
     assert sorted(r.doc_id for r in template_match.clean_documents(docs(spark, rows), bench).collect()) == [2, 4, 5, 6, 8]
 
 
+def test_verbatim_and_repeated_values(spark):
+    q = "In the shop a man named Peter buys 12 apples and 30 pears for 5 kg of flour, while a woman named Peter sells 12 more."
+    unlike = q.replace("named Peter buys", "named Anna buys")
+    even = "Each of the small groups in our school has 2 boys and 2 girls who play together."
+    dense = "Add 12 kg, 13 kg, 14 kg, 15 kg, 16 kg and 17 kg."
+    named = "and Anna met Berta and Clara and Doris and Emma and Frida and Greta"
+    bench = spark.createDataFrame([(7, q), (8, even), (9, dense), (10, named)], "item_id long, text string")
+    w = prose(40, 1)
+    rows = [(1, f"{w}. {q} {w}. {unlike}", "s"), (2, f"{w}. {unlike}", "s"), (3, even.replace("2 boys and 2", "3 boys and 5"), "s"), (4, f"{w} {dense} {w}", "s"),
+            (5, named.lower(), "s"), (6, dense.replace("17", "18").replace("14", "99").replace("15", "1"), "s"), (7, q.replace("sells 12", "sells 13"), "s"), (8, q.title(), "s")]
+    got = {r.doc_id: r["items"] for r in template_match.contamination(docs(spark, rows), bench).collect()}
+    assert got == {1: [7], 2: [], 3: [8], 4: [9], 5: [10], 6: [], 7: [7], 8: [7]}
+
+
 def test_templates_use_no_python(spark):
     bench = spark.createDataFrame([(7, prose(20, 1))], "item_id long, text string")
     for df in (template_match.contamination(docs(spark, EDGE), bench), pseudonyms.pseudonymise(docs(spark, EDGE), "k")):
