@@ -2,13 +2,12 @@
 
 A gear rolling hash over the last 16 bytes cuts a text at starts of words, about every sixth word, so an insertion moves
 only the cuts beside it. Chunks are compared by digest. Of a chunk that occurs in several documents the document with
-the smallest id keeps it, of one that repeats within a document the first place; the others are removed where
+the smallest id keeps it (of rows that share it, the text with the smallest hash), of one that repeats within a document the first place; the others are removed where
 neighbouring removable chunks add up to `min_words` words.
 
 Defined results: a null text stays null and an empty one empty; rows that repeat an id with the same text are one document
-and get the same result; rows of one id with other texts are told apart by 16 bits of a text hash and count as one
-document among themselves; null ids count as one document, which keeps nothing that a real id has; an empty table gives
-an empty result; columns other than id and text are not read.
+and get the same result; rows of one id with other texts, null ids included, are told apart by 64 bits of a text hash and are documents of
+their own; a null id keeps nothing that a real id has; an empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -71,7 +70,7 @@ def cuts(data: bytes) -> np.ndarray:
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """(digest, doc_id, span, tag, again) of every chunk of `docs` (doc_id, text, tag): span is start << 20 | length."""
-    shape = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64()), ("tag", pa.int32()), ("again", pa.bool_())])
+    shape = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64()), ("tag", pa.int64()), ("again", pa.bool_())])
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
@@ -94,7 +93,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 [pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), batch.column(0).take(take),
                  pa.array(np.concatenate(spans).astype(np.int64)), batch.column(2).take(take), pa.array(again, type=pa.bool_())], schema=shape)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return docs.mapInArrow(run, "digest long, doc_id long, span long, tag int, again boolean")
+    return docs.mapInArrow(run, "digest long, doc_id long, span long, tag long, again boolean")
 
 
 def remove_spans(text: str, spans: list[int], min_words: int) -> tuple[str, int, int, str]:
@@ -124,11 +123,12 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     Shuffled are the chunks (four numbers each), twice: to find the first document of each digest, which is a partial
     minimum before the shuffle, and to join it back, a plain join that adaptive execution splits at a hot passage.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tag", (F.xxhash64("text").bitwiseAND(0xFFFF)).cast("int"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("tag", F.xxhash64("text"))
     chunks = chunk_rows(base.select("doc_id", "text", "tag"))
-    firsts = chunks.where("not again").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first", F.lit(True).alias("met"))
+    firsts = chunks.where("not again").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first"), F.count("*").alias("n")).where("n > 1").select(
+        "digest", F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag"), F.lit(True).alias("met"))
     joined = chunks.join(firsts, "digest", "left")
-    extra = joined.where(F.col("again") | (F.col("met") & ~F.col("doc_id").eqNullSafe(F.col("first"))))
+    extra = joined.where(F.col("again") | (F.col("met") & ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tag") == F.col("first_tag")))))
     spans = extra.groupBy("doc_id", "tag").agg(F.collect_set("span").alias("spans")).withColumnsRenamed({"doc_id": "span_id", "tag": "span_tag"})
     found = base.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("tag") == F.col("span_tag")), "left").select("doc_id", "text", "spans")
 

@@ -144,6 +144,15 @@ def test_chunks_survive_insertions_and_repeats_go(spark):
     assert got[99].removed_words > 12
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    shared, own = prose(40, 11), [prose(60, 1000 + i) + " é" for i in range(1200)]
+    rows = [(None if i % 2 else 7, t, "s") for i, t in enumerate(own)] + [(None, f"{prose(30, 12)} {shared}", "s"), (None, f"{prose(30, 13)} {shared}", "s"), (9, f"{prose(30, 14)} {shared}", "s"), (9, f"{prose(30, 15)} {shared}", "s")]
+    got = chunk_dedup.dedup_substrings(docs(spark, rows)).collect()
+    middle = " ".join(shared.split()[15:25])
+    assert len(got) == len(rows) and sum(middle in r.text for r in got) == 1 and [r.doc_id for r in got if middle in r.text] == [9]
+    assert {r.text for r in got} >= set(own)
+
+
 def luhn(s):
     return sum((lambda v: v - 9 * (v > 9))(int(c) * (1 + k % 2)) for k, c in enumerate(s[::-1])) % 10 == 0
 
