@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.registry import SETTINGS
-from . import block_mixing, bpe_count, chunk_dedup, compression_toxicity, fill_middle, golay_simhash, host_rules, mincut_extract, pseudonyms, template_match, warc_zip
+from . import block_mixing, bpe_count, chunk_dedup, compression_toxicity, conversation_trie, fill_middle, golay_simhash, host_rules, mincut_extract, pseudonyms, template_match, warc_zip
 from .common import table
 
 QUERIES: dict = {}
@@ -108,6 +108,27 @@ def op10(spark, sf_dir):
     return block_mixing.Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query("op11_conversation_trie", r"""
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+             xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                 lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM c)),
+r AS (SELECT k.conv_id, 0 AS part, pos, role, text FROM k JOIN c ON c.conv_id = k.base AND pos < h UNION ALL SELECT k.conv_id, 1, pos, role, text FROM k JOIN c ON c.conv_id = k.conv_id AND pos >= h),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, md5(length(role) || ':' || role || text) AS turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+p AS (SELECT conv_id, depth, words, md5(string_agg(turn, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM o),
+s AS (SELECT conv_id, depth, node, lag(node, 1, 'root') OVER (PARTITION BY conv_id ORDER BY depth) AS parent, words FROM p UNION ALL SELECT conv_id, 0, 'root', NULL, 0 FROM k),
+n AS (SELECT node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(depth) AS depth, any_value(parent) AS parent, any_value(words) AS words FROM s GROUP BY node),
+kids AS (SELECT parent, count(*) AS n FROM n WHERE parent IS NOT NULL GROUP BY parent),
+ends AS (SELECT node, string_agg(s.conv_id::VARCHAR, ',' ORDER BY s.conv_id) AS ids FROM s JOIN (SELECT conv_id, max(depth) AS depth FROM s GROUP BY conv_id) l ON s.conv_id = l.conv_id AND s.depth = l.depth GROUP BY node),
+up AS (SELECT a.node AS top, (kids.n IS NULL)::BIGINT AS leaf, (n.n_convs - 1) * n.words AS saved FROM n JOIN s a ON a.conv_id = n.conv_id AND a.depth <= n.depth LEFT JOIN kids ON kids.parent = n.node),
+t AS (SELECT top, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY top)
+SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN t ON t.top = n.node LEFT JOIN kids ON kids.parent = n.node LEFT JOIN ends ON ends.node = n.node LEFT JOIN n o ON o.node = n.parent""")
+def op11(spark, sf_dir):
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op12_fill_in_middle", r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
 h AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
