@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.registry import SETTINGS
-from . import block_mixing, bpe_count, chunk_dedup, compression_toxicity, conversation_trie, fill_middle, golay_simhash, host_rules, mincut_extract, pseudonyms, template_match, warc_zip
+from . import block_mixing, bpe_count, chunk_dedup, compression_toxicity, conversation_trie, fill_middle, golay_simhash, host_rules, jaccard_join, mincut_extract, pseudonyms, template_match, warc_zip
 from .common import table
 
 QUERIES: dict = {}
@@ -146,6 +146,11 @@ def op12(spark, sf_dir):
                        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+@query("op13_jaccard_join")
+def op13(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
