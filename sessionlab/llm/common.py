@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import materialize
@@ -15,9 +16,6 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double":
 # A word of the contracts: a run without ASCII white space. The same six characters are what bytes.split() splits on.
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Rows of one Arrow batch: with texts of some hundred kilobytes a batch still fits a worker.
-BATCH_ROWS = 1000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +26,10 @@ def schema_of(fields: str) -> pa.Schema:
 
 
 def map_columns(df: DataFrame, fn: Callable[..., Iterable[list]], fields: str) -> DataFrame:
-    """Batches of `df` through `fn`, which gets one Python list per column and returns one list (or array) per field."""
+    """Batches of `df` through `fn`, which gets one Python list per column and returns one list (or array) per field.
+
+    Spark cuts batches at 10,000 rows or 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), whichever comes first.
+    """
     shape = schema_of(fields)
 
     def run(batches):
@@ -36,10 +37,33 @@ def map_columns(df: DataFrame, fn: Callable[..., Iterable[list]], fields: str) -
             out = fn(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, shape)], schema=shape)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, fields)
 
 
+def text_key(col: str) -> list[Column]:
+    """128 bits that tell texts apart, as t1 and t2. With the id they are the key of a row; equal rows share it."""
+    return [F.xxhash64(F.col(col)).alias("t1"), F.xxhash64(F.lit(7), F.length(col), F.col(col)).alias("t2")]
+
+
+def before(df: DataFrame, keys: Sequence[str], group: str, order: Sequence, values: dict[str, str], xor: bool = False) -> DataFrame:
+    """Add for each `name: column` of `values` the sum (or exclusive-or) of the column over the earlier rows of `keys`.
+
+    Rows are ordered by `group`, then by `order`. One window runs over the groups' totals, another inside each group.
+    """
+    combine = F.bit_xor if xor else F.sum
+    zero = F.lit(0).cast("long")
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, group).agg(*(combine(c).alias(f"_t_{n}") for n, c in values.items()))
+    starts = totals.select(*(F.col(k).alias(f"_k_{k}") for k in (*keys, group)), *(
+        F.coalesce(combine(f"_t_{n}").over(ahead(Window.partitionBy(*keys).orderBy(group))), zero).alias(f"_b_{n}") for n in values))
+    met = df.join(starts, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, group)]))
+    inside = ahead(Window.partitionBy(*keys, group).orderBy(*order))
+    for n, c in values.items():
+        own = F.coalesce(combine(c).over(inside), zero)
+        met = met.withColumn(n, F.col(f"_b_{n}").bitwiseXOR(own) if xor else F.col(f"_b_{n}") + own)
+    return met.drop(*(f"_k_{k}" for k in (*keys, group)), *(f"_b_{n}" for n in values))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b: long): each node with the smallest node it reaches, as (node, root).
 

@@ -22,11 +22,11 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import hot_join, materialize
-from .common import WORD
+from .common import WORD, before
 
 FAMILY = 20  # conversations c - c % FAMILY lend their first turns
 MAX_LENT = 4
@@ -37,25 +37,6 @@ CHUNK_BITS = 8  # numbers of a node's list with equal higher bits are joined to
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 
 
-def before(df: DataFrame, keys: Sequence[str], group: str, order: Sequence, values: dict[str, str], xor: bool = False) -> DataFrame:
-    """Add for each `name: column` of `values` the sum (or exclusive-or) of the column over the earlier rows of `keys`.
-
-    Rows are ordered by `group`, then by `order`. One window runs over the groups' totals, another inside each group.
-    """
-    combine = F.bit_xor if xor else F.sum
-    zero = F.lit(0).cast("long")
-    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, group).agg(*(combine(c).alias(f"_t_{n}") for n, c in values.items()))
-    starts = totals.select(*(F.col(k).alias(f"_k_{k}") for k in (*keys, group)), *(
-        F.coalesce(combine(f"_t_{n}").over(ahead(Window.partitionBy(*keys).orderBy(group))), zero).alias(f"_b_{n}") for n in values))
-    met = df.join(starts, reduce(Column.__and__, [F.col(k) == F.col(f"_k_{k}") for k in (*keys, group)]))
-    inside = ahead(Window.partitionBy(*keys, group).orderBy(*order))
-    for n, c in values.items():
-        own = F.coalesce(combine(c).over(inside), zero)
-        met = met.withColumn(n, F.col(f"_b_{n}").bitwiseXOR(own) if xor else F.col(f"_b_{n}") + own)
-    return met.drop(*(f"_k_{k}" for k in (*keys, group)), *(f"_b_{n}" for n in values))
-
-
 def turns(conversations: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """(conv, pos, d1, d2, words): every turn with its place in its conversation, its text as 128 bits and a word count."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in (role_col, text_col))

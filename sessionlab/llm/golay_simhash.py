@@ -9,13 +9,13 @@ exact way: two fingerprints are within two bits if and only if they have a neigh
 member goes to its 65 neighbours and is linked to the smallest member found there; no bucket's pairs are written out.
 
 Copies of a similarity of 0.8 on five-word shingles differ in about ten of 64 bits, out of reach of such keys. For them
-(`similar_documents`) the links above are joined by a second kind of key, hashes of minima of the shingles' hashes in bands,
-whose pairs are verified by the exact Jaccard similarity. Each bucket's members are first compared with its smallest one; only
-members that the links found by then leave in different components are compared with each other.
+(`similar_documents`) the links above are joined by the exact links of that similarity (`jaccard_join`).
 
 Defined results: null and empty texts have fingerprint zero; equal fingerprints are one class, however many rows hold it;
-a null id is never a component's id unless the component has no other, and rows without an id are never left out; an empty table gives an empty result; columns
-other than id and text are not read.
+a null id is never a component's id unless the component has no other; an empty table gives an empty result; columns other
+than id and text are not read. Where one row of each component is kept, rows are known by id and a 128-bit hash of the text:
+it is the one with the smallest id, of rows that share this id the one with the smallest hash, of equal rows any one. Rows
+with a null id are always kept.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import materialize, small_side
-from .common import BATCH_ROWS, components, map_columns
+from . import jaccard_join
+from .common import components, map_columns, text_key
 
 # The generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the code, and the seed of the hash.
 GENERATOR = 0b110001110101
@@ -39,11 +40,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
 MAX_BITS = 2
 BUCKET = 64
 
-# Similar documents: of pairs at a Jaccard similarity of 0.8, one in 70,000 shares none of 28 bands of 5 minima.
-WORDS = 5
-BANDS, BAND_ROWS = 28, 5
-SIMILARITY = (4, 5)  # as a fraction
-CODE_BITS = 32  # of 128 bits, one a minimum, a pair at 0.8 differs in 13 on average and in more than 32 once in 1,000,000
+# Similar documents: words of a shingle and similarity.
+ALIKE = jaccard_join.Likeness(5, 4, 5)
 
 
 def hashes(words: list[bytes], size: int) -> list[int]:
@@ -75,10 +73,10 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
-    def run(ids, texts):
-        return ids, np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64)
-    return map_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    """doc_id, t1, t2 (the text's hash) and fp (the fingerprint as a signed long) of every row."""
+    def run(ids, t1, t2, texts):
+        return ids, t1, t2, np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64)
+    return map_columns(docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(text_col), F.col(text_col).alias("text")), run, "doc_id long, t1 long, t2 long, fp long")
 
 
 def remainder(word: int) -> int:
@@ -161,163 +159,91 @@ def fingerprint_roots(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id: the smallest id reachable over links of two differing bits or fewer."""
+def _fingerprint_components(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t1, t2, fp, root and component_id of every row; the last two null where no other row is linked."""
     rows = materialize(fingerprints(docs, size, id_col, text_col), "fingerprints")
     classes, nodes = fingerprint_roots(rows)
     placed = nodes.join(classes, nodes.node == classes.fp).select("node", "root", "rep")
-    lowest = placed.groupBy("root").agg(F.min("rep").alias("label"))
-    linked = placed.join(lowest, "root").select(F.col("node").alias("fp"), "label")
-    alone = classes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("rep").alias("label"))
+    lowest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = placed.join(lowest, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    alone = classes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("rep").alias("component_id"))
     labels = small_side(linked.unionByName(alone)).withColumnRenamed("fp", "label_fp")
-    joined = rows.join(labels, F.col("fp") == F.col("label_fp"), "left")
-    return joined.select("doc_id", "fp", F.coalesce("label", "doc_id").alias("component_id"))
-
-
-def hex_fingerprint(fp) -> F.Column:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def _odd(name: str, n: int) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(f"{name}{i}", SEED) | 1 for i in range(n)], dtype=np.uint64)
-
-
-class Minima:
-    """Band keys and codes of shingle sets. Hash i of a shingle h is (h ^ flip[i]) * factor[i]."""
-
-    def __init__(self):
-        n = BANDS * BAND_ROWS
-        self.flip, self.factor, self.mix, self.band = _odd("flip", n), _odd("factor", n), _odd("mix", BAND_ROWS), _odd("band", BANDS)
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        low = np.full(BANDS * BAND_ROWS, 2**64 - 1, dtype=np.uint64)
-        for at in range(0, len(h), 1024):
-            np.minimum(low, ((h[at:at + 1024, None] ^ self.flip) * self.factor).min(axis=0), out=low)
-        return low
+    return rows.join(labels, F.col("fp") == F.col("label_fp"), "left").drop("label_fp")
 
-    def keys(self, low: np.ndarray) -> np.ndarray:
-        mixed = (low.reshape(BANDS, BAND_ROWS) * self.mix).sum(axis=1, dtype=np.uint64)
-        return (mixed ^ (mixed >> np.uint64(29)) ^ self.band) * self.band
 
-    def codes(self, low: np.ndarray) -> np.ndarray:
-        return np.packbits((low[:128] & np.uint64(1)).astype(np.uint8)).view(np.int64)
+def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id: the smallest id reachable over links of two differing bits or fewer."""
+    return _fingerprint_components(docs, size, id_col, text_col).select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-_minima: list[Minima] = []
+def hex_fingerprint(fp) -> F.Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
 def shingle_set(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles, and of the different ones in order."""
+    """Hashes of all shingles, and the different ones as a sorted signed array."""
     h = np.array(hashes((text or "").encode().lower().split(), size), dtype=np.uint64)
-    return h, np.unique(h)
-
-
-def set_key(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+    return h, np.unique(h.view(np.int64))
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Of every row of `docs` (doc_id, text): doc_id, fp, set_key (digest of the shingle set), n (its size), code0, code1 and the band keys."""
-    fields = "doc_id long, fp long, set_key long, n long, code0 long, code1 long, bands array<long>"
+def _similar_components(docs: DataFrame, like: jaccard_join.Likeness, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t1, t2, root and component_id of every row; the last two null where no other row is linked."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        if not _minima:
-            _minima.append(Minima())
-        m = _minima[0]
         for b in batches:
-            numbers, bands = [], []
-            for text in b.column(1).to_pylist():
-                h, u = shingle_set(text, size)
-                low = m.of(u)
-                head = np.array([majority(h), set_key(u)], dtype=np.uint64).view(np.int64).tolist()
-                numbers.append((*head, len(u), *m.codes(low).tolist()))
-                bands.append(m.keys(low).view(np.int64).tolist() if len(u) else [])
-            columns = list(zip(*numbers)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, type=pa.int64()) for c in columns), pa.array(bands, type=pa.list_(pa.int64()))],
-                                             names=[f.split()[0] for f in fields.split(", ")])
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return docs.mapInArrow(run, fields)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Of `pairs` (a, b: set keys of `sets`) those at the similarity. `docs` (doc_id, text) are read again for the texts that occur in a pair."""
-    pairs = materialize(pairs, "pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct(), "pair-members")
-    ids = small_side(sets.join(wanted, "set_key", "left_semi").select(F.col("rep").alias("wanted_id")).distinct())
+            fps, made = [], []
+            for text in b.column(3).to_pylist():
+                h, found = shingle_set(text, like.words)
+                fps.append(majority(h))
+                made.append(jaccard_join.sketch(found, like))
+            fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], fps, *jaccard_join.sketch_columns(made)], names=["doc_id", "t1", "t2", "fp", "set_key", "n", "head", "parity"])
+    rows = docs.select("doc_id", *text_key("text"), "text").mapInArrow(run, f"doc_id long, t1 long, t2 long, fp long, {jaccard_join.SKETCH}")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    classes = materialize(rows.groupBy("set_key").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+
+    fps = materialize(rows.select("fp", "set_key").distinct().join(classes, "set_key").select("fp", "id"), "fingerprints")
+    heads = materialize(fps.groupBy("fp").agg(F.min("id").alias("head")), "fingerprint-heads")
+    same = fps.join(heads, "fp").where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    far = fingerprint_links(heads).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("of_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("of_b")), "b")
+    near = same.unionByName(far.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
 
-    def run(batches):
-        for b in batches:
-            found = [shingle_set(t, size)[1] for t in b.column(0).to_pylist()]
-            keys = np.array([set_key(u) for u in found], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([u.view(np.int64) for u in found], type=pa.list_(pa.int64()))], names=["set_key", "shingles"])
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
-    held = texts.mapInArrow(run, "set_key long, shingles array<long>").join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
-    held = materialize(held, "shingle-sets")
-    both = pairs.join(held.select(F.col("set_key").alias("a"), F.col("shingles").alias("sa")), "a").join(held.select(F.col("set_key").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    over, under = SIMILARITY
-    return materialize(both.where(under * common >= over * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+    chosen = classes.select("id", "rep")
+    sets = materialize(rows.where(F.col("n") >= like.least).join(chosen, F.col("row") == F.col("id")).select("id", "set_key", "rep", "n", "head", "parity"), "sets")
+    roots = components(near.unionByName(jaccard_join.jaccard_links(sets, docs, like)))
+    placed = jaccard_join.with_root(classes, roots)
+    lowest = placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows"))
+    labels = small_side(placed.join(lowest.where("rows > 1"), "root").select(F.col("set_key").alias("label_key"), "root", "component_id"))
+    return rows.join(labels, F.col("set_key") == F.col("label_key"), "left").select("doc_id", "t1", "t2", "root", "component_id")
 
 
-def with_root(df: DataFrame, found: DataFrame, col: str = "set_key") -> DataFrame:
-    """`df` with root, the component of `col` among the components `found` (node, root)."""
-    nodes = small_side(found.select("node", F.col("root").alias("found_root")))
-    return df.join(nodes, df[col] == nodes.node, "left").withColumn("root", F.coalesce("found_root", col)).drop("node", "found_root")
+def similar_documents(docs: DataFrame, like: jaccard_join.Likeness = ALIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: the smallest id reachable over fingerprint links and links of a Jaccard similarity of 0.8 or more."""
+    return _similar_components(docs, like, id_col, text_col).select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: the smallest id reachable over fingerprint links and links of a Jaccard similarity of 0.8 or more."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(sketches(docs, size), "sketches")
-    fps = materialize(rows.select("fp", "set_key").distinct(), "fingerprints")
-    heads = materialize(fps.groupBy("fp").agg(F.min("set_key").alias("head")), "classes")
-    same = fps.join(heads, "fp").where("set_key != head").select(F.col("head").alias("a"), F.col("set_key").alias("b"))
-    far = fingerprint_links(heads).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("of_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("of_b")), "b")
-    near = materialize(same.unionByName(far.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).distinct(), "links")
-
-    sets = rows.groupBy("set_key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "code0", "code1", "bands")))
-    sets = materialize(sets, "shingle-classes")
-    keys = sets.select("set_key", "n", "code0", "code1", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("set_key").alias("head"), F.count("*").alias("members")).where("members > 1").select(F.col("key").alias("bucket"), "head")
-    met = materialize(keys.join(buckets, F.col("key") == F.col("bucket")).drop("bucket"), "buckets")
-    starred = met.where("set_key != head").select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct()
-    links = near.unionByName(verified(starred, sets, docs, size))
-
-    joined = materialize(components(links), "roots")
-    apart = with_root(met, joined)
-    split = apart.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select(F.col("key").alias("bucket"))
-    open_ = materialize(apart.join(split, F.col("key") == F.col("bucket"), "left_semi"), "open-buckets")
-    a, b = open_.alias("a"), open_.alias("b")
-    over, under = SIMILARITY
-    differ = sum(F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("code0", "code1"))
-    sizes_fit = under * F.least("a.n", "b.n") >= over * F.greatest("a.n", "b.n")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.set_key") < F.col("b.set_key")) & (F.col("a.root") != F.col("b.root")) & sizes_fit & (differ <= CODE_BITS))
-    # Pairs with the bucket's smallest member are judged already.
-    across = across.where("a.set_key != a.head").select(F.col("a.set_key").alias("a"), F.col("b.set_key").alias("b")).distinct()
-    # What the last links join are components as a whole.
-    added = verified(across, sets, docs, size)
-    bridges = with_root(with_root(added, joined, "a").select("b", F.col("root").alias("a")), joined, "b").select("a", F.col("root").alias("b"))
-    labelled = with_root(with_root(sets.select("set_key", "rep"), joined).withColumnRenamed("root", "first_root"), components(bridges), "first_root").drop("first_root")
-    lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("sets"))
-    shared = rows.groupBy("set_key").agg(F.count("*").alias("copies"))
-    grouped = labelled.join(lowest, "root").join(shared, "set_key").where("sets > 1 or copies > 1")
-    labels = small_side(grouped.select(F.col("set_key").alias("label_key"), "component_id"))
-    return rows.join(labels, F.col("set_key") == F.col("label_key"), "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _first_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """Rows of `docs` whose id is their component's; of rows that repeat an id, one stays."""
-    gone = small_side(found.where(F.col("doc_id") != F.coalesce("component_id", "doc_id")).select(F.col("doc_id").alias("gone_id")).distinct())
-    left = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return left if repeated.isEmpty() else left.where(F.col(id_col).isNull()).unionByName(left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+def _first_of_each(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with one row of each component of `placed`, and all rows without a component or an id."""
+    key = ["doc_id", "t1", "t2"]
+    placed = materialize(placed.where("root is not null and doc_id is not null").groupBy("root", *key).agg(F.count("*").alias("copies")), "components")
+    leaders = placed.groupBy(F.col("root").alias("_root")).agg(F.min(F.struct(*key)).alias("first"))
+    judged = materialize(placed.join(leaders, F.col("root") == F.col("_root")).select(*(F.col(c).alias(f"_{c}") for c in key), (F.struct(*key) == F.col("first")).alias("leads"), "copies"), "judged")
+    keyed = docs.withColumns(dict(zip(("_key_id", "_key_1", "_key_2"), (F.col(id_col).cast("long"), *text_key(text_col)))))
+    test = (F.col("_key_id") == F.col("_doc_id")) & (F.col("_key_1") == F.col("_t1")) & (F.col("_key_2") == F.col("_t2"))
+    left = keyed.join(small_side(judged.where("not leads")), test, "left_anti")
+    twins = judged.where("leads and copies > 1")
+    if not twins.isEmpty():
+        twins = small_side(twins)
+        left = left.join(twins, test, "left_anti").unionByName(left.join(twins, test, "left_semi").dropDuplicates(["_key_id", "_key_1", "_key_2"]))
+    return left.drop("_key_id", "_key_1", "_key_2")
 
 
 def one_of_each(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of `docs`, columns unchanged: of each component the row with the smallest id. Of rows that repeat an id, one stays."""
-    return _first_of_each(docs, materialize(near_duplicates(docs, size, id_col, text_col), "components"), id_col)
+    """Rows of `docs`, columns unchanged: of each component the row with the smallest id, and all rows without an id."""
+    return _first_of_each(docs, _fingerprint_components(docs, size, id_col, text_col), id_col, text_col)
 
 
-def one_of_similar(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of `docs`, columns unchanged: of each component of similar documents the row with the smallest id. Of rows that repeat an id, one stays."""
-    return _first_of_each(docs, materialize(similar_documents(docs, size, id_col, text_col), "components"), id_col)
+def one_of_similar(docs: DataFrame, like: jaccard_join.Likeness = ALIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `docs`, columns unchanged: of each component of similar documents the row with the smallest id, and all rows without an id."""
+    return _first_of_each(docs, _similar_components(docs, like, id_col, text_col), id_col, text_col)

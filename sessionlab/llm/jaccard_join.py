@@ -1,8 +1,8 @@
 """Documents that share most of their word shingles: T-occurrence search over inverted lists with DivideSkip.
 
 A document's set is its distinct shingles; equal sets are one class, of which one row does the work. A class with n shingles
-can only reach the similarity where it shares T = ceil(0.85 n) of them, so of its lists the `T` longest but one or two may
-be set aside: what is linked to it stands in the others. Lists are ordered by one rule for all classes, long ones (over
+can only reach the similarity (0.85, say) where it shares T = ceil(0.85 n) of them, so of its lists the T longest but one or
+two may be set aside: what is linked to it stands in the others. Lists are ordered by one rule for all classes, long ones (over
 `LIMIT` classes) last, the rest by hash; each class enters only the first n - T + `MERGED` of its lists. A class's short lists
 are merged on a heap that skips ahead over candidates that cannot gather the needed count (MergeSkip); candidates that pass a
 bound from 512 parity bits of both sets are decided by binary probes of the one sorted set, long lists included, in the other.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -37,8 +38,6 @@ from pyspark.sql import functions as F
 from ..staging import materialize, small_side
 from .common import components
 
-WORDS = 4
-LINK = (85, 100)  # the similarity as a fraction
 LIMIT = 64
 MERGED = 2
 ROUNDS = 3
@@ -46,21 +45,40 @@ SEED = 42
 PARITY_WORDS = 8
 
 
-def threshold(n):
-    """Shingles a set of `n` shares with any set it is linked to."""
-    return -(-LINK[0] * n // LINK[1])
+@dataclass(frozen=True)
+class Likeness:
+    """Sets of `words`-word shingles are linked where they share part / whole of their union or more."""
 
+    words: int
+    part: int
+    whole: int
 
-# Smaller sets are linked to equal ones only: one shingle more or less is too much.
-LEAST = -(-LINK[0] // (LINK[1] - LINK[0]))
+    @property
+    def least(self) -> int:
+        """Smaller sets are linked to equal ones only: one shingle more or less is too much."""
+        return max(MERGED, -(-self.part // (self.whole - self.part)))
 
+    def threshold(self, n: int) -> int:
+        """Shingles a set of `n` shares with any set it is linked to."""
+        return -(-self.part * n // self.whole)
 
-def needed(n: Column, m: Column) -> Column:
-    """Shingles that sets of `n` and `m` must share to be linked."""
-    return F.ceil((n + m) * LINK[0] / F.lit(float(sum(LINK)))).cast("long")
+    def first(self, n: Column) -> Column:
+        """Lists that a class of `n` shingles enters."""
+        return n - F.ceil(n * self.part / F.lit(float(self.whole))) + MERGED
 
+    def needed(self, n: Column, m: Column) -> Column:
+        """Shingles that sets of `n` and `m` must share to be linked."""
+        return F.ceil((n + m) * self.part / F.lit(float(self.part + self.whole))).cast("long")
 
-def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+    def fits(self, n: Column, m: Column) -> Column:
+        """Whether sets of `n` and `m` can be linked at all."""
+        return (n * self.part <= m * self.whole) & (m * self.part <= n * self.whole)
+
+
+LIKENESS = Likeness(4, 85, 100)
+
+
+def shingles(text: str | None, size: int = LIKENESS.words) -> np.ndarray:
     """The different shingles of a text as sorted signed 64-bit hashes."""
     words = (text or "").encode().lower().split()  # bytes: lower() is A-Z, split() is ASCII white space
     if len(words) < size:
@@ -81,24 +99,29 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Of every row (doc_id, text): doc_id, set_key, n, head (its first shingles by hash) and parity; the last two empty below `LEAST`."""
-    fields = "doc_id long, set_key binary, n long, head array<long>, parity array<long>"
-    lists = pa.list_(pa.int64())
+SKETCH = "set_key binary, n long, head array<long>, parity array<long>"
+
+
+def sketch(found: np.ndarray, like: Likeness) -> tuple:
+    """set_key, n, head (the first shingles by hash) and parity of a set; the last two empty where it can only equal others."""
+    n = len(found)
+    if n < like.least:
+        return set_key(found), n, found[:0], found[:0]
+    return set_key(found), n, found[:n - like.threshold(n) + MERGED], parity(found)
 
+
+def sketch_columns(rows: list[tuple]) -> list[pa.Array]:
+    kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
+
+
+def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
+    """The sketch of every row (doc_id, text)."""
     def run(batches):
         for b in batches:
-            keys, sizes, heads, bits = [], [], [], []
-            for text in b.column(1).to_pylist():
-                u = shingles(text, size)
-                n = len(u)
-                keys.append(set_key(u))
-                sizes.append(n)
-                heads.append(u[:n - threshold(n) + MERGED] if n >= LEAST else u[:0])
-                bits.append(parity(u) if n >= LEAST else u[:0])
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(keys, type=pa.binary()), pa.array(sizes, type=pa.int64()), pa.array(heads, type=lists), pa.array(bits, type=lists)],
-                                             names=["doc_id", "set_key", "n", "head", "parity"])
-    return docs.mapInArrow(run, fields)
+            made = sketch_columns([sketch(shingles(t, like.words), like) for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *made], names=["doc_id", "set_key", "n", "head", "parity"])
+    return docs.mapInArrow(run, f"doc_id long, {SKETCH}")
 
 
 def full_sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -140,7 +163,7 @@ def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
     return out
 
 
-def merged_lists(posts: DataFrame) -> DataFrame:
+def merged_lists(posts: DataFrame, like: Likeness) -> DataFrame:
     """Candidate pairs (a, b) from posts (token, id, n, dense), whose lists hold `LIMIT` classes at most.
 
     A list goes to each of its members with the members after it that fit by size. Two dense classes may share one short
@@ -148,8 +171,8 @@ def merged_lists(posts: DataFrame) -> DataFrame:
     """
     lists = posts.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("id", "n", "dense"))).alias("all")).where(F.size("all") > 1)
     each = lists.select("all", F.posexplode("all").alias("at", "me"))
-    fits = lambda m: (m.n * LINK[0] <= F.col("me.n") * LINK[1]) & (F.col("me.n") * LINK[0] <= m.n * LINK[1])
-    after = F.transform(F.filter(F.slice("all", F.col("at") + 2, F.size("all")), fits), lambda m: F.shiftleft(m.id, 1) + m.dense.cast("long"))
+    after = F.filter(F.slice("all", F.col("at") + 2, F.size("all")), lambda m: like.fits(m.n, F.col("me.n")))
+    after = F.transform(after, lambda m: F.shiftleft(m.id, 1) + m.dense.cast("long"))
     rows = each.select(F.col("me.id").alias("a"), F.col("me.dense").alias("dense"), after.alias("after")).where(F.size("after") > 0)
     rows = rows.groupBy("a").agg(F.first("dense").alias("dense"), F.collect_list("after").alias("lists"))
 
@@ -165,16 +188,16 @@ def merged_lists(posts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def probed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def probed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     """Of `pairs` (a, b: classes of `sets`) those that are linked, by the parity bound first and binary probes of the whole sets then."""
     known = sets.select("id", "n", "parity")
     both = pairs.join(known.withColumnsRenamed({"id": "a", "n": "na", "parity": "pa"}), "a").join(known.withColumnsRenamed({"id": "b", "n": "nb", "parity": "pb"}), "b")
-    least = needed(F.col("na"), F.col("nb"))
+    least = like.needed(F.col("na"), F.col("nb"))
     bits = reduce(Column.__add__, [F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY_WORDS)])
     left = both.where((least <= F.least("na", "nb")) & (bits <= F.col("na") + F.col("nb") - 2 * least)).select("a", "b", least.alias("least"))
     left = materialize(left, "candidates")
     wanted = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
-    held = materialize(full_sets(materialize(sets.join(wanted, "id", "left_semi").select("id", "set_key", "rep"), "wanted"), docs, size), "whole-sets")
+    held = materialize(full_sets(materialize(sets.join(wanted, "id", "left_semi").select("id", "set_key", "rep"), "wanted"), docs, like.words), "whole-sets")
     met = left.join(held.withColumnsRenamed({"id": "a", "found": "fa"}), "a").join(held.withColumnsRenamed({"id": "b", "found": "fb"}), "b")
 
     def run(batches):
@@ -188,7 +211,7 @@ def probed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -> Dat
     return materialize(met.select("a", "b", "least", "fa", "fb").mapInArrow(run, "a long, b long"), "links")
 
 
-def posted(sets: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
+def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame | None]:
     """Posts (token, id, n, dense) of the short lists, and (token, id, n, s) of the long lists that dense classes enter (None if none is long)."""
     brief = sets.select("id", "n", F.explode("head").alias("token"))
     posts, full, long = brief, None, None
@@ -203,7 +226,7 @@ def posted(sets: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, Data
         met = materialize(waiting.join(small_side(long), "token", "left_semi").select("id").distinct(), "long-met")
         if met.isEmpty():
             break
-        more = full_sets(sets.join(met, "id", "left_semi").select("id", "set_key", "rep"), docs, size).join(sets.select("id", "n"), "id")
+        more = full_sets(sets.join(met, "id", "left_semi").select("id", "set_key", "rep"), docs, like.words).join(sets.select("id", "n"), "id")
         more = materialize(more, "entered-whole")
         full = more if full is None else materialize(full.unionByName(more), "entered-whole")
         posts = brief.join(full.select("id"), "id", "left_anti").unionByName(full.select("id", "n", F.explode("found").alias("token")))
@@ -212,9 +235,8 @@ def posted(sets: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, Data
         return brief.join(shared, "token").withColumn("dense", F.lit(False)), None
     # Long lists of the classes that entered whole, then their first lists: short ones by hash, long ones by hash.
     hits = full.select("id", F.explode("found").alias("token")).join(small_side(long), "token", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("far"))
-    room = F.col("n") - F.ceil(F.col("n") * LINK[0] / F.lit(float(LINK[1]))) + MERGED
     near = F.array_except("found", "far")
-    split = full.join(hits, "id").select("id", "n", near.alias("near"), "far", room.cast("int").alias("room")).withColumn("s", F.size("near").cast("long"))
+    split = full.join(hits, "id").select("id", "n", near.alias("near"), "far", like.first(F.col("n")).cast("int").alias("room")).withColumn("s", F.size("near").cast("long"))
     split = materialize(split.withColumn("dense", F.col("s") < F.col("room")), "split-lists")
     whole = split.select("id", "n", "dense", F.explode(F.expr("slice(near, 1, room)")).alias("token"))
     others = brief.join(full.select("id"), "id", "left_anti").withColumn("dense", F.lit(False))
@@ -225,8 +247,8 @@ def posted(sets: DataFrame, docs: DataFrame, size: int) -> tuple[DataFrame, Data
 class Dense:
     """Links of dense classes that share no short list, by heads of long lists."""
 
-    def __init__(self, posts: DataFrame):
-        total, share = sum(LINK), LINK[1] - LINK[0]
+    def __init__(self, posts: DataFrame, like: Likeness):
+        total, share = like.part + like.whole, like.whole - like.part
         # A pair is possible where f + g' <= 0 and f' + g <= 0.
         self.rows = posts.select("token", "id", ((total - share) * F.col("n")).alias("f"), (total * (2 * F.col("s") - F.col("n")) - share * F.col("n")).alias("g"))
 
@@ -267,32 +289,35 @@ def with_root(df: DataFrame, roots: DataFrame) -> DataFrame:
     return df.join(found, F.col("id") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "id")).drop("_node", "_root")
 
 
-def jaccard_links(sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Links (a, b) between classes of `sets` that connect exactly those that links of the similarity connect."""
-    posts, far = posted(sets, docs, size)
-    pairs = merged_lists(posts)
+def jaccard_links(sets: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) that connect exactly the classes which all links of the likeness connect.
+
+    `sets` has id, rep (a row's id in `docs`) and the sketch of each class that is not too small; `docs` is (doc_id, text).
+    """
+    posts, far = posted(sets, docs, like)
+    pairs = merged_lists(posts, like)
     if far is None or far.isEmpty():
-        return probed(materialize(pairs, "pairs"), sets, docs, size)
-    dense = Dense(far)
+        return probed(materialize(pairs, "pairs"), sets, docs, like)
+    dense = Dense(far, like)
     stars, rows = dense.stars(dense.rows)
-    links = probed(materialize(pairs.unionByName(stars).distinct(), "pairs"), sets, docs, size)
+    links = probed(materialize(pairs.unionByName(stars).distinct(), "pairs"), sets, docs, like)
     for turn in range(ROUNDS):
         rows = materialize(dense.open(rows.select("token", "id", "f", "g"), components(links)), "open")
         if rows.isEmpty():
             return links
         new, rows = dense.stars(rows) if turn < ROUNDS - 1 else (dense.pairs(rows), rows)
-        links = materialize(links.unionByName(probed(materialize(new, "pairs"), sets, docs, size)), "links")
+        links = materialize(links.unionByName(probed(materialize(new, "pairs"), sets, docs, like)), "links")
     return links
 
 
-def jaccard_components(docs: DataFrame, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, like: Likeness = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(sketches(docs, size).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    rows = materialize(sketches(docs, like).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = materialize(rows.where("n > 0").groupBy("set_key").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     chosen = classes.select("id", "rep")
-    sets = materialize(rows.where(F.col("n") >= LEAST).join(chosen, F.col("row") == F.col("id")).select("id", "set_key", "rep", "n", "head", "parity"), "sets")
-    roots = components(jaccard_links(sets, docs, size))
+    sets = materialize(rows.where(F.col("n") >= like.least).join(chosen, F.col("row") == F.col("id")).select("id", "set_key", "rep", "n", "head", "parity"), "sets")
+    roots = components(jaccard_links(sets, docs, like))
     placed = with_root(classes, roots)
     lowest = placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows"))
     labels = small_side(placed.join(lowest.where("rows > 1"), "root").select(F.col("set_key").alias("_key"), "component_id"))

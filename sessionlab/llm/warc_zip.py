@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import materialize, shared_dir, small_side
-from .common import BATCH_ROWS, map_columns, schema_of
+from .common import map_columns, schema_of
 
 REVISIT_BYTES = 1000
 PACKAGE_BYTES = 256 << 20
@@ -216,7 +216,6 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if package:
             done.append(package.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "records"])
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return materialize(rows.mapInArrow(run, "path string, records long"), "packages")
 
 

@@ -101,6 +101,6 @@ def test_merge_skip_counts_like_a_counter():
 def test_parity_is_a_lower_bound():
     r = np.random.default_rng(4)
     for _ in range(50):
-        a, b = (np.unique(r.integers(0, 3000, 400) * 0x9E3779B97F4A7C15 >> 1) for _ in range(2))
+        a, b = (np.unique((r.integers(0, 3000, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) for _ in range(2))
         differing = sum(int(x).bit_count() for x in (J.parity(a) ^ J.parity(b)).view(np.uint64).tolist())
         assert differing <= len(np.setxor1d(a, b))
