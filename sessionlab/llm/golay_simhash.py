@@ -201,7 +201,7 @@ def _similar_components(docs: DataFrame, like: jaccard_join.Likeness, id_col: st
             yield pa.RecordBatch.from_arrays([*b.columns[:3], fps, *jaccard_join.sketch_columns(made)], names=["doc_id", "t1", "t2", "fp", "set_key", "n", "head", "parity"])
     rows = docs.select("doc_id", *text_key("text"), "text").mapInArrow(run, f"doc_id long, t1 long, t2 long, fp long, {jaccard_join.SKETCH}")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = materialize(rows.groupBy("set_key").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = jaccard_join.classes_of(rows)
 
     fps = materialize(rows.select("fp", "set_key").distinct().join(classes, "set_key").select("fp", "id"), "fingerprints")
     heads = materialize(fps.groupBy("fp").agg(F.min("id").alias("head")), "fingerprint-heads")
@@ -209,8 +209,7 @@ def _similar_components(docs: DataFrame, like: jaccard_join.Likeness, id_col: st
     far = fingerprint_links(heads).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("of_a")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("of_b")), "b")
     near = same.unionByName(far.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
 
-    chosen = classes.select("id", "rep")
-    sets = materialize(rows.where(F.col("n") >= like.least).join(chosen, F.col("row") == F.col("id")).select("id", "set_key", "rep", "n", "head", "parity"), "sets")
+    sets = jaccard_join.sets_of(rows, classes, like)
     roots = components(near.unionByName(jaccard_join.jaccard_links(sets, docs, like)))
     placed = jaccard_join.with_root(classes, roots)
     lowest = placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows"))

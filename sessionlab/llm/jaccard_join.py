@@ -8,7 +8,8 @@ are merged on a heap that skips ahead over candidates that cannot gather the nee
 bound from 512 parity bits of both sets are decided by binary probes of the one sorted set, long lists included, in the other.
 
 Which lists are long need not be counted over all shingles. Lists of the first n - T + `MERGED` shingles by hash are counted;
-classes that meet a long one there enter all their shingles, and the count is repeated until no class newly meets one.
+classes that meet a long one there move on to their next shingles, or enter all of them where twice as many do not
+suffice, and this is repeated until no list newly becomes long.
 
 Classes with so many long lists that one of them is among their first are `dense`: texts of which thousands of copies exist. Two dense
 classes without a short list in common differ by all their short lists s, and by the difference of their numbers of long
@@ -103,11 +104,11 @@ SKETCH = "set_key binary, n long, head array<long>, parity array<long>"
 
 
 def sketch(found: np.ndarray, like: Likeness) -> tuple:
-    """set_key, n, head (the first shingles by hash) and parity of a set; the last two empty where it can only equal others."""
+    """set_key, n, head (the first shingles by hash, twice the lists to enter) and parity of a set; the last two empty where it can only equal others."""
     n = len(found)
     if n < like.least:
         return set_key(found), n, found[:0], found[:0]
-    return set_key(found), n, found[:n - like.threshold(n) + MERGED], parity(found)
+    return set_key(found), n, found[:2 * (n - like.threshold(n) + MERGED)], parity(found)
 
 
 def sketch_columns(rows: list[tuple]) -> list[pa.Array]:
@@ -213,35 +214,47 @@ def probed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -
 
 def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame | None]:
     """Posts (token, id, n, dense) of the short lists, and (token, id, n, s) of the long lists that dense classes enter (None if none is long)."""
-    brief = sets.select("id", "n", F.explode("head").alias("token"))
-    posts, full, long = brief, None, None
+    room = like.first(F.col("n")).cast("int")
+
+    def lengths(posts: DataFrame) -> DataFrame:
+        return materialize(posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "list-lengths")
+
+    def cleared(heads: DataFrame, col: str) -> DataFrame:
+        """Of the classes that meet a long list in `col`: near, the other lists there, and far, the long ones."""
+        hits = heads.select("id", F.explode(col).alias("token")).join(small_side(long), "token", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("far"))
+        return heads.join(hits, "id").withColumn("near", F.array_except(col, "far"))
+
+    brief = sets.select("id", "n", F.explode(F.slice("head", F.lit(1), room)).alias("token"))
+    counts = lengths(brief)
+    long = materialize(counts.where(F.col("c") > LIMIT).select("token"), "long-lists")
+    if long.isEmpty():
+        return brief.join(counts.select("token"), "token").withColumn("dense", F.lit(False)), None
+    whole = None
     while True:
-        counts = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-        counts = materialize(counts, "list-lengths")
-        over = counts.where(F.col("c") > LIMIT).select("token")
-        if over.isEmpty():
+        moved = materialize(cleared(sets.select("id", "n", "head"), "head").withColumn("lacks", F.size("near") < room), "moved-on")
+        lacking = moved.where("lacks").select("id")
+        if whole is not None:
+            lacking = lacking.join(whole.select("id"), "id", "left_anti")
+        more = full_sets(materialize(sets.join(lacking, "id", "left_semi").select("id", "set_key", "rep"), "lacking"), docs, like.words).join(sets.select("id", "n"), "id")
+        whole = materialize(more if whole is None else whole.unionByName(more), "entered-whole")
+        entered = moved.where("not lacks").select(F.explode(F.array_except(F.slice("near", F.lit(1), room), F.slice("head", F.lit(1), room))).alias("token"))
+        entered = entered.unionByName(whole.select(F.explode("found").alias("token"))).groupBy("token").agg(F.count("*").alias("e"))
+        # A list of one is not among the counts; a length may come out too high, which only makes the list a long one.
+        grown = entered.join(counts, "token", "left").where(F.col("e") + F.coalesce("c", F.lit(1)) > LIMIT).select("token").join(long, "token", "left_anti")
+        grown = materialize(grown, "long-lists")
+        if grown.isEmpty():
             break
-        long = over if long is None else materialize(long.unionByName(over).distinct(), "long-lists")
-        waiting = brief if full is None else brief.join(full.select("id"), "id", "left_anti")
-        met = materialize(waiting.join(small_side(long), "token", "left_semi").select("id").distinct(), "long-met")
-        if met.isEmpty():
-            break
-        more = full_sets(sets.join(met, "id", "left_semi").select("id", "set_key", "rep"), docs, like.words).join(sets.select("id", "n"), "id")
-        more = materialize(more, "entered-whole")
-        full = more if full is None else materialize(full.unionByName(more), "entered-whole")
-        posts = brief.join(full.select("id"), "id", "left_anti").unionByName(full.select("id", "n", F.explode("found").alias("token")))
-    shared = counts.where(F.col("c") <= LIMIT).select("token")
-    if full is None:
-        return brief.join(shared, "token").withColumn("dense", F.lit(False)), None
-    # Long lists of the classes that entered whole, then their first lists: short ones by hash, long ones by hash.
-    hits = full.select("id", F.explode("found").alias("token")).join(small_side(long), "token", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("far"))
-    near = F.array_except("found", "far")
-    split = full.join(hits, "id").select("id", "n", near.alias("near"), "far", like.first(F.col("n")).cast("int").alias("room")).withColumn("s", F.size("near").cast("long"))
-    split = materialize(split.withColumn("dense", F.col("s") < F.col("room")), "split-lists")
-    whole = split.select("id", "n", "dense", F.explode(F.expr("slice(near, 1, room)")).alias("token"))
-    others = brief.join(full.select("id"), "id", "left_anti").withColumn("dense", F.lit(False))
-    far = split.where("dense").select("id", "n", "s", F.explode(F.expr("slice(far, 1, cast(room - s as int))")).alias("token"))
-    return others.unionByName(whole.select(others.columns)).join(shared, "token"), materialize(far, "dense-posts")
+        long = materialize(long.unionByName(grown), "long-lists")
+    split = materialize(cleared(whole, "found").withColumn("s", F.size("near").cast("long")).withColumn("dense", F.col("s") < room), "split-lists")
+    # A class that entered whole and met no long list there after all has its first lists like any other.
+    free = whole.join(split.select("id"), "id", "left_anti").select("id", "n", F.lit(False).alias("dense"), F.explode(F.slice("found", F.lit(1), room)).alias("token"))
+    near = split.select("id", "n", "dense", F.explode(F.slice("near", F.lit(1), room)).alias("token"))
+    light = moved.where("not lacks").select("id", "n", F.lit(False).alias("dense"), F.explode(F.slice("near", F.lit(1), room)).alias("token"))
+    others = brief.join(moved.select("id"), "id", "left_anti").withColumn("dense", F.lit(False))
+    posts = reduce(DataFrame.unionByName, (others, light.join(whole.select("id"), "id", "left_anti"), near, free))
+    shared = lengths(posts).select("token")
+    far = split.where("dense").select("id", "n", "s", F.explode(F.slice("far", F.lit(1), room - F.col("s").cast("int"))).alias("token"))
+    return posts.join(shared, "token"), materialize(far, "dense-posts")
 
 
 class Dense:
@@ -310,14 +323,24 @@ def jaccard_links(sets: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame
     return links
 
 
+def classes_of(rows: DataFrame) -> DataFrame:
+    """Of sketched rows with a number `row`: the classes (set_key, id: the smallest row, rep: the smallest doc_id, copies)."""
+    return materialize(rows.groupBy("set_key").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+
+
+def sets_of(rows: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """The sketch of each class that is not too small, as its first row has it: the other rows of the classes are left out."""
+    again = rows.join(classes.where("copies > 1").select(F.col("set_key").alias("_key"), "id"), (F.col("set_key") == F.col("_key")) & (F.col("row") != F.col("id"))).select(F.col("row").alias("_row"))
+    kept = rows.where(F.col("n") >= like.least).join(small_side(again), F.col("row") == F.col("_row"), "left_anti")
+    return kept.select(F.col("row").alias("id"), "set_key", F.col("doc_id").alias("rep"), "n", "head", "parity")
+
+
 def jaccard_components(docs: DataFrame, like: Likeness = LIKENESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(sketches(docs, like).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = materialize(rows.where("n > 0").groupBy("set_key").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    chosen = classes.select("id", "rep")
-    sets = materialize(rows.where(F.col("n") >= like.least).join(chosen, F.col("row") == F.col("id")).select("id", "set_key", "rep", "n", "head", "parity"), "sets")
-    roots = components(jaccard_links(sets, docs, like))
+    classes = classes_of(rows.where("n > 0"))
+    roots = components(jaccard_links(sets_of(rows, classes, like), docs, like))
     placed = with_root(classes, roots)
     lowest = placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows"))
     labels = small_side(placed.join(lowest.where("rows > 1"), "root").select(F.col("set_key").alias("_key"), "component_id"))
