@@ -8,23 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..staging import join_scope
-from .stats import feature_stats, long_form
+from .stats import feature_stats, with_stats
 
 
 def deviations(df: DataFrame, scope: Sequence[str], keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Long form: value, median, MAD and robust z (null where the MAD is 0) of every feature of every row."""
-    rows = long_form(df, scope, features, [k for k in keys if k not in scope])
+    wide = with_stats(df, scope, feature_stats(df, scope, features), ("med", "mad"))
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), F.col("_stats")[f]["med"].alias("med"), F.col("_stats")[f]["mad"].alias("mad")) for f in features])
     z = (F.col("value") - F.col("med")) / F.nullif(F.col("mad"), F.lit(0.0))
-    return rows.join(feature_stats(df, scope, features), [*scope, "feature"]).withColumn("z", z)
+    return wide.select(*dict.fromkeys([*scope, *keys]), F.inline(cells)).withColumn("z", z)
 
 
 def robust_z_score(df: DataFrame, scope: Sequence[str], keys: Sequence[str], features: Sequence[str], floor: float = 1e-9) -> DataFrame:
-    """Baseline score: largest and mean absolute robust z over the features."""
-    z = F.abs(F.col("value") - F.col("med")) / F.when(F.col("mad") == 0, floor).otherwise(F.col("mad"))
-    rows = long_form(df, scope, features, [k for k in keys if k not in scope])
-    return (rows.join(feature_stats(df, scope, features), [*scope, "feature"]).withColumn("az", z)
-            .groupBy(*dict.fromkeys([*scope, *keys])).agg(F.max("az").alias("z_max"), F.avg("az").alias("z_mean")))
+    """Baseline score of every row: largest and mean absolute robust z over the features it has."""
+    wide = with_stats(df, scope, feature_stats(df, scope, features), ("med", "mad"))
+    cells = []
+    for f in features:
+        s = F.col("_stats")[f]
+        cells.append(F.abs(F.col(f).cast("double") - s["med"]) / F.when(s["mad"] == 0, floor).otherwise(s["mad"]))
+    az = F.array_compact(F.array(*cells))
+    mean = F.aggregate(az, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(az), F.lit(0))
+    return wide.select(*dict.fromkeys([*scope, *keys]), F.array_max(az).alias("z_max"), mean.alias("z_mean"))
 
 
 def _line(name: str, value: Column, med: Column, mad: Column) -> Column:
@@ -43,11 +47,10 @@ def why_top(df: DataFrame, scope: Sequence[str], features: Sequence[str], n: int
             stats_of: DataFrame | None = None) -> DataFrame:
     """Text naming the n most telling features of each row; `stats_of` are the rows to compare with."""
     stats = feature_stats(stats_of if stats_of is not None else df, scope, features)
-    per_scope = stats.groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("med", "mad")))).alias("_s"))
     cells = []
     for i, f in enumerate(features):
         group, far, text = _line(f, F.col(f).cast("double"), F.col("_s")[f]["med"], F.col("_s")[f]["mad"])
         cells.append(F.struct(group.alias("g"), far.alias("d"), F.lit(i).alias("i"), text.alias("t")))
     best = F.slice(F.array_sort(F.array(*cells)), 1, n)
-    return join_scope(df, per_scope, scope).withColumn(
+    return with_stats(df, scope, stats, ("med", "mad"), "_s").withColumn(
         out, F.array_join(F.transform(best, lambda c: c.t), "; ")).drop("_s")

@@ -10,8 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..schema import PARTITION_KEYS, SESSION_KEYS
-from ..staging import materialize
+from ..staging import join_scope, materialize, small_side
 from .scan import neighbours
 from .stats import median_mad, quantiles, scale_0_100, top_k
 
@@ -22,8 +23,8 @@ def exact_sum(x: Column) -> Column:
 
 
 def session_steps(events: DataFrame, keys: Sequence[str], token: str) -> DataFrame:
-    """Per session: how often token `a` is followed by `b` (null `b` = last event)."""
-    return (neighbours(events.select(*keys, "seq_no", F.col(token).alias("a")), keys, "seq_no", ahead={"b": ("a", 1)})
+    """Per session: how often token `a` is followed by `b` (null `b` = last event). A missing token is one of its own."""
+    return (neighbours(events.select(*keys, "seq_no", F.coalesce(F.col(token), F.lit(C.NA)).alias("a")), keys, "seq_no", ahead={"b": ("a", 1)})
             .groupBy(*keys, "a", "b").agg(F.count("*").alias("c")))
 
 
@@ -46,9 +47,9 @@ def markov(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Sequence
     pair = steps.groupBy(*part, "a", "b").agg(F.sum("c").alias("c_ab"))
     out = pair.groupBy(*part, "a").agg(F.sum(F.when(F.col("b").isNotNull(), F.col("c_ab")).otherwise(0)).alias("c_a"))
     vocab = out.groupBy(*part).agg(F.count("*").alias("v"))
-    logp = (pair.join(out, [*part, "a"]).join(vocab, list(part))
+    logp = (join_scope(join_scope(pair.where("b is not null"), out, [*part, "a"]), vocab, part)
             .select(*part, "a", "b", F.ln((F.col("c_ab") + 1) / (F.col("c_a") + F.col("v"))).alias("lp")))
-    scored = steps.join(logp, [*part, "a", "b"], "left")
+    scored = join_scope(steps, logp, [*part, "a", "b"], "left")
     nll = exact_sum(-F.col("c") * F.coalesce(F.col("lp"), F.lit(0.0)))
     n = F.sum(F.when(F.col("b").isNotNull(), F.col("c")).otherwise(0))
     raw = nll if reduce == "sum" else F.when(n > 0, nll / F.nullif(n, F.lit(0))).otherwise(F.lit(0.0))
@@ -60,7 +61,7 @@ def session_ngrams(events: DataFrame, keys: Sequence[str], token: str, sizes: Se
     """Per session: count of each n-gram; `n` is its size, `t1`..`tN` its tokens (null beyond n)."""
     widest = max(sizes)
     ahead = {f"t{i + 1}": ("t1", i) for i in range(1, widest)}
-    rows = neighbours(events.select(*keys, "seq_no", F.col(token).alias("t1")), keys, "seq_no", ahead=ahead)
+    rows = neighbours(events.select(*keys, "seq_no", F.coalesce(F.col(token), F.lit(C.NA)).alias("t1")), keys, "seq_no", ahead=ahead)
     cols = [f"t{i + 1}" for i in range(widest)]
     grams = [F.when(F.col(f"t{n}").isNotNull(), F.struct(F.lit(n).alias("n"), *[
         (F.col(c) if i < n else F.lit(None).cast("string")).alias(c) for i, c in enumerate(cols)])) for n in sizes]
@@ -73,7 +74,7 @@ def ngram_log_probs(grams: DataFrame, part: Sequence[str], widest: int = 3) -> D
     cols = [f"t{i + 1}" for i in range(widest)]
     table = grams.groupBy(*part, "n", *cols).agg(F.sum("c").alias("c_all"))
     total = table.groupBy(*part).agg((F.sum("c_all") + F.count("*")).alias("denom"))
-    return table.join(total, list(part)).withColumn("lp", F.ln((F.col("c_all") + 1) / F.col("denom"))).drop("denom")
+    return join_scope(table, total, part).withColumn("lp", F.ln((F.col("c_all") + 1) / F.col("denom"))).drop("denom")
 
 
 def _gram_key(widest: int = 3):
@@ -84,7 +85,7 @@ def _gram_key(widest: int = 3):
 def score_ngrams(grams: DataFrame, keys: Sequence[str], part: Sequence[str], widest: int = 3) -> DataFrame:
     """n-gram rows of sessions with their log probability in the partition."""
     probs = ngram_log_probs(grams, part, widest).select(*part, "n", _gram_key(widest).alias("gram"), "c_all", "lp")
-    return grams.withColumn("gram", _gram_key(widest)).join(probs, [*part, "n", "gram"])
+    return join_scope(grams.withColumn("gram", _gram_key(widest)), probs, [*part, "n", "gram"])
 
 
 def ngram_rarity(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Sequence[str] = PARTITION_KEYS,
@@ -95,7 +96,7 @@ def ngram_rarity(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Se
     per = scored.groupBy(*keys).agg(exact_sum(-F.col("c") * F.col("lp")).alias("_nll"), F.sum("c").alias("n_ngrams"))
     sizes_of = events.groupBy(*keys).agg(F.count("*").alias("n_events"))
     raw = F.col("_nll") if reduce == "sum" else F.col("_nll") / F.col("n_ngrams")
-    return sizes_of.join(per, list(keys), "left").select(
+    return join_scope(sizes_of, per, keys, "left").select(
         *keys, F.coalesce(raw, F.lit(0.0)).alias("seq_raw"), "n_events",
         F.coalesce("n_ngrams", F.lit(0)).alias("n_ngrams"), F.lit("b2").alias("model"))
 
@@ -112,7 +113,7 @@ def entropy_deviation(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, par
                       token: str = "token") -> DataFrame:
     ent = materialize(entropies(events, keys, token), "entropy")
     med = quantiles(ent, part, "entropy_session", {"entropy_median_partition": 0.5}).drop("n_values")
-    return ent.join(med, list(part)).withColumn(
+    return join_scope(ent, small_side(med), part).withColumn(
         "seq_raw", F.abs(F.col("entropy_session") - F.col("entropy_median_partition"))).withColumn("model", F.lit("b3"))
 
 
@@ -140,7 +141,7 @@ def composite(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Seque
     out = pair.groupBy(*part, "a").agg(F.sum("c_ab").alias("c_a"))
     vocab = (pair.select(*part, F.explode(F.array("a", "b")).alias("t"), "c_ab").groupBy(*part)
              .agg(F.count_distinct("t").alias("v"), (F.sum("c_ab") / 2).alias("total")))
-    probs = pair.join(out, [*part, "a"]).join(vocab, list(part)).select(
+    probs = join_scope(join_scope(pair, out, [*part, "a"]), vocab, part).select(
         *part, "a", "b",
         F.ln((F.col("c_ab") + alpha_step) / (F.col("c_a") + alpha_step * F.col("v")) + eps).alias("lp1"),
         F.ln((F.col("c_ab") + alpha_pair) / (F.col("total") + alpha_pair * F.col("v") * F.col("v")) + eps).alias("lp2"))
@@ -149,13 +150,13 @@ def composite(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Seque
     def mean(lp: str):
         return F.coalesce(exact_sum(-F.col("c") * F.col(lp)) / n, F.lit(0.0))
 
-    seq = steps.join(probs, [*part, "a", "b"], "left").groupBy(*keys).agg(mean("lp1").alias("b1_mnll"), mean("lp2").alias("b2_score"))
+    seq = join_scope(steps, probs, [*part, "a", "b"], "left").groupBy(*keys).agg(mean("lp1").alias("b1_mnll"), mean("lp2").alias("b2_score"))
     counts = events.groupBy(*keys, token).agg(F.count("*").alias("c"))
     n_ev = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
     p = F.col("c") / F.col("n")
-    ent = counts.join(n_ev, list(keys)).groupBy(*keys).agg(exact_sum(-p * F.ln(p + eps)).alias("b3_entropy"))
+    ent = join_scope(counts, n_ev, keys).groupBy(*keys).agg(exact_sum(-p * F.ln(p + eps)).alias("b3_entropy"))
     # Rounded, so that where the MAD is 0 the tiny eps divides real differences and not summation noise.
-    s = materialize(seq.join(ent, list(keys)).withColumns(
+    s = materialize(join_scope(seq, ent, keys).withColumns(
         {c: F.round(c, 9) for c in ("b1_mnll", "b2_score", "b3_entropy")}), "scores")
     long = s.select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).alias("x"))
                                               for i, c in enumerate(("b1_mnll", "b2_score", "b3_entropy"))])))
@@ -165,7 +166,7 @@ def composite(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Seque
     def z(col: str, i: int):
         return (F.col(col) - F.col(f"s{i}.med")) / (1.4826 * (F.col(f"s{i}.mad") + eps))
 
-    zs = s.join(wide, list(part)).select(*keys, "b1_mnll", "b2_score", "b3_entropy", z("b1_mnll", 0).alias("b1_z"),
+    zs = join_scope(s, small_side(wide), part).select(*keys, "b1_mnll", "b2_score", "b3_entropy", z("b1_mnll", 0).alias("b1_z"),
                                          z("b2_score", 1).alias("b2_z"), F.abs(z("b3_entropy", 2)).alias("b3_z"))
     return zs.withColumn("b_risk", F.greatest("b1_z", F.lit(0.0)) + F.greatest("b2_z", F.lit(0.0)) + F.col("b3_z"))
 

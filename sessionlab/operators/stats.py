@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import join_scope, small_side
+from ..staging import join_scope, materialize, small_side
 
 GRID = 4096.0
 FINEST = 1e-9
@@ -24,16 +24,24 @@ def grid_bucket(x: Column) -> Column:
     return (F.signum(x) * F.floor(F.ln(1.0 + F.abs(x) / FINEST) * GRID)).cast("long")
 
 
-def _counted(df: DataFrame, part: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """Distinct values with counts, and bucket totals with the number of smaller rows and of all rows."""
-    values = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*part, F.col(value).cast("double").alias("_v"))
-              .agg(F.count("*").alias("_n")).withColumn("_b", grid_bucket(F.col("_v"))))
+def value_counts(df: DataFrame, part: Sequence[str], value: str) -> DataFrame:
+    """Distinct values of each partition: `_v`, its number of rows `_n`, its bucket `_b`."""
+    return (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*part, F.col(value).cast("double").alias("_v"))
+            .agg(F.count("*").alias("_n")).withColumn("_b", grid_bucket(F.col("_v"))))
+
+
+def bucket_totals(values: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Bucket totals with the bucket's ends, the number of smaller rows and of all rows."""
     whole = Window.partitionBy(*part)
     below = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (values.groupBy(*part, "_b").agg(F.sum("_n").alias("_bn"))
-               .withColumn("_below", F.coalesce(F.sum("_bn").over(below), F.lit(0)))
-               .withColumn("_total", F.sum("_bn").over(whole)))
-    return values, buckets
+    return (values.groupBy(*part, "_b").agg(F.sum("_n").alias("_bn"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            .withColumn("_below", F.coalesce(F.sum("_bn").over(below), F.lit(0)))
+            .withColumn("_total", F.sum("_bn").over(whole)))
+
+
+def _counted(df: DataFrame, part: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    values = value_counts(df, part, value)
+    return values, bucket_totals(values, part).drop("_lo", "_hi")
 
 
 def _ranked(values: DataFrame, buckets: DataFrame, part: Sequence[str]) -> DataFrame:
@@ -56,35 +64,63 @@ def percent_rank(df: DataFrame, part: Sequence[str], value: str, out: str) -> Da
     return join_scope(df, ranks, [*part, value], "left")
 
 
-def quantiles(df: DataFrame, part: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Exact linear quantiles: one row per partition with a column per entry of `qs`, and `n_values`."""
-    values, buckets = _counted(df, part, value)
-    spots = {name: q * (F.col("_total") - 1).cast("double") for name, q in qs.items()}
-    lo = {name: F.floor(p) for name, p in spots.items()}
-    hi = {name: F.ceil(p) for name, p in spots.items()}
+def _covers(rank: Column, start: Column, n: Column) -> Column:
+    return (rank >= start) & (rank < start + n)
 
-    def covers(rank: Column, start: Column, n: Column) -> Column:
-        return (rank >= start) & (rank < start + n)
 
-    marks = [r for name in qs for r in (lo[name], hi[name])]
-    wanted = buckets.where(reduce(Column.__or__, [covers(r, F.col("_below"), F.col("_bn")) for r in marks]))
-    ranked = _ranked(values, wanted, part)
+def _picked(ranked: DataFrame, part: Sequence[str], qs: dict[str, float], value: str, start: str) -> DataFrame:
+    """Linear quantiles from rows that hold each wanted rank: `start` rows come before the `_n` rows of `value`."""
+    spots = {name: q * (F.col("_total") - 1).cast("double") for name, q in qs.items()}
     picks = []
-    for name in qs:
-        picks.append(F.max(F.when(covers(lo[name], F.col("_less"), F.col("_n")), F.col("_v"))).alias(f"_lo_{name}"))
-        picks.append(F.max(F.when(covers(hi[name], F.col("_less"), F.col("_n")), F.col("_v"))).alias(f"_hi_{name}"))
+    for name, spot in spots.items():
+        for end, rank in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
+            picks.append(F.max(F.when(_covers(rank, F.col(start), F.col("_n")), F.col(value))).alias(f"_{end}_{name}"))
     got = ranked.groupBy(*part).agg(F.max("_total").alias("_total"), *picks)
     return got.select(*part, F.col("_total").alias("n_values"), *[
-        (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (spots[name] - lo[name])).alias(name)
-        for name in qs])
+        (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (spot - F.floor(spot))).alias(name) for name, spot in spots.items()])
+
+
+def counted_quantiles(values: DataFrame, buckets: DataFrame, part: Sequence[str], qs: dict[str, float]) -> DataFrame:
+    """`quantiles` from counted values: only the values of buckets that hold a wanted rank are ranked."""
+    spots = [q * (F.col("_total") - 1).cast("double") for q in qs.values()]
+    wanted = buckets.where(reduce(Column.__or__, [_covers(r, F.col("_below"), F.col("_bn")) for s in spots for r in (F.floor(s), F.ceil(s))]))
+    return _picked(_ranked(values, wanted, part), part, qs, "_v", "_less")
+
+
+def quantiles(df: DataFrame, part: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Exact linear quantiles: one row per partition with a column per entry of `qs`, and `n_values`."""
+    return counted_quantiles(*_counted(df, part, value), part, qs)
 
 
 def median_mad(df: DataFrame, part: Sequence[str], value: str) -> DataFrame:
-    """`med` and `mad` (median distance from the median) per partition."""
-    med = quantiles(df, part, value, {"med": 0.5}).select(*part, "med")
-    dist = join_scope(df, med, part).select(*part, F.abs(F.col(value).cast("double") - F.col("med")).alias("_d"))
-    mad = quantiles(dist, part, "_d", {"mad": 0.5}).select(*part, "mad")
-    return join_scope(med, mad, part)
+    """`med` and `mad` (median distance from the median) per partition.
+
+    The rows are counted once. The counts of both sides of the median are merged outwards by bucket: buckets that are
+    nearer than the wanted distance as a whole are passed over with their totals, farther ones are left out, and only
+    the values of the few buckets in between are ranked by distance.
+    """
+    values = materialize(value_counts(df, part, value), "value-counts")
+    buckets = bucket_totals(values, part)
+    med = materialize(counted_quantiles(values, buckets.drop("_lo", "_hi"), part, {"med": 0.5}).select(*part, "med"), "medians")
+    m = F.col("med")
+    near = F.greatest(F.lit(0.0), F.col("_lo") - m, m - F.col("_hi"))
+    far = F.greatest(F.abs(F.col("_lo") - m), F.abs(F.col("_hi") - m))
+    placed = join_scope(buckets.drop("_below"), med, part).withColumns({"_near": near, "_far": far})
+    # Each bucket starts to count at its near end; at its far end it asks how many rows can be as near, at its near end how many must be nearer.
+    marks = F.array(*(F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), n.alias("_add"), d.alias("_done")) for at, kind, n, d in (
+        (F.col("_near"), 1, F.col("_bn"), F.lit(0).cast("long")), (F.col("_near"), 0, F.lit(0).cast("long"), F.lit(0).cast("long")),
+        (F.col("_far"), 2, F.lit(0).cast("long"), F.lit(0).cast("long")), (F.col("_far"), 3, F.lit(0).cast("long"), F.col("_bn")))))
+    line = Window.partitionBy(*part).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = placed.select(*part, "_b", "_bn", "_total", F.inline(marks)).withColumns({"_started": F.sum("_add").over(line), "_ended": F.sum("_done").over(line)})
+    asked = walked.groupBy(*part, "_b", "_bn", "_total").agg(F.max(F.when(F.col("_kind") == 0, F.col("_ended"))).alias("_nearer"), F.max(F.when(F.col("_kind") == 2, F.col("_started"))).alias("_as_near"))
+    low, high = F.floor(0.5 * (F.col("_total") - 1)), F.ceil(0.5 * (F.col("_total") - 1))
+    passed = F.col("_as_near") <= low
+    judged = asked.withColumn("_before", F.sum(F.when(passed, F.col("_bn")).otherwise(0)).over(Window.partitionBy(*part))).where(~passed & (F.col("_nearer") <= high))
+    dist = join_scope(join_scope(values, judged.select(*part, "_b", "_total", "_before"), [*part, "_b"]), med, part).groupBy(*part, F.abs(F.col("_v") - m).alias("_d")).agg(
+        F.sum("_n").alias("_n"), F.max("_total").alias("_total"), F.max("_before").alias("_before"))
+    ahead = Window.partitionBy(*part).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dist.withColumn("_less", F.col("_before") + F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    return join_scope(med, _picked(ranked, part, {"mad": 0.5}, "_d", "_less").drop("n_values"), part)
 
 
 def long_form(df: DataFrame, part: Sequence[str], features: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -104,11 +140,22 @@ def iqr_stats(df: DataFrame, part: Sequence[str], features: Sequence[str]) -> Da
     return q.select(*part, "feature", "center", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
+def with_stats(df: DataFrame, part: Sequence[str], stats: DataFrame, names: Sequence[str], out: str = "_stats") -> DataFrame:
+    """`df` with a map from feature to the values `names` of long `stats` (part, feature, names).
+
+    One row per partition meets the rows as they are: the rows are neither spread over features nor exchanged by partition
+    while the partitions are few.
+    """
+    per = stats.groupBy(*part).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct(*names)))).alias(out))
+    return join_scope(df, small_side(per), part, "left")
+
+
 def robust_scale(df: DataFrame, part: Sequence[str], features: Sequence[str], ids: Sequence[str]) -> DataFrame:
     """(x - median) / IQR in long form; a zero range divides by one."""
-    rows = long_form(df, part, features, ids)
-    return (join_scope(rows, iqr_stats(df, part, features), [*part, "feature"])
-            .withColumn("scaled", (F.col("value") - F.col("center")) / F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr"))))
+    wide = with_stats(df, part, iqr_stats(df, part, features), ("center", "iqr"))
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), F.col("_stats")[f]["center"].alias("center"), F.col("_stats")[f]["iqr"].alias("iqr")) for f in features])
+    return wide.select(*part, *ids, F.inline(cells)).withColumn(
+        "scaled", (F.col("value") - F.col("center")) / F.when(F.col("iqr") == 0, 1.0).otherwise(F.col("iqr")))
 
 
 def hygiene(df: DataFrame, part: Sequence[str], features: Sequence[str], cap: float | None = None) -> DataFrame:

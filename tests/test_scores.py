@@ -120,3 +120,42 @@ def test_why_names_rare_features_first(spark):
     assert got[3.0] == "a=3.00 (med=3.00, z=+0.00); b=0.00 (med=0.00)"
     z = explain.robust_z_score(df.withColumn("k", F.col("a")), ["day"], ["k"], ["a"]).orderBy("k").collect()
     assert [r["z_max"] for r in z] == [2.0, 1.0, 0.0, 1.0, 47.0]
+
+
+def test_median_and_mad_are_exact(spark):
+    rng = np.random.default_rng(5)
+    data = {"norm": rng.normal(size=501), "even": rng.normal(size=400), "tied": rng.integers(0, 5, 400).astype(float), "wide": np.exp(rng.normal(0, 12, 300)) * rng.choice([-1, 1], 300),
+            "one": np.array([7.0]), "two": np.array([1.0, 4.0]), "flat": np.full(30, 2.5), "close": 5 + rng.random(200) * 1e-7, "split": np.r_[np.full(50, -3.0), np.full(50, 9.0)],
+            "far": np.r_[rng.normal(1e6, 1, 150), rng.normal(-1e6, 1, 151)], None: rng.random(77)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("one", None), ("two", float("nan"))], "k string, v double").repartition(6)
+    got = {r["k"]: r for r in St.median_mad(df, ["k"], "v").collect()}
+    for k, vs in data.items():
+        med = np.quantile(vs, 0.5)
+        np.testing.assert_allclose([got[k]["med"], got[k]["mad"]], [med, np.quantile(np.abs(vs - med), 0.5)], rtol=1e-9, atol=1e-12)
+
+
+def test_null_scopes_keep_their_rows(spark):
+    rows = [(g, i, float(v), t) for g in ("a", None) for i, (v, t) in enumerate(zip((1, 2, 3, 40, 5), ("x", "y", None, "x", "y")))] + [("b", 9, None, "x")]
+    df = spark.createDataFrame(rows, "g string, i long, v double, t string")
+    dev = explain.deviations(df, ["g"], ["i"], ["v"]).collect()
+    assert len(dev) == len(rows) and {r["i"]: r["z"] for r in dev if r["g"] is None} == {r["i"]: r["z"] for r in dev if r["g"] == "a"}
+    z = explain.robust_z_score(df, ["g"], ["i"], ["v"]).collect()
+    assert len(z) == len(rows) and {r["i"]: r["z_max"] for r in z if r["g"] is None} == {r["i"]: r["z_max"] for r in z if r["g"] == "a"} == {0: 1.0, 1: 0.5, 2: 0.0, 3: 18.5, 4: 1.0}
+    ev = spark.createDataFrame([(g, s, i, t) for g in ("a", None) for s, seq in (("p", "xyxx"), ("q", "xz")) for i, t in enumerate(seq)], "g string, s string, seq_no long, token string")
+    ev = ev.withColumn("token", F.when(F.col("token") != "z", F.col("token")))   # a missing token
+    for scores_of in (lambda: S.markov(ev, KEYS, PART), lambda: S.ngram_rarity(ev, KEYS, PART), lambda: S.entropy_deviation(ev, KEYS, PART),
+                      lambda: S.composite(ev, KEYS, PART, token="token").withColumnRenamed("b_risk", "seq_raw")):
+        got = scores(scores_of())
+        assert len(got) == 4 and all(abs(got[(None, s)] - got[("a", s)]) < 1e-9 for s in "pq")
+    assert scores(S.markov(ev, KEYS, PART))[(None, "q")] > 0
+
+
+def test_deviations_do_not_exchange_the_rows(spark):
+    df = spark.createDataFrame([("d", i, float(i % 7), float(i)) for i in range(60)], "day string, i long, a double, b double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (explain.deviations(df, ["day"], ["i"], ["a", "b"]), explain.robust_z_score(df, ["day"], ["i"], ["a", "b"]), explain.why_top(df, ["day"], ["a", "b"])):
+            p = out._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in p and "ShuffledHashJoin" not in p and "hashpartitioning(day" not in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
