@@ -44,6 +44,7 @@ MERGED = 2
 ROUNDS = 3
 SEED = 42
 PARITY_WORDS = 8
+BROADCAST_NUMBERS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -222,36 +223,46 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
     def cleared(heads: DataFrame, col: str) -> DataFrame:
         """Of the classes that meet a long list in `col`: near, the other lists there, and far, the long ones."""
         hits = heads.select("id", F.explode(col).alias("token")).join(small_side(long), "token", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("far"))
-        return heads.join(hits, "id").withColumn("near", F.array_except(col, "far"))
+        hits = materialize(hits, "long-hits")
+        held = hits.agg(F.sum(F.size("far") + 2)).first()[0] or 0
+        return heads.join(F.broadcast(hits) if held <= BROADCAST_NUMBERS else hits, "id").withColumn("near", F.array_except(col, "far"))
 
     brief = sets.select("id", "n", F.explode(F.slice("head", F.lit(1), room)).alias("token"))
     counts = lengths(brief)
-    long = materialize(counts.where(F.col("c") > LIMIT).select("token"), "long-lists")
+    long = new = materialize(counts.where(F.col("c") > LIMIT).select("token"), "long-lists")
     if long.isEmpty():
         return brief.join(counts.select("token"), "token").withColumn("dense", F.lit(False)), None
-    whole = None
+    whole = moved = grown = None
     while True:
-        moved = materialize(cleared(sets.select("id", "n", "head"), "head").withColumn("lacks", F.size("near") < room), "moved-on")
-        lacking = moved.where("lacks").select("id")
-        if whole is not None:
-            lacking = lacking.join(whole.select("id"), "id", "left_anti")
-        more = full_sets(materialize(sets.join(lacking, "id", "left_semi").select("id", "set_key", "rep"), "lacking"), docs, like.words).join(sets.select("id", "n"), "id")
-        whole = materialize(more if whole is None else whole.unionByName(more), "entered-whole")
-        entered = moved.where("not lacks").select(F.explode(F.array_except(F.slice("near", F.lit(1), room), F.slice("head", F.lit(1), room))).alias("token"))
-        entered = entered.unionByName(whole.select(F.explode("found").alias("token"))).groupBy("token").agg(F.count("*").alias("e"))
+        # Only classes that meet a list which has newly become long go on.
+        heads = sets.select("id", "n", "head")
+        if moved is not None:
+            now = brief.join(moved.select("id"), "id", "left_anti").select("id", "token").unionByName(moved.where("not lacks").select("id", F.explode("taken").alias("token")))
+            met = materialize(now.join(small_side(new), "token", "left_semi").select("id").distinct(), "long-met")
+            if met.isEmpty():
+                break
+            heads = heads.join(small_side(met), "id", "left_semi")
+        went = cleared(heads, "head").withColumns({"lacks": F.size("near") < room, "taken": F.slice("near", F.lit(1), room)})
+        went = materialize(went.select("id", "n", "lacks", F.when(~F.col("lacks"), F.col("taken")).alias("taken"), F.array_except("taken", F.slice("head", F.lit(1), room)).alias("fresh")), "moved-on")
+        lacking = materialize(sets.join(small_side(went.where("lacks").select("id")), "id", "left_semi").select("id", "set_key", "rep", "n"), "lacking")
+        more = materialize(full_sets(lacking, docs, like.words).join(lacking.select("id", "n"), "id"), "entered-whole")
+        fresh = went.where("not lacks").select(F.explode("fresh").alias("token")).unionByName(more.select(F.explode("found").alias("token"))).groupBy("token").agg(F.count("*").alias("e"))
+        grown = materialize(fresh if grown is None else grown.unionByName(fresh).groupBy("token").agg(F.sum("e").alias("e")), "list-growth")
+        moved = went if moved is None else moved.join(went.select("id"), "id", "left_anti").unionByName(went)
+        whole = more if whole is None else whole.unionByName(more)
         # A list of one is not among the counts; a length may come out too high, which only makes the list a long one.
-        grown = entered.join(counts, "token", "left").where(F.col("e") + F.coalesce("c", F.lit(1)) > LIMIT).select("token").join(long, "token", "left_anti")
-        grown = materialize(grown, "long-lists")
-        if grown.isEmpty():
+        over = grown.join(counts, "token", "left").where(F.col("e") + F.coalesce("c", F.lit(1)) > LIMIT).select("token")
+        new = materialize(over.join(long, "token", "left_anti"), "long-lists")
+        if new.isEmpty():
             break
-        long = materialize(long.unionByName(grown), "long-lists")
+        long = materialize(long.unionByName(new), "long-lists")
     split = materialize(cleared(whole, "found").withColumn("s", F.size("near").cast("long")).withColumn("dense", F.col("s") < room), "split-lists")
     # A class that entered whole and met no long list there after all has its first lists like any other.
     free = whole.join(split.select("id"), "id", "left_anti").select("id", "n", F.lit(False).alias("dense"), F.explode(F.slice("found", F.lit(1), room)).alias("token"))
     near = split.select("id", "n", "dense", F.explode(F.slice("near", F.lit(1), room)).alias("token"))
-    light = moved.where("not lacks").select("id", "n", F.lit(False).alias("dense"), F.explode(F.slice("near", F.lit(1), room)).alias("token"))
+    light = moved.where("not lacks").select("id", "n", F.lit(False).alias("dense"), F.explode("taken").alias("token"))
     others = brief.join(moved.select("id"), "id", "left_anti").withColumn("dense", F.lit(False))
-    posts = reduce(DataFrame.unionByName, (others, light.join(whole.select("id"), "id", "left_anti"), near, free))
+    posts = reduce(DataFrame.unionByName, (others, light, near, free))
     shared = lengths(posts).select("token")
     far = split.where("dense").select("id", "n", "s", F.explode(F.slice("far", F.lit(1), room - F.col("s").cast("int"))).alias("token"))
     return posts.join(shared, "token"), materialize(far, "dense-posts")
