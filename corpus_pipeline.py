@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, in the columns of `documents`; the last adds
 what the mix takes of each. A stage's result is written to the shared folder and read again by the next one.
+
+Defined results: rows are known by id and a hash of their text, never by id alone. A null text is an empty one and fails
+the quality rules; rows with a null id are judged by their text like others and always pass the near-duplicate stage; rows
+that share an id and differ in text are documents of their own; of equal rows one passes the near-duplicate stage. An empty table gives an
+empty result. Columns beyond those of `documents` are passed on; the last stage's four columns replace columns of their names.
 """
 
 from __future__ import annotations
@@ -28,14 +33,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    fresh = pseudonyms.with_pseudonyms(docs, PSEUDONYM_KEY)
-    return fresh.withColumn("n_chars", F.when(F.col("_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    own = {c: f"{c}_of_docs" for c in ("_found", "_fresh", "_replaced") if c in docs.columns}
+    fresh = pseudonyms.with_pseudonyms(docs.withColumnsRenamed(own), PSEUDONYM_KEY)
+    chars = F.when(F.col("_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return fresh.withColumn("n_chars", chars).drop("_replaced").withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mix takes words, with size, source_size, target and taken."""
-    taken = block_mixing.Mix(docs).taken().where("taken > 0").select(F.col("doc_id").alias("mix_id"), "size", "source_size", "target", "taken")
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id"))).drop("mix_id")
+    return block_mixing.mixed_documents(docs)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
