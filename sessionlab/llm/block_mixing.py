@@ -9,7 +9,8 @@ k mod B; three passes at most. Blocks and slots meet by a join on the block's nu
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share all words by weight; a target stops at
 three times its source's words and the rest is shared again by weight.
 
-Defined results: a null or empty text has size 0 and takes 0; a repeated row is a document of its own; an empty table gives
+Defined results: a null or empty text has size 0 and takes 0; a repeated row is a document of its own, rows that share an id (or have
+none) are dealt by their text and number; an empty table gives
 an empty result, one without words targets of 0; columns other than id, text and source are not read. The table of
 sources, one row each, passes the driver and goes to every task: at most `MAX_SOURCES` sources, more raise an error.
 """
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import materialize
-from .common import WORD
+from ..staging import join_scope, materialize, small_side
+from .common import WORD, before, repeated, text_key
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1024
@@ -83,8 +84,10 @@ class Mix:
         spark = docs.sparkSession
         self.block_words, self.shard_slots, self.seed = block_words, shard_slots, seed
         size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-        sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sized")
-        found = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
+        # Equal rows are counted, then numbered: no id, however many rows have it, stays in one bucket.
+        sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *text_key(text_col), size.alias("size"))
+        self.sized = sized = materialize(sized.groupBy("doc_id", "source", "t1", "t2", "size").agg(F.count("*").alias("copies")), "sized")
+        found = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.sum("copies").alias("docs")).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
         found.sort(key=lambda r: (r.source is None, r.source or ""))
@@ -93,10 +96,11 @@ class Mix:
         plan = [(r.source, i, r.words, target[i], max(1, -(-r.words // BUCKET_WORDS), -(-r.docs // BUCKET_DOCS))) for i, r in enumerate(found)]
         self.sources = F.broadcast(spark.createDataFrame(plan, "source string, rank int, source_size long, target double, buckets long"))  # MAX_SOURCES rows at most
         rank_of = self.sources.select(F.col("source").alias("_source"), "rank", "buckets")
-        dealt = sized.join(rank_of, F.col("source").eqNullSafe(F.col("_source"))).withColumn("spot", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("spot", "buckets"))
-        line = Window.partitionBy("rank", "bucket").orderBy("spot", "doc_id", "size")
+        dealt = repeated(sized, "copies", "nth").join(rank_of, F.col("source").eqNullSafe(F.col("_source")))
+        dealt = dealt.withColumn("spot", F.xxhash64("doc_id", "t1", "t2", "nth")).withColumn("bucket", F.pmod("spot", "buckets"))
+        line = Window.partitionBy("rank", "bucket").orderBy("spot", "doc_id", "t1", "t2", "nth")
         self.placed = materialize(dealt.withColumn("row", F.row_number().over(line)).withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).select(
-            "rank", "bucket", "row", "doc_id", "size", (F.col("end") - F.col("size")).alias("start"), "end"), "placed")
+            "rank", "bucket", "row", "doc_id", "t1", "t2", "nth", "size", (F.col("end") - F.col("size")).alias("start"), "end"), "placed")
         filled = self.placed.groupBy("rank", "bucket").agg(F.ceil(F.max("end") / block_words).cast("long").alias("n_blocks")).where("n_blocks > 0")
         self.buckets = materialize(numbered(filled, "rank", "bucket", "n_blocks", "first_block"), "buckets")
         held = {r["rank"]: r["n"] for r in self.buckets.groupBy("rank").agg(F.sum("n_blocks").alias("n")).collect()}  # one row a source
@@ -145,6 +149,10 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """doc_id, size, source, source_size, target, taken of every document."""
+        return self.rows().select("doc_id", "size", "source", "source_size", "target", "taken")
+
+    def rows(self) -> DataFrame:
+        """`taken` with the rest of each row's key: t1, t2 (hash of the text) and nth (its number among equal rows of a source)."""
         spark = self.placed.sparkSession
         times = self.slots(spark).groupBy("rank", "block").agg(F.count("*").alias("times"))
         # Exploded rows look as small as what they come from: without the hints blocks would be broadcast unseen.
@@ -156,4 +164,28 @@ class Mix:
         words = F.least("end", (F.col("at") + 1) * w) - F.greatest("start", F.col("at") * w)
         sums = met.groupBy("rank", "bucket", "row").agg(F.sum(words * F.col("times")).alias("taken")).withColumnsRenamed({"rank": "_rank", "bucket": "_bucket", "row": "_row"})
         joined = self.placed.join(sums, (F.col("rank") == F.col("_rank")) & (F.col("bucket") == F.col("_bucket")) & (F.col("row") == F.col("_row")), "left")
-        return joined.drop("_rank").join(self.sources, "rank").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        return joined.drop("_rank").join(self.sources, "rank").select("doc_id", "t1", "t2", "nth", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of `docs` of which the mix takes words, with size, source_size, target and taken.
+
+    Rows meet their part of the mix by id, source and text hash; equal rows, which are interchangeable, by their number too.
+    """
+    mix = Mix(docs, id_col, text_col, source_col)
+    key = ["_mix_id", "_mix_source", "_mix_1", "_mix_2"]
+    names = dict(zip(("doc_id", "source", "t1", "t2"), key))
+    found = materialize(mix.rows().where("taken > 0").select("doc_id", "source", "t1", "t2", "nth", "size", "source_size", "target", "taken").withColumnsRenamed(names), "mixed")
+    clear = docs.drop("size", "source_size", "target", "taken")
+    keyed = clear.withColumns(dict(zip(key, (F.col(id_col), F.col(source_col), *text_key(text_col)))))
+    many = mix.sized.where("copies > 1").select("doc_id", "source", "t1", "t2").withColumnsRenamed(names)
+    out = ["size", "source_size", "target", "taken"]
+    if many.isEmpty():
+        return join_scope(keyed, found.drop("nth"), key).select(*clear.columns, *out)
+    many = small_side(many)
+    alone = join_scope(join_scope(keyed, many, key, "left_anti"), found.drop("nth"), key)
+    twins = materialize(join_scope(keyed, many, key, "left_semi").withColumn("_mix_row", F.monotonically_increasing_id()), "equal-rows")
+    counted = before(twins.select(*key, "_mix_row", F.lit(1).cast("long").alias("one"), F.shiftright("_mix_row", 12).alias("part")), key, "part", ["_mix_row"], {"nth": "one"})
+    placed = join_scope(counted.select(*key, "nth", "_mix_row"), found, [*key, "nth"]).select(F.col("_mix_row").alias("row"), *out)
+    told = twins.join(placed, F.col("_mix_row") == F.col("row"))
+    return alone.select(*clear.columns, *out).unionByName(told.select(*clear.columns, *out))

@@ -64,6 +64,13 @@ def before(df: DataFrame, keys: Sequence[str], group: str, order: Sequence, valu
     return met.drop(*(f"_k_{k}" for k in (*keys, group)), *(f"_b_{n}" for n in values))
 
 
+def repeated(df: DataFrame, count: str, out: str) -> DataFrame:
+    """Each row `count` times, numbered from 0 as `out`; spread in two steps, so that no array holds more than 4096 numbers or blocks of them."""
+    blocks = df.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col(count) - 1, 12))))
+    numbers = F.sequence(F.col("_block") * 4096, F.least(F.col(count), (F.col("_block") + 1) * 4096) - 1)
+    return blocks.withColumn(out, F.explode(numbers)).drop("_block", count)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (a, b: long): each node with the smallest node it reaches, as (node, root).
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import hot_join, materialize
-from .common import WORD, before
+from .common import WORD, before, repeated
 
 FAMILY = 20  # conversations c - c % FAMILY lend their first turns
 MAX_LENT = 4
@@ -55,10 +55,7 @@ def turns(conversations: DataFrame, id_col: str, turn_col: str, role_col: str, t
     tied = rows.join(mixed, (F.col("conv") == F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn"))).groupBy("conv", "start", "d1", "d2", "words").agg(F.count("*").alias("n"))
     tied = before(tied.withColumn("_group", F.shiftright("d1", 52)), ["conv", "start"], "_group", ["d1", "d2", "words"], {"ahead": "n"})
     runs = alike.unionByName(tied.withColumn("start", F.col("start") + F.col("ahead")).select(alike.columns))
-    # Repeats are spread in two steps, so that no array is longer than a block or than the number of blocks.
-    blocks = runs.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("n") - 1, BLOCK_BITS))))
-    place = F.explode(F.sequence(F.col("_b") * BLOCK, F.least(F.col("n"), (F.col("_b") + 1) * BLOCK) - 1))
-    return blocks.withColumn("_k", place).select("conv", (F.col("start") + F.col("_k")).alias("pos"), "d1", "d2", "words")
+    return repeated(runs, "n", "_k").select("conv", (F.col("start") + F.col("_k")).alias("pos"), "d1", "d2", "words")
 
 
 def rebuilt(placed: DataFrame) -> tuple[DataFrame, DataFrame]:

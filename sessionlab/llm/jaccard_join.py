@@ -44,7 +44,7 @@ MERGED = 2
 ROUNDS = 3
 SEED = 42
 PARITY_WORDS = 8
-BROADCAST_NUMBERS = 2_000_000
+BROADCAST_NUMBERS = 100_000
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ pseudonyms in every document and no table of values is kept: e-mail addresses (l
 payment cards (Luhn), IBANs (mod 97), phone numbers, IPv4 addresses, US social security numbers, dates, access keys and
 passwords. Cards keep their first digit and get a right check digit, IBANs their country and right check digits, phone
 numbers what makes them dialable, dates stay dates within one of the 16384-day windows counted from 1900. Numbers that
-fail their check are left as they are; phone numbers are told by length and punctuation alone.
+fail their check are left as they are, and so are digits in other groups than a card's; phone numbers are told by length and punctuation alone.
 
 Defined results: a null text stays null, without counts; texts without values stay as they are; repeated rows give equal
 rows; an empty table gives an empty result; columns other than id and text are not read.
@@ -33,9 +33,22 @@ OTHER = f"(?! (?:{EMAIL}|{KEY}|{IP}|{DATE}|{SSN}|{PHONE3}))"
 IBANS = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{8}})[A-Z0-9]++(?![a-z])(?:{OTHER}[ -][A-Z0-9]++(?![a-z]))*+"
 CARDS = rf"(?<![A-Za-z0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:{OTHER}[ -][0-9]++(?![A-Za-z]))*+"
 ANY = "|".join((EMAIL, KEY, PASSWORD, IBANS, IP, DATE, SSN, PHONE, CARDS))
-# Readings of a run at its group bounds, the first valid ones win: longer before shorter, for cards those of the usual first digits before others.
+# Readings of a run at its group bounds, the first valid ones win: longer before shorter. A card begins and is as long as issuers have it,
+# and stands unbroken or in a card's groups: fours with a shorter last one, or 4-6-5 and 4-6-4. Other numbers in a row are no card, whatever their digits add up to.
 IBAN_READINGS = tuple(rf"(?<![A-Za-z0-9])(?=([A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n}}})(?![A-Za-z0-9]))" for n in range(31, 7, -1))
-CARD_READINGS = tuple(rf"(?<![A-Za-z0-9])(?=({first}(?:[ -]?[0-9]){{{n}}})(?![A-Za-z0-9]))" for first in ("[2-6]", "[0-9]") for n in range(18, 11, -1))
+ISSUED = ((19, "[46]"), (18, "6"), (17, "6"), (16, "(?:[456]|2[2-7]|35)"), (15, "3[47]"), (14, "3[0689]"), (13, "4"))
+SIXES = {15: "5", 14: "4"}
+
+
+def card_reading(length: int, first: str) -> str:
+    """A card of `length` digits, unbroken or grouped with one kind of separator."""
+    fours, last = divmod(length - 4, 4)
+    grouped = rf"[0-9]{{4}}([ -])[0-9]{{4}}(?:\2[0-9]{{4}}){{{fours - 1}}}" + (rf"\2[0-9]{{{last}}}" if last else "")
+    sixes = rf"|[0-9]{{4}}([ -])[0-9]{{6}}\3[0-9]{{{SIXES[length]}}}" if length in SIXES else ""
+    return rf"(?<![A-Za-z0-9])(?={first})(?=([0-9]{{{length}}}|{grouped}{sixes})(?![A-Za-z0-9]))"
+
+
+CARD_READINGS = tuple(card_reading(*issued) for issued in ISSUED)
 HIDDEN = "".join(chr(0xE000 + i) for i in range(36))
 SHOWN = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
