@@ -18,6 +18,7 @@ from .models import score_in_chunks
 from .scan import neighbours
 from .sequence import exact_sum
 
+HELD = 64                      # groups whose second moments a task holds at once
 WEIGHTS = (0.6, 0.3, 0.1)      # trigram, bigram, unigram share of the mixture
 
 
@@ -117,20 +118,31 @@ def _dense(table, dims: int) -> np.ndarray:
 
 
 def pca_models(vectors: DataFrame, by: str, dims: int = 128, components: int = 8) -> DataFrame:
-    """Mean and leading directions per group, from second moments summed per task and then per group."""
+    """Mean and leading directions per group, from second moments summed per task and then per group.
+
+    A task keeps the moments of `HELD` groups at most and hands them on when it meets more: sums of sums stay sums.
+    """
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str | None, np.ndarray] = {}
+
+        def cells(name, m):
+            i, j = np.nonzero(m)
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(i), pa.string()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(m[i, j])], names=["g", "i", "j", "v"])
         for batch in batches:
-            names = np.array(batch.column(by).to_pylist(), dtype=object)
+            group = batch.column(by).dictionary_encode()
+            names, codes = group.dictionary.to_pylist(), group.indices.fill_null(-1).to_numpy(zero_copy_only=False)
             x = _dense(pa.Table.from_batches([batch]), dims)
             x = np.column_stack([np.ones(len(x)), x])
-            for name in set(names):
-                part = x[names == name]
-                sums[name] = sums.get(name, 0.0) + part.T @ part
-        for name, m in sums.items():
-            i, j = np.nonzero(m)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(i)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(m[i, j])],
-                                             names=["g", "i", "j", "v"])
+            order = np.argsort(codes, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+                if not len(rows):
+                    continue
+                name = names[codes[rows[0]]] if codes[rows[0]] >= 0 else None
+                sums[name] = sums.get(name, 0.0) + x[rows].T @ x[rows]
+                if len(sums) > HELD:
+                    yield from (cells(*item) for item in sums.items())
+                    sums.clear()
+        yield from (cells(*item) for item in sums.items())
 
     cells = (vectors.select(by, "slots", "weights").mapInArrow(moments, "g string, i int, j int, v double")
              .groupBy("g", "i", "j").agg(F.sum("v").alias("v")))

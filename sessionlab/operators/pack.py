@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..schema import ARRAY_COLUMNS, COLUMN_VARIANTS, SESSION_KEYS, TIME_COLUMNS
-from .scan import number_rows
+from .scan import number_untimed
 
 CHUNK = 50_000
 REQUIRED = ("user_id", "client_name", "session_key")
@@ -140,7 +140,7 @@ def pack(df: DataFrame, day: str, chunk_events: int = CHUNK) -> DataFrame:
         ev = conform_events(df, day)
         ties = [c for c in ("observation_id", "event_id") if c in ev.columns] or \
             [c for c in ev.columns if c not in (*SESSION_KEYS, "event_time")]
-        out = pack_numbered(number_rows(ev, list(SESSION_KEYS), "event_time", ties), SESSION_KEYS, chunk_events)
+        out = pack_numbered(number_untimed(ev, list(SESSION_KEYS), "event_time", ties), SESSION_KEYS, chunk_events)
     elif mode == "packed_session":
         out = conform_packed(df, day)
     else:

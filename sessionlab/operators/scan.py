@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros_bucket
+from ..staging import join_scope, materialize, small_side
 
 BLOCK = 8192
 SLOT_US = 60_000_000
+PART_ROWS = 100_000
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], seq: str, ahead: dict[str, tuple[str, int]] | None = None,
@@ -57,6 +59,31 @@ def number_rows(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[st
             .drop("_slot", "_off"))
 
 
+def number_untimed(df: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str], out: str = "seq_no",
+                   slot_us: int = SLOT_US, part_rows: int = PART_ROWS) -> DataFrame:
+    """`number_rows` for tables in which many rows may have no time.
+
+    Rows without a time have no slots. They are dealt into partitions by ranges of (key, tie columns), which keep that order,
+    written once, and counted by partition: each partition's rows are then numbered by themselves from the count before them.
+    """
+    df = materialize(df, "to-number")
+    untimed = df.where(F.col(time).isNull())
+    n = untimed.count()
+    if n <= part_rows:
+        return number_rows(df, keys, time, ties, out, slot_us)
+    timed = number_rows(df.where(F.col(time).isNotNull()), keys, time, ties, out, slot_us)
+    dealt = untimed.repartitionByRange(-(-n // part_rows) + 1, *keys, *ties).withColumn("_part", F.spark_partition_id())
+    dealt = materialize(dealt, "untimed")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    first = df.where(F.col(time).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_timed"))
+    starts = small_side(join_scope(offsets, first, keys, "left").withColumn("_off", F.col("_off") + F.coalesce("_timed", F.lit(0))).drop("_timed"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*ties)
+    rest = join_scope(dealt, starts, [*keys, "_part"]).withColumn(out, (F.col("_off") + F.row_number().over(inside) - 1).cast("long"))
+    return timed.unionByName(rest.drop("_part", "_off"))
+
+
 def last_known(df: DataFrame, keys: Sequence[str], seq: str, value: Column, out: str, block: int = 16 * BLOCK) -> DataFrame:
     """Latest non-null `value` among the earlier rows of the session."""
     df = df.withColumn("_val", value).withColumn("_blk", ((F.col(seq) - F.col(seq) % block) / block).cast("long"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import SESSION_KEYS
+from ..staging import hot_join, materialize
 from .scan import last_known
 from .stats import top_k
 
@@ -20,6 +21,8 @@ from .stats import top_k
 RESERVED = ["PAD", "UNK", "BOS", "EOS", "EOV", "OUT:<NA>", "DT:<NA>", "RG:<NA>", "GAP:<BOS>"]
 PAD_ID, UNK_ID = 0, 1
 MAX_LEN = 2048
+# A token with more than one in so many rows does not go through the shuffle by token.
+HOT_SHARE = 1000
 
 
 def align_arrays(df: DataFrame, main: str, sides: Sequence[str], fill: str = C.NA, times: str | None = None) -> DataFrame:
@@ -137,16 +140,20 @@ def coverage(rows: DataFrame, vocab: DataFrame, by: Sequence[str] = ("client_nam
     return per.join(size, list(by)).withColumn("coverage", F.col("known") / F.col("total"))
 
 
+def hot_tokens(counts: DataFrame, by: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
+    """Tokens that hold more than 1/share of all occurrences of `counts` (by, token, freq): fewer than `share` rows, whatever the data."""
+    total = counts.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
+    return counts.where(F.col("freq") * share > total).select(*by, "token")
+
+
 def token_ids(rows: DataFrame, vocab: DataFrame, by: Sequence[str] = ("client_name",)) -> DataFrame:
     """Add `token_id`; unknown tokens get the id of UNK.
 
-    Reserved tokens, which can be a third of all rows, are numbered without the join and are spread over its
-    partitions under keys that match nothing.
+    `rows` are read twice: counted first, so that tokens with a share of all rows meet the vocabulary on a map side and
+    only the others are exchanged by token.
     """
+    counts = materialize(token_counts(rows, by), "token-counts")
+    ids = vocab.select(*by, "token", F.col("id").alias("_id"))
     fixed = F.create_map(*[x for i, t in enumerate(RESERVED) for x in (F.lit(t), F.lit(i).cast("long"))])
-    known = fixed[F.col("token")]
-    spread = F.concat(F.lit("\u0000"), (F.col("pos") % 4096).cast("string"))
-    left = rows.withColumn("_fixed", known).withColumn("_token", F.when(known.isNull(), F.col("token")).otherwise(spread))
-    right = vocab.select(*by, F.col("token").alias("_token"), F.col("id").alias("_id"))
-    return (left.join(right, [*by, "_token"], "left")
-            .withColumn("token_id", F.coalesce("_fixed", "_id", F.lit(UNK_ID).cast("long"))).drop("_token", "_fixed", "_id"))
+    met = hot_join(rows, ids, [*by, "token"], hot_tokens(counts, by))
+    return met.withColumn("token_id", F.coalesce(fixed[F.col("token")], "_id", F.lit(UNK_ID).cast("long"))).drop("_id")

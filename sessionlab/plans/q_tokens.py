@@ -117,7 +117,7 @@ def coverage(spark, sf):
 SELECT {KEYS}, string_agg(CAST(coalesce(id, 1) AS VARCHAR), ' ' ORDER BY pos) AS ids FROM (SELECT tk.*, voc.id FROM tk LEFT JOIN voc ON tk.client_name = voc.client_name AND tk.token = voc.token) GROUP BY {KEYS}""")
 def ids(spark, sf):
     rows = materialize(rows_of(spark, sf, "v1"), "tokens")
-    s = K.sequences(K.token_ids(rows, vocab_of(rows)), col="token_id", out="ids")
+    s = K.sequences(K.token_ids(rows, materialize(vocab_of(rows), "vocab")), col="token_id", out="ids")
     return s.select(*SESSION_KEYS, F.transform("ids", lambda i: i.cast("string")).alias("ids"))
 
 

@@ -42,18 +42,36 @@ def union_relaxed(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), cast)
 
 
+def _base(path: str) -> str:
+    """The folder above the first wildcard, below which folders named column=value are columns."""
+    parts = path.split("/")
+    fixed = next((i for i, part in enumerate(parts) if any(c in part for c in "*?[{")), None)
+    return path if fixed is None else "/".join(parts[:fixed])
+
+
+def _alike(spark: SparkSession, base: str, files: list[str]) -> list[DataFrame]:
+    """Scans of stretches of `files` whose schemas can be merged. Spark reads the footers of a stretch in one job; a stretch that fails is halved."""
+    try:
+        return [spark.read.option("mergeSchema", "true").option("basePath", base).parquet(*files)]
+    except (PySparkException, Py4JJavaError) as e:
+        if "CANNOT_MERGE" not in str(e) or len(files) == 1:
+            raise
+    half = len(files) // 2
+    return _alike(spark, base, files[:half]) + _alike(spark, base, files[half:])
+
+
 def _scans(spark: SparkSession, path: str) -> list[DataFrame]:
-    """One scan of a path or glob; if its files differ in the types of a column, one scan per distinct schema."""
+    """One scan of a path or glob; if its files differ in the types of a column, one scan per stretch of files that agree.
+
+    Every listed file is read, whatever its name; Spark leaves out names that begin with a dot or an underscore.
+    """
     try:
         return [spark.read.option("mergeSchema", "true").parquet(path)]
     except (PySparkException, Py4JJavaError) as e:
         if "CANNOT_MERGE" not in str(e):
             raise
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    by_schema: dict[str, list[str]] = {}
-    for row in listed.select("path").sort("path").collect():
-        by_schema.setdefault(spark.read.parquet(row.path).schema.json(), []).append(row.path)
-    return [spark.read.parquet(*files) for files in by_schema.values()]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").sort("path").collect()
+    return _alike(spark, _base(path), [row.path for row in listed])
 
 
 def read_tables(spark: SparkSession, paths: Sequence[str] | str, columns: Sequence[str] | None = None,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -17,31 +18,58 @@ def _nested(t: T.DataType) -> bool:
     return isinstance(t, (T.ArrayType, T.MapType, T.StructType))
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of its path objects."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
+def _swap(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the finished folder `fresh` in the place of `path`; what was there goes last."""
+    fs, make = _files(spark, path)
+    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    if not fs.rename(make(path), make(old)):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(make(fresh), make(path)):
+        fs.rename(make(old), make(path))
+        raise OSError(f"cannot put the new table at {path}")
+    fs.delete(make(old), True)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), overwrite: bool = False,
                 allow_empty: bool = False) -> None:
     """Write parquet (zstd), CSV or JSON lines. Refuses existing targets unless told otherwise, and empty input.
 
-    Emptiness is seen while writing, by a counter on the rows, so the input is not computed twice; only before an
-    existing target is overwritten is the first row asked for. Rows of one partition value come from a few tasks.
+    Emptiness is seen while writing, by a counter on the rows, so the input is not computed twice. An overwrite is written
+    beside the target, which it replaces when all rows are written: a job that fails leaves the old rows. Rows of one
+    partition value come from a few tasks.
     """
-    if overwrite and not allow_empty and df.isEmpty():
-        raise ValueError(f"nothing to write to {path}: the input is empty, what is there stays")
+    spark = df.sparkSession
+    fs, make = _files(spark, path)
+    replaces = overwrite and fs.exists(make(path))
+    target = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" if replaces else path
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     if fmt == "csv":
         out = out.select(*[F.to_json(f.name).alias(f.name) if _nested(f.dataType) else F.col(f.name) for f in df.schema.fields])
-    writer = out.write.mode("overwrite" if overwrite else "errorifexists")
+    writer = out.write.mode("errorifexists")
     if partition_by:
-        writer = out.hint("rebalance", *partition_by).write.mode("overwrite" if overwrite else "errorifexists")
-        writer = writer.partitionBy(*partition_by)
-    if fmt == "csv":
-        writer.option("header", "true").csv(path)
-    elif fmt == "json":
-        writer.json(path)
-    else:
-        writer.option("compression", "zstd").parquet(path)
-    if not allow_empty and not seen.get.get("rows", 0):
-        raise ValueError(f"nothing to write to {path}: the input is empty")
+        writer = out.hint("rebalance", *partition_by).write.mode("errorifexists").partitionBy(*partition_by)
+    try:
+        if fmt == "csv":
+            writer.option("header", "true").csv(target)
+        elif fmt == "json":
+            writer.json(target)
+        else:
+            writer.option("compression", "zstd").parquet(target)
+        if not allow_empty and not seen.get.get("rows", 0):
+            raise ValueError(f"nothing to write to {path}: the input is empty" + (", what is there stays" if replaces else ""))
+    except Exception:
+        if replaces:
+            fs.delete(make(target), True)
+        raise
+    if replaces:
+        _swap(spark, target, path)
 
 
 def write_sessions(df: DataFrame, path: str, overwrite: bool = False) -> None:

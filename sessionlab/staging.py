@@ -46,11 +46,11 @@ def hot_join(left: DataFrame, right: DataFrame, on, hot: DataFrame) -> DataFrame
     """Left join to `right`, which has one row per key `on`; rows of the keys listed in `hot` meet it on a map side.
 
     The listed keys go round the shuffle: a key that holds a share of all rows of `left` would be one partition of a merge
-    join. Their rows are spread over the merge join's partitions under numbers that match nothing there.
+    join. Their rows, with or without a partner, are spread over the merge join's partitions under numbers that match nothing.
     """
     on = list(on)
     values = [c for c in right.columns if c not in on]
-    near = small_side(join_scope(right, hot.select(*on).distinct(), on, "left_semi")).withColumnsRenamed({c: f"_near_{c}" for c in values}).withColumn("_hot", F.lit(1))
+    near = small_side(join_scope(hot.select(*on).distinct(), right, on, "left").withColumn("_hot", F.lit(1))).withColumnsRenamed({c: f"_near_{c}" for c in values})
     met = join_scope(left, near, on, "left")
     spread = F.when(F.col("_hot") == 1, F.xxhash64(*left.columns).bitwiseAND(F.lit(0xFFFF)) + 1).otherwise(F.lit(0).cast("long"))
     far = right.withColumnsRenamed({c: f"_far_{c}" for c in values}).withColumn("_spread", F.lit(0).cast("long"))

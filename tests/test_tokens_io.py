@@ -152,3 +152,76 @@ def test_an_empty_overwrite_keeps_what_is_there(spark, tmp_path):
     with pytest.raises(ValueError):
         write_table(spark.range(0).selectExpr("id", "id AS g"), path, partition_by=("g",), overwrite=True)
     assert spark.read.parquet(path).count() == 25
+
+
+def test_a_failing_overwrite_leaves_the_old_rows(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from sessionlab.sources.writers import write_table
+    path = str(tmp_path / "t")
+    write_table(spark.range(5).selectExpr("id", "id AS g"), path, partition_by=("g",))
+    broken = spark.range(100).select("id", F.when(F.col("id") < 99, F.col("id")).otherwise(F.raise_error(F.lit("dies here"))).alias("g"))
+    with pytest.raises(Exception, match="dies here"):
+        write_table(broken, path, overwrite=True)
+    assert spark.read.parquet(path).count() == 5
+    write_table(spark.range(7).selectExpr("id", "id AS g"), path, overwrite=True)
+    assert spark.read.parquet(path).count() == 7 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_globs_of_three_schemas_without_suffixes_and_of_partition_folders(spark, tmp_path):
+    import shutil
+    from sessionlab.sources.readers import read_tables
+
+    def one_file(df, to):
+        tmp = tmp_path / f"w{len(list(tmp_path.iterdir()))}"
+        df.coalesce(1).write.parquet(str(tmp))
+        to.parent.mkdir(parents=True, exist_ok=True)
+        shutil.copy(next(tmp.glob("part-*")), to)
+    frames = [spark.range(3).selectExpr("id", "cast(id as int) AS v"), spark.range(3).selectExpr("id", "cast(id as string) AS v"), spark.range(3).selectExpr("id", "id * 0.5D AS v", "1 AS w")]
+    for i in range(9):
+        one_file(frames[i % 3], tmp_path / "in" / f"log{i}")
+        one_file(frames[i % 3], tmp_path / "days" / f"day=2024-01-0{i + 1}" / f"log{i}.data")
+    got = read_tables(spark, f"{tmp_path}/in/log*")
+    assert got.count() == 27 and dict(got.dtypes)["v"] == "string" and got.where("w = 1").count() == 9
+    for path in (f"{tmp_path}/days", f"{tmp_path}/days/day=*"):
+        got = read_tables(spark, path)
+        assert got.count() == 27 and {str(r.day): r.n for r in got.groupBy("day").agg({"id": "count"}).withColumnRenamed("count(id)", "n").collect()} == {f"2024-01-0{i}": 3 for i in range(1, 10)}
+
+
+def test_hot_tokens_do_not_meet_in_one_task(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(60_000).select(F.lit("c").alias("client_name"), F.when(F.col("id") % 2 == 0, "OUT:ok").when(F.col("id") % 3 == 0, "unseen").otherwise(F.concat(F.lit("t"), (F.col("id") % 500).cast("string"))).alias("token"), F.col("id").alias("pos"))
+    vocab = K.vocabulary(rows.where("token != 'unseen'"), max_vocab=300)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = K.token_ids(rows, vocab)
+        assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+        parts = out.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in parts) < 60_000 / 8
+        want = {r.token: r.id for r in vocab.collect()}
+        assert all(r.token_id == want.get(r.token, 1) for r in out.select("token", "token_id").distinct().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_many_untimed_rows_are_numbered_in_ranges(spark):
+    from pyspark.sql import functions as F
+    from sessionlab.operators.scan import number_rows, number_untimed
+    df = spark.range(40_000).select(F.when(F.col("id") % 9 < 8, "hot").otherwise("b").alias("s"), F.when(F.col("id") % 5 == 0, F.timestamp_seconds("id")).alias("t"), F.concat(F.lit("o"), F.hash("id").cast("string")).alias("o"))
+    got, want = number_untimed(df, ["s"], "t", ["o"], part_rows=3000), number_rows(df, ["s"], "t", ["o"])
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert "dealt" in number_untimed.__doc__ and got.where("t is null").select("s", "seq_no").distinct().count() == 32_000
+
+
+def test_pca_moments_of_many_groups(spark):
+    from pyspark.sql import functions as F
+    from sessionlab.operators.learned import HELD, pca_models
+    v = spark.range(400).coalesce(1).select(F.concat(F.lit("g"), (F.col("id") % 150).cast("string")).alias("g"), F.array((F.col("id") % 4).cast("int")).alias("slots"), F.array((F.col("id") % 7).cast("double")).alias("weights"))
+    got = {r.g: r["mean"] for r in pca_models(v, "g", 4, 2).collect()}
+    assert len(got) == 150 > HELD
+    rows = [i for i in range(400) if i % 150 == 3]
+    want = [sum(i % 7 for i in rows if i % 4 == d) / len(rows) for d in range(4)]
+    assert max(abs(a - b) for a, b in zip(got["g3"], want)) < 1e-12
