@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -10,9 +12,11 @@ from ..operators import pack as P
 from ..operators import risk as R
 from ..operators import scan
 from ..operators import sessionize as Z
+from ..profiles import SPEC
 from ..schema import SESSION_KEYS
 from ..staging import materialize
 from . import fixtures as X
+from . import spec_artifacts as A
 from .registry import query, r6, ts
 from .sql_base import KEYS, SESSIONS
 
@@ -418,3 +422,76 @@ def excluded(spark, sf):
     li = X.read(spark, sf, "lineitem").where(F.col("l_discount") >= 0.09).groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("items"))
     o = X.read(spark, sf, "orders").select("o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return R.excluded(o, ["o_orderkey"], ["items"]).select("o_orderkey", "exclude_reason", "risk_tags", F.col("explode_meta.min_len").alias("min_len"))
+
+
+HITS = f"""hit AS (SELECT {KEYS}, string_agg(x.t || '=' || printf('%.2f', x.v), ', ' ORDER BY x.t) AS hits FROM (SELECT {KEYS}, unnest([
+    {{'t': 'BURST', 'ok': bu, 'v': CAST(peak30s AS DOUBLE)}}, {{'t': 'ERROR_HEAVY', 'ok': eh, 'v': error_rate}}, {{'t': 'EXTREME_BURST', 'ok': xb, 'v': CAST(peak30s AS DOUBLE)}},
+    {{'t': 'LONG_DURATION', 'ok': duration_sec >= 7200, 'v': duration_sec}}, {{'t': 'NORMAL_LONG_SESSION_HINT', 'ok': calm, 'v': duration_sec}},
+    {{'t': 'POLICY_PRESSURE', 'ok': rh AND (route_skew >= 0.8 OR bu), 'v': rate_limited_rate}}, {{'t': 'RATE_LIMIT_HEAVY', 'ok': rh, 'v': rate_limited_rate}},
+    {{'t': 'RETRY_STORM', 'ok': (rh OR eh) AND bu, 'v': CAST(peak30s AS DOUBLE)}}, {{'t': 'ROUTE_SKEW', 'ok': route_skew >= 0.9, 'v': route_skew}},
+    {{'t': 'SINGLE_ROUTE_LOOP', 'ok': route_skew >= 0.95 AND n_events >= 20, 'v': route_skew}}, {{'t': 'TIME_UNRELIABLE', 'ok': NOT time_valid, 'v': CAST(time_unreliable_count AS DOUBLE)}}]) AS x FROM rt)
+  WHERE x.ok GROUP BY {KEYS})"""
+SPEC_SUMMARY = f"""{SESSIONS}, {RULES}, {HITS},
+trt AS (SELECT {KEYS}, string_agg(route_group || ':' || c || '(' || printf('%.2f', c / n) || ')', ', ' ORDER BY i) AS routes FROM (
+  SELECT *, sum(c) OVER (PARTITION BY {KEYS}) AS n, row_number() OVER (PARTITION BY {KEYS} ORDER BY c DESC, route_group) AS i FROM rc) WHERE i <= 3 GROUP BY {KEYS}),
+sq AS (SELECT client_name, quantile_cont(CAST(n_events AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(n_events AS DOUBLE), 0.95) AS p95 FROM ra GROUP BY ALL),
+sm0 AS (SELECT ra.*, row_number() OVER (PARTITION BY client_name ORDER BY n_events DESC, round(risk_score_v2, 9) DESC, session_key, user_id, day) AS rank,
+  CASE WHEN p95 > p50 THEN greatest(0, least(100, (n_events - p50) / (p95 - p50) * 100)) ELSE 0 END AS risk_score_if FROM ra JOIN sq USING (client_name)),
+sm AS (SELECT sm0.*, routes, coalesce(hits, 'no rule') AS hits, n_events - CASE WHEN CAST(user_id AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END AS min_len,
+  strftime(t0 + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') AS a, strftime(t1 + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') AS b,
+  coalesce(strftime(first_err + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S'), '-') AS fe, coalesce(strftime(first_rl + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S'), '-') AS fr
+  FROM sm0 JOIN trt USING ({KEYS}) LEFT JOIN hit USING ({KEYS}) WHERE rank <= 25)"""
+
+
+def spec_inputs(spark, sf):
+    """Rule rows with the number of events as score, events, and packed rows in which one outcome of every fifth user's sessions is missing."""
+    ev = spec_events(spark, sf).select(*SESSION_KEYS, "seq_no", "event_time", "route_group", "outcome", "token")
+    scored = materialize(rule_rows(spark, sf).withColumn("if_raw", F.col("n_events").cast("double")), "rules")
+    packed = P.pack_numbered(X.session_events(spark, sf), chunk_events=20)
+    lost = (F.col("user_id").cast("long") % 5 == 0) & (F.col("chunk") == 0)
+    packed = packed.withColumn("outcome_class", F.when(lost, F.expr("slice(outcome_class, 1, size(outcome_class) - 1)")).otherwise(F.col("outcome_class")))
+    return scored, ev, A.explode_meta(packed)
+
+
+@query("spec_summary", f"""WITH {SPEC_SUMMARY}
+SELECT {KEYS}, rank, n_events + 0.0 AS if_raw, {r6('risk_score_v2')} AS risk_score_v2, {r6('risk_score_if')} AS risk_score_if, n_events, {r6('duration_sec')} AS duration_sec, {r6('error_rate')} AS error_rate,
+  {r6('rate_limited_rate')} AS rate_limited_rate, peak30s, {r6('route_skew')} AS route_skew, risk_tags, primary_reason_code, primary_reason_code || ': ' || hits AS why_ranked,
+  CASE WHEN time_valid THEN a ELSE 'TIME_UNRELIABLE' END || '..' || CASE WHEN time_valid THEN b ELSE 'TIME_UNRELIABLE' END || ' (dur=' || printf('%.0f', duration_sec::DOUBLE) || 's); n=' || n_events ||
+  '; peak30s=' || peak30s || '; routes=' || routes || '; outcomes=ok:' || ok_count || ' err:' || error_count || ' rl:' || rate_limited_count || '; first_err=' ||
+  CASE WHEN time_valid THEN fe ELSE '-' END || '; first_rl=' || CASE WHEN time_valid THEN fr ELSE '-' END AS timeline_1line, min_len, min_len AS outcomes, n_events - min_len AS cut_tokens FROM sm""")
+def spec_summary(spark, sf):
+    scored, ev, metas = spec_inputs(spark, sf)
+    s = A.spec_summary(scored, ev, metas, ("client_name",), profile=replace(SPEC, top_k=25))
+    m = F.col("explode_meta")
+    return s.withColumns({"min_len": m.min_len, "outcomes": m.original_lengths["outcome_class"], "cut_tokens": m.truncated_counts["token"]}).drop(
+        "explode_meta", "threshold_hits", "component_breakdown")
+
+
+SPEC_NUMBERS = ("n_events", "duration_sec", "error_rate", "rate_limited_rate", "peak30s", "route_skew")
+
+
+@query("spec_drilldown", f"""WITH {SPEC_SUMMARY},
+sf AS ({" UNION ALL ".join(f"SELECT {KEYS}, {i} AS i, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM ra" for i, c in enumerate(SPEC_NUMBERS))}),
+sd AS (SELECT client_name, feature, quantile_cont(value, 0.5) AS med FROM sf GROUP BY ALL),
+sa AS (SELECT client_name, feature, any_value(med) AS med, quantile_cont(abs(value - med), 0.5) AS mad FROM sf JOIN sd USING (client_name, feature) GROUP BY ALL),
+dv AS (SELECT {KEYS}, string_agg(feature || ':' || CASE WHEN mad = 0 THEN '-' ELSE printf('%.3f', (value - med) / mad) END, ' ' ORDER BY i) AS deviations FROM sf JOIN sa USING (client_name, feature) GROUP BY {KEYS}),
+hr AS (SELECT {KEYS}, string_agg(route_group || '=' || c, ' ' ORDER BY route_group) AS routes_h FROM rc GROUP BY {KEYS}),
+ho AS (SELECT {KEYS}, string_agg(outcome || '=' || c, ' ' ORDER BY outcome) AS outcomes_h FROM (SELECT {KEYS}, outcome, count(*) AS c FROM sp GROUP BY ALL) GROUP BY {KEYS})
+SELECT {KEYS}, chunk, timeline, CASE WHEN chunk = 0 THEN rank END AS rank, CASE WHEN chunk = 0 THEN hits END AS hits, CASE WHEN chunk = 0 THEN deviations END AS deviations,
+  CASE WHEN chunk = 0 THEN routes_h END AS routes, CASE WHEN chunk = 0 THEN outcomes_h END AS outcomes, CASE WHEN chunk = 0 THEN min_len END AS min_len, CASE WHEN chunk = 0 THEN {r6('raw2')} END AS raw
+FROM (SELECT {KEYS}, seq_no // 20 AS chunk, string_agg(strftime(event_time, '%Y-%m-%dT%H:%M:%S') || '|' || route_group || '|' || outcome || '|' || token, ' ' ORDER BY seq_no) AS timeline FROM sp GROUP BY {KEYS}, seq_no // 20)
+JOIN sm USING ({KEYS}) JOIN dv USING ({KEYS}) JOIN hr USING ({KEYS}) JOIN ho USING ({KEYS})""")
+def spec_drilldown(spark, sf):
+    scored, ev, metas = spec_inputs(spark, sf)
+    s = A.spec_summary(scored, ev, metas, ("client_name",), profile=replace(SPEC, top_k=25))
+    d = A.spec_drilldown(s, scored, ev, ("client_name",), chunk_events=20)
+
+    def told(col, text):
+        return F.array_join(F.transform(col, text), " ")
+
+    def counted(col):
+        return told(F.map_entries(col), lambda e: F.concat(e.key, F.lit("="), e.value["count"].cast("string")))
+    hits = F.when(F.size("threshold_hits") > 0, F.array_join(F.transform("threshold_hits", lambda h: F.concat(h.tag, F.lit("="), C.fixed(h.value))), ", ")).when(F.col("rank").isNotNull(), "no rule")
+    return d.select(*SESSION_KEYS, "chunk", told("timeline", lambda e: F.concat_ws("|", F.date_format(e.t, "yyyy-MM-dd'T'HH:mm:ss"), e.route_group, e.outcome, e.token)).alias("timeline"), "rank", hits.alias("hits"),
+                    told("top_feature_deviation", lambda x: F.concat(x.feature, F.lit(":"), F.coalesce(C.fixed(x.z, 3), F.lit("-")))).alias("deviations"),
+                    counted("route_histogram").alias("routes"), counted("outcome_histogram").alias("outcomes"), F.col("explode_meta.min_len").alias("min_len"), F.col("component_breakdown.risk_score_v2_raw").alias("raw"))
