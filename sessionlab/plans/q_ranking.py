@@ -10,6 +10,7 @@ from ..operators import risk as R
 from ..operators import sessionize as Z
 from ..operators import stats as St
 from ..operators.forest import rank_by_forest
+from ..operators.neighbours import lof
 from ..profiles import SPEC
 from ..schema import SESSION_KEYS
 from ..staging import materialize
@@ -102,6 +103,27 @@ def hygiene(spark, sf):
     return St.hygiene(e, ["event_type"], ["a", "b"]).drop("event_type")
 
 
+NEAR = ("n_events", "error_ratio", "n_unique_tokens", "events_per_s")
+
+
+@query("outlier_factor", f"""WITH {WEEKLY}, {FEATURES_SQL},
+lx AS (SELECT {KEYS}, feature, value FROM ({" UNION ALL ".join(f"SELECT {KEYS}, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM feat" for c in NEAR)})),
+qs AS (SELECT day, feature, quantile_cont(value, 0.5) AS c, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS w FROM lx GROUP BY ALL),
+vx AS (SELECT {KEYS}, list((value - c) / CASE WHEN w > 0 THEN w ELSE 1 END ORDER BY list_position([{", ".join(f"'{c}'" for c in NEAR)}], feature)) AS x FROM lx JOIN qs USING (day, feature) GROUP BY ALL),
+kx AS (SELECT *, client_name || '|' || user_id || '|' || session_key AS id FROM vx),
+pr AS (SELECT a.day, a.id, b.id AS near, round(sqrt(list_sum(list_transform(range(1, {len(NEAR) + 1}), lambda i: (a.x[i] - b.x[i]) ** 2))), 9) AS dist FROM kx a JOIN kx b ON a.day = b.day AND a.id <> b.id),
+ne AS (SELECT day, id, near, dist FROM (SELECT *, row_number() OVER (PARTITION BY day, id ORDER BY dist, near) AS i FROM pr) WHERE i <= 10),
+kd AS (SELECT day, id, max(dist) AS far FROM ne GROUP BY ALL),
+de AS (SELECT ne.day, ne.id, 1 / (avg(greatest(dist, far)) + 1e-10::DOUBLE) AS density FROM ne JOIN kd ON kd.day = ne.day AND kd.id = ne.near GROUP BY ALL),
+lo AS (SELECT ne.day, ne.id, avg(t.density) / any_value(m.density) AS lof FROM ne JOIN de t ON t.day = ne.day AND t.id = ne.near JOIN de m ON m.day = ne.day AND m.id = ne.id GROUP BY ALL)
+SELECT {KEYS}, round(ln(coalesce(lof, 1)), 4) + 0.0 AS ln_lof FROM kx LEFT JOIN lo USING (day, id)""")
+def outlier_factor(spark, sf):
+    """Keys are ordered as text in both engines; of the factor, whose densities of equal rows are near 1e10, the logarithm is shown."""
+    f = weekly_features(spark, sf)
+    f = f.withColumn("_key", F.concat_ws("|", "client_name", "user_id", "session_key"))
+    return lof(f, ["day"], ["_key"], NEAR, k=10).select(*SESSION_KEYS, F.round(F.ln("lof"), 4).alias("ln_lof"))
+
+
 @query("iforest")
 def iforest(spark, sf):
     return A.score_features(weekly_features(spark, sf)).select(*SESSION_KEYS, "if_raw", "anomaly_score", "risk_score", "risk_pct")

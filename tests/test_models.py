@@ -94,3 +94,28 @@ def test_rows_without_scope_and_lone_rows_are_scored(spark):
     assert [r.if_raw for r in ranked if r.day == "alone"] == [0.5]
     assert why_top(df, ["day"], ["x"]).count() == 41
     assert quantiles(spark.createDataFrame([(1.0,), (3.0,), (float("nan"),)], "x double"), [], "x", {"m": 0.5}).first().m == 2.0
+
+
+def test_neighbours_of_many_rows_are_mostly_found(spark):
+    from sessionlab.operators.neighbours import nearest, ranked
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(2500, 4)), rng.normal(4, 0.5, size=(1500, 4)), np.repeat(rng.normal(size=(5, 4)), 40, axis=0)])
+    df = spark.createDataFrame([("d" if i % 4 else None, f"{i:05d}", r.tolist()) for i, r in enumerate(x)], "day string, id string, x array<double>")
+    got = {}
+    for r in nearest(df, ["day"], 4, 10, run=256, margin=64).collect():
+        got.setdefault(r.id, set()).add(r.near)
+    hit = want = 0
+    for part in (0, 1):
+        mine = [i for i in range(len(x)) if bool(i % 4) == bool(part)]
+        d = np.sqrt(((x[mine][:, None] - x[mine][None]) ** 2).sum(-1))
+        np.fill_diagonal(d, np.inf)
+        kth = np.sort(d, axis=1)[:, 9]
+        for row, i in enumerate(mine):
+            found = {mine.index(int(n)) for n in got[f"{i:05d}"]} if row % 20 == 0 else None
+            if found is not None:
+                hit += sum(d[row, j] <= kth[row] + 1e-9 for j in found)
+                want += 10
+    assert all(len(n) == 10 for n in got.values()) and len(got) == len(x) and hit / want >= 0.9
+    spots = spark.createDataFrame([("p", f"{i}", float(i % 7)) for i in range(500)], "p string, id string, v double")
+    places = sorted((r["rank"], r.v) for r in ranked(spots, ["p"]).collect())
+    assert [p for p, _ in places] == list(range(500)) and [v for _, v in places] == sorted(v for _, v in places)
