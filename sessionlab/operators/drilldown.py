@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..schema import SESSION_KEYS
+from ..schema import SESSION_KEYS, keys_of
 from ..staging import materialize
 from .pack import unpack
 from .scan import neighbours
@@ -22,6 +22,7 @@ def peak_window(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, window_s:
     before, so a copy of each event time and a probe at t - window go to the block before, and one running
     pass per (session, block) finds for each probe the first event that is still inside.
     """
+    keys = keys_of(keys, events)
     width = window_s * 1_000_000
     at = events.where(F.col("event_time").isNotNull()).groupBy(*keys, F.unix_micros("event_time").alias("us")).agg(
         F.min("seq_no").alias("lo"), F.max("seq_no").alias("hi"))
@@ -45,6 +46,7 @@ def peak_window(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, window_s:
 
 def gap_quantiles(events: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """Median and p95 of the seconds between neighbouring events."""
+    keys = keys_of(keys, events)
     gaps = events.where(F.col("prev_time").isNotNull()).select(*keys, C.elapsed_s(F.col("prev_time"), F.col("event_time")).alias("gap"))
     return quantiles(gaps, list(keys), "gap", {"p50_gap_s": 0.50, "p95_gap_s": 0.95}).drop("n_values")
 
@@ -63,6 +65,7 @@ def value_counts(events: DataFrame, keys: Sequence[str], columns: Sequence[str],
 
 def drilldown(events: DataFrame, wanted: DataFrame, keys: Sequence[str] = SESSION_KEYS, window_s: int = 30) -> DataFrame:
     """One row of details per wanted session. `wanted` is a top-k list; its events are cut out first."""
+    keys = keys_of(keys, events, wanted)
     cols = [c for c in VALUE_COLUMNS if c in events.columns]
     ev = materialize(events.join(wanted.select(*keys), list(keys), "left_semi")
                      .select(*keys, "seq_no", "event_time", "prev_time", *cols), "drill")
@@ -121,12 +124,14 @@ def timeline() -> Column:
 
 def drilldown_packed(packed: DataFrame, wanted: DataFrame, keys: Sequence[str] = SESSION_KEYS, window_s: int = 30) -> DataFrame:
     """The same details from packed sessions: the wanted ones are cut out before their arrays are unpacked."""
+    keys = keys_of(keys, packed, wanted)
     ev = unpack(packed.join(wanted.select(*keys), list(keys), "left_semi"), keys)
     return drilldown(neighbours(ev, keys, "seq_no", behind={"prev_time": ("event_time", 1)}), wanted, keys, window_s)
 
 
 def drilldown_arrays(packed: DataFrame, wanted: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """Details from arrays alone, without times; same columns, unknown ones null. A session's chunks are counted together."""
+    keys = keys_of(keys, packed, wanted)
     p = packed.join(wanted.select(*keys), list(keys), "left_semi")
 
     def cells_of(c: str) -> Column:
@@ -173,6 +178,7 @@ TEXT_DETAILS = ("token_top3", "route_group_top3", "outcome_top3", "dt_bucket_top
 
 def with_details(top: DataFrame, details: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """Attach details; sessions without any get nulls and empty texts."""
+    keys = keys_of(keys, top, details)
     j = top.join(details, list(keys), "left")
     return j.withColumns({c: F.coalesce(c, F.lit("")) for c in TEXT_DETAILS if c in details.columns})
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import SESSION_KEYS
+from ..schema import SESSION_KEYS, keys_of
 from .stats import quantiles, top_k
 
 WEAK_POSITIVES = ("error", "rate_limited", "blocked")
@@ -23,6 +23,7 @@ def weak_label(outcomes: Column, positives: Sequence[str] = WEAK_POSITIVES) -> C
 
 def weak_labels(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, positives: Sequence[str] = WEAK_POSITIVES) -> DataFrame:
     """The same per session, from event rows."""
+    keys = keys_of(keys, events)
     hit = F.lower(F.trim("outcome_class")).isin(list(positives))
     return events.groupBy(*keys).agg(F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias("label"))
 
@@ -30,6 +31,7 @@ def weak_labels(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, positives
 def precision_at_k(scores: DataFrame, labels: DataFrame, score_cols: Sequence[str], ks: Sequence[int] = KS,
                    keys: Sequence[str] = SESSION_KEYS, part: Sequence[str] = ()) -> DataFrame:
     """Share of labelled positives among the k highest, for every score and k in one job; k is capped at n."""
+    keys = keys_of(keys, scores, labels)
     j = scores.join(labels.select(*keys, "label"), list(keys), "left").withColumn("label", F.coalesce("label", F.lit(0)))
     cells = F.array(*[F.struct(F.lit(c).alias("score_col"), F.col(c).cast("double").alias("score")) for c in score_cols])
     long = j.select(*keys, "label", F.inline(cells))
@@ -63,6 +65,7 @@ def _members(top: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
 
 def overlap(a: DataFrame, b: DataFrame, k: int, keys: Sequence[str] = SESSION_KEYS, part: Sequence[str] = ()) -> DataFrame:
     """Common sessions of two top lists: count, share of k, and Jaccard index."""
+    keys = keys_of(keys, a, b)
     both = _members(a, keys, "_a").join(_members(b, keys, "_b"), list(keys), "full")
     common = F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     return both.groupBy(*part).agg(common.alias("common"), (common / F.lit(k)).alias("overlap"),
@@ -99,6 +102,7 @@ def gain(base: DataFrame, other: DataFrame, by: Sequence[str] = ("k",)) -> DataF
 def seed_sensitivity(tops: DataFrame, precisions: DataFrame, model: str = "model", seed: str = "seed",
                      keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """Spread of precision over seeds and mean Jaccard index of the seeds' top lists. Inputs are top-k lists."""
+    keys = keys_of(keys, tops, precisions)
     spread = precisions.groupBy(model, "k").agg(F.stddev_pop("precision_at_k").alias("precision_std"),
                                                 F.count("*").alias("runs"))
     lists = tops.select(model, seed, *keys).distinct()

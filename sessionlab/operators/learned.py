@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..schema import SESSION_KEYS
+from ..schema import SESSION_KEYS, keys_of
 from ..staging import materialize
 from .models import score_in_chunks
 from .scan import neighbours
@@ -62,6 +62,7 @@ def lm_scores(rows: DataFrame, keys: Sequence[str] = SESSION_KEYS, by: Sequence[
 
     `rows` are token rows with `split`. Each session is reduced to counts per gram before any join.
     """
+    keys = keys_of(keys, rows)
     grams = materialize(
         context_rows(rows.where(F.col("split").isin("train", split)), [*keys, "split"])
         .groupBy(*keys, "split", "t1", "t2", "t3")
@@ -163,6 +164,7 @@ def reconstruction_scores(events: DataFrame, keys: Sequence[str] = SESSION_KEYS,
 
     `train` picks the sessions the subspace is fitted on; by default all.
     """
+    keys = keys_of(keys, events)
     vectors = materialize(term_vectors(events, keys, token, dims), "vectors")
     model = pca_models(vectors.where(train) if train is not None else vectors, by, dims, components)
 
@@ -187,6 +189,7 @@ def weak_label_scores(events: DataFrame, labels: DataFrame, keys: Sequence[str]
     model is fitted on the train split and scores every session. Terms become one of `dims` slots before they
     are listed, which bounds a session's list; scores are sums of the slots' weights, a table of `dims` rows.
     """
+    keys = keys_of(keys, events, labels)
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizerModel
 
@@ -209,6 +212,7 @@ def weak_label_scores(events: DataFrame, labels: DataFrame, keys: Sequence[str]
 def pseudo_training_set(scores: DataFrame, positives: Sequence[DataFrame], keys: Sequence[str] = SESSION_KEYS, by: str = "client_name",
                         ratio: float = 3.0) -> DataFrame:
     """Labelled sessions: the top lists as positives, and per group about `ratio` times as many others by hash."""
+    keys = keys_of(keys, scores)
     pos = positives[0].select(*keys)
     for p in positives[1:]:
         pos = pos.unionByName(p.select(*keys))

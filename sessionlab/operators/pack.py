@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..schema import ARRAY_COLUMNS, COLUMN_VARIANTS, SESSION_KEYS, TIME_COLUMNS
+from ..schema import ARRAY_COLUMNS, COLUMN_VARIANTS, SESSION_KEYS, TIME_COLUMNS, keys_of
 from .scan import number_untimed
 
 CHUNK = 50_000
@@ -60,6 +60,7 @@ def conform_events(df: DataFrame, day: str | None = None) -> DataFrame:
 
 def pack_numbered(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, chunk_events: int = CHUNK) -> DataFrame:
     """Pack events that carry `seq_no`: aligned arrays in event order, from one sorted list of structs."""
+    keys = keys_of(keys, events)
     cols = ["event_time", "route_group", "outcome_class", "token"] + (["dt_bucket"] if "dt_bucket" in events.columns else [])
     chunk = ((F.col("seq_no") - F.col("seq_no") % chunk_events) / chunk_events).cast("long")
     rows = (events.groupBy(*keys, chunk.alias("chunk"))
@@ -153,6 +154,7 @@ def pack(df: DataFrame, day: str, chunk_events: int = CHUNK) -> DataFrame:
 
 def unpack(packed: DataFrame, keys: Sequence[str] = SESSION_KEYS, arrays: Sequence[str] | None = None) -> DataFrame:
     """Event rows of packed sessions. `seq_no` is the place in the session; rows without events vanish."""
+    keys = keys_of(keys, packed)
     arrays = list(arrays or [c for c in ("event_time", "observation_id", "route_group", "outcome_class", "token", "dt_bucket")
                              if c in packed.columns])
     cut = cut_arrays(packed, arrays)

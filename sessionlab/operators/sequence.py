@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..schema import PARTITION_KEYS, SESSION_KEYS
+from ..schema import PARTITION_KEYS, SESSION_KEYS, keys_of
 from ..staging import join_scope, materialize, small_side
 from .scan import neighbours
 from .stats import median_mad, quantiles, scale_0_100, top_k
@@ -43,6 +43,7 @@ def markov(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Sequence
 
     The step counts are written once (or passed in) and then read for the statistics and for scoring.
     """
+    keys = keys_of(keys, events)
     steps = steps if steps is not None else materialize(session_steps(events, keys, token), "steps")
     pair = steps.groupBy(*part, "a", "b").agg(F.sum("c").alias("c_ab"))
     out = pair.groupBy(*part, "a").agg(F.sum(F.when(F.col("b").isNotNull(), F.col("c_ab")).otherwise(0)).alias("c_a"))
@@ -91,6 +92,7 @@ def score_ngrams(grams: DataFrame, keys: Sequence[str], part: Sequence[str], wid
 def ngram_rarity(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Sequence[str] = PARTITION_KEYS,
                  token: str = "token", reduce: str = "mean", sizes: Sequence[int] = (2, 3)) -> DataFrame:
     """Mean (or summed) surprise of a session's n-grams; sessions without any score 0."""
+    keys = keys_of(keys, events)
     grams = materialize(session_ngrams(events, keys, token, sizes), "grams")
     scored = score_ngrams(grams, keys, part, max(sizes))
     per = scored.groupBy(*keys).agg(exact_sum(-F.col("c") * F.col("lp")).alias("_nll"), F.sum("c").alias("n_ngrams"))
@@ -111,6 +113,7 @@ def entropies(events: DataFrame, keys: Sequence[str], token: str = "token") -> D
 
 def entropy_deviation(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Sequence[str] = PARTITION_KEYS,
                       token: str = "token") -> DataFrame:
+    keys = keys_of(keys, events)
     ent = materialize(entropies(events, keys, token), "entropy")
     med = quantiles(ent, part, "entropy_session", {"entropy_median_partition": 0.5}).drop("n_values")
     return join_scope(ent, small_side(med), part).withColumn(
@@ -136,6 +139,7 @@ def composite(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, part: Seque
 
     The vocabulary comes from sessions with at least two events only.
     """
+    keys = keys_of(keys, events)
     steps = materialize(session_steps(events, keys, token), "steps")
     pair = transition_counts(steps, part)
     out = pair.groupBy(*part, "a").agg(F.sum("c_ab").alias("c_a"))
@@ -177,12 +181,14 @@ def rank_sequences(scores: DataFrame, part: Sequence[str] = PARTITION_KEYS, k: i
 
 def top_sequences(scores: DataFrame, k: int = 200, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """The k highest of all partitions together."""
+    keys = keys_of(keys, scores)
     return scores.orderBy(F.desc("risk_score_seq"), F.desc("seq_raw"), *keys).limit(k)
 
 
 def drill_steps(events: DataFrame, wanted: DataFrame, keys: Sequence[str] = SESSION_KEYS, token: str = "token",
                 counts: DataFrame | None = None, part: Sequence[str] = PARTITION_KEYS) -> DataFrame:
     """Events of the wanted sessions with the token before and after, and how common the step is."""
+    keys = keys_of(keys, events, wanted)
     rows = events.join(wanted.select(*keys), list(keys), "left_semi")
     out = neighbours(rows, keys, "seq_no", ahead={"next_token": (token, 1)}, behind={"prev_token": (token, 1)})
     if counts is None:
@@ -194,6 +200,7 @@ def drill_steps(events: DataFrame, wanted: DataFrame, keys: Sequence[str] = SESS
 def drill_ngrams(grams: DataFrame, wanted: DataFrame, keys: Sequence[str] = SESSION_KEYS,
                  part: Sequence[str] = PARTITION_KEYS, k: int = 10) -> DataFrame:
     """The k rarest n-grams of each wanted session: size, tokens, count, surprise."""
+    keys = keys_of(keys, grams, wanted)
     scored = score_ngrams(grams, keys, part).join(wanted.select(*keys), list(keys), "left_semi")
     rows = scored.select(*keys, "n", F.concat_ws("|", "t1", "t2", "t3").alias("ngram"), "c", (-F.col("lp")).alias("nll"))
     return top_k(rows, keys, [F.desc("nll"), F.asc("n"), F.asc("ngram")], k, "rarity_rank")
@@ -210,6 +217,7 @@ def top_values(events: DataFrame, keys: Sequence[str], col: str, k: int, out: st
 def drill_entropy(events: DataFrame, scores: DataFrame, wanted: DataFrame, keys: Sequence[str] = SESSION_KEYS,
                   token: str = "token", k: int = 10) -> DataFrame:
     """Most frequent tokens and entropy values of the wanted sessions."""
+    keys = keys_of(keys, events, scores, wanted)
     rows = events.join(wanted.select(*keys), list(keys), "left_semi")
     return top_values(rows, keys, token, k, "top_tokens").join(
         scores.select(*keys, "entropy_session", "entropy_median_partition"), list(keys))
@@ -221,6 +229,7 @@ REASONS = {"b1": "TRANSITIONS", "b2": "NGRAMS", "b3": "ENTROPY"}
 def sequence_summary(scores: DataFrame, model: str, k: int = 200, keys: Sequence[str] = SESSION_KEYS,
                      part: Sequence[str] = PARTITION_KEYS) -> DataFrame:
     """Ranked sessions of every partition with model type and reason."""
+    keys = keys_of(keys, scores)
     risk, what = F.col("risk_score_seq"), REASONS[model]
     reason = F.when(risk >= 100, f"RARE_{what}").when(risk > 0, f"UNUSUAL_{what}").otherwise("TYPICAL")
     return rank_sequences(scores, part, k).select(

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..schema import GAP_COUNTS, OUTCOME_COUNTS, ROUTE_COUNTS, SESSION_KEYS
-from ..staging import materialize
+from ..schema import GAP_COUNTS, OUTCOME_COUNTS, ROUTE_COUNTS, SESSION_KEYS, keys_of
+from ..staging import join_scope, materialize
 
 MINUTE_US = 60_000_000
 
@@ -48,11 +48,16 @@ def join_events(traces: DataFrame, observations: DataFrame, start: str, end: str
                     C.outcome_class(F.col("obs_name"), F.col("level")).alias("outcome_class")))
 
 
-def sessionize(events: DataFrame, gap_minutes: int = 30, entity: Sequence[str] = ("user_id", "client_name"),
+def entity_of(events: DataFrame) -> tuple[str, ...]:
+    """Whose events make up sessions: a user with a client, within a project where the rows name one."""
+    return (("project_id",) if "project_id" in events.columns else ()) + ("user_id", "client_name")
+
+
+def sessionize(events: DataFrame, gap_minutes: int = 30, entity: Sequence[str] | None = None,
                split_days: bool = False, tz: str = "UTC", stage: bool = True) -> DataFrame:
     """Give every event its session, its place in it, and the time since the one before.
 
-    Rows with a session id belong to that session. The others are cut where the clock passes
+    `entity` names whose events they are: by default project (where there is one), user and client. Rows with a session id belong to that session. The others are cut where the clock passes
     `gap_minutes` minute boundaries without an event. `split_days` starts anew at every local
     midnight, as separate runs per day would.
 
@@ -64,6 +69,7 @@ def sessionize(events: DataFrame, gap_minutes: int = 30, entity: Sequence[str] =
     ev = (events.withColumn("_sid", F.coalesce("session_id", F.lit("")))
           .withColumn("_has", F.col("session_id").isNotNull())
           .withColumn("_min", C.micros_bucket(F.col("event_time"), MINUTE_US)))
+    entity = entity_of(events) if entity is None else entity
     part = [*entity, "_has", "_sid"]
     if split_days:
         ev = ev.withColumn("_day", C.local_day(F.col("event_time"), tz))
@@ -88,7 +94,7 @@ def sessionize(events: DataFrame, gap_minutes: int = 30, entity: Sequence[str] =
     inside = Window.partitionBy(*part, "_min").orderBy("event_time", "observation_id")
     key = F.when(F.col("_has"), F.concat(F.lit("sid:"), "session_id")) \
         .otherwise(F.concat(F.lit("gap:"), F.col("_no").cast("string")))
-    out = (ev.join(minutes, [*part, "_min"])
+    out = (join_scope(ev, minutes, [*part, "_min"])
            .withColumn("seq_no", (F.col("_seq0") + F.row_number().over(inside) - 1).cast("long"))
            .withColumn("prev_time", F.coalesce(F.lag("event_time").over(inside), F.col("_prev")))
            .withColumn("session_key", key)
@@ -114,6 +120,7 @@ def day_key_sessions(events: DataFrame, tz: str = "UTC") -> DataFrame:
 
 
 def rollup(events: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
+    keys = keys_of(keys, events)
     return events.groupBy(*keys).agg(F.min("event_time").alias("session_start"),
                                      F.max("event_time").alias("session_end"),
                                      F.count("*").alias("n_events"))
@@ -125,6 +132,7 @@ def _count_of(col: str, value: str) -> Column:
 
 def session_features(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, min_events: int = 5) -> DataFrame:
     """Feature row per session, straight from the events: no arrays are built."""
+    keys = keys_of(keys, events)
     f = events.groupBy(*keys).agg(
         F.min("event_time").alias("session_start"), F.max("event_time").alias("session_end"),
         F.count("*").alias("n_events"),
@@ -146,10 +154,12 @@ def session_features(events: DataFrame, keys: Sequence[str] = SESSION_KEYS, min_
 
 def features_from_packed(packed: DataFrame, keys: Sequence[str] = SESSION_KEYS, min_events: int = 5) -> DataFrame:
     """The same features when only packed sessions are at hand."""
+    keys = keys_of(keys, packed)
     from .pack import unpack
     return session_features(unpack(packed), keys, min_events)
 
 
 def with_keys(df: DataFrame, wanted: DataFrame, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
     """Rows whose key is in `wanted`, a key list of any size."""
+    keys = keys_of(keys, df, wanted)
     return df.join(wanted.select(*keys), list(keys), "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..schema import SESSION_KEYS
+from ..schema import SESSION_KEYS, keys_of
 from ..staging import hot_join, materialize
 from .scan import last_known
 from .stats import top_k
@@ -68,6 +68,7 @@ def token_rows(events: DataFrame, version: str, keys: Sequence[str] = SESSION_KE
     `pos` counts from 0 after cutting. Events that cannot reach the kept tail are dropped before they are
     spread into tokens.
     """
+    keys = keys_of(keys, events)
     ev = events
     if version != "v0":
         ev = last_known(ev, keys, "seq_no", F.col("event_time"), "_prev")
@@ -92,6 +93,7 @@ def token_rows(events: DataFrame, version: str, keys: Sequence[str] = SESSION_KE
 
 def sequences(rows: DataFrame, keys: Sequence[str] = SESSION_KEYS, col: str = "token", out: str = "tokens") -> DataFrame:
     """One array per session from token rows."""
+    keys = keys_of(keys, rows)
     cells = F.array_sort(F.collect_list(F.struct("pos", col)))
     return rows.groupBy(*keys).agg(F.max("seq_len").alias("seq_len"), F.transform(cells, lambda s: s[col]).alias(out))
 

@@ -71,6 +71,18 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_events(traces(spark, sf_dir, ev), observations(spark, sf_dir, ev), START, END)
 
 
+def one_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base events without their project: most queries show sessions of one project, whose keys do not name it."""
+    return base_events(spark, sf_dir).drop("project_id")
+
+
+def two_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base events, and those of every other user a week later once more as another project."""
+    base = base_events(spark, sf_dir)
+    other = base.where(F.col("user_id").cast("long") % 2 == 0).withColumns({"project_id": F.lit("p1"), "event_time": F.col("event_time") + F.expr("INTERVAL 7 DAYS")})
+    return base.unionByName(other)
+
+
 _STAGED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -78,7 +90,7 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessionised events, written once per application: everything after sessionising reads this table."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
-        _STAGED[key] = materialize(sessionize(base_events(spark, sf_dir), GAP_MINUTES), "session-events")
+        _STAGED[key] = materialize(sessionize(one_project(spark, sf_dir), GAP_MINUTES), "session-events")
     return _STAGED[key]
 
 

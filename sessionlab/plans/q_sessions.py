@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import pack as P
 from ..operators import sessionize as Z
 from ..schema import GAP_COUNTS, OUTCOME_COUNTS, ROUTE_COUNTS, SESSION_KEYS
 from . import fixtures as X
@@ -77,7 +78,7 @@ SELECT * REPLACE ({ts('session_start')} AS session_start, {ts('session_end')} AS
   {r6('events_per_s')} AS events_per_s, {r6('error_ratio')} AS error_ratio, {r6('fast_ratio')} AS fast_ratio,
   {r6('idle_ratio')} AS idle_ratio, {r6('unique_token_ratio')} AS unique_token_ratio) FROM feat""")
 def sess_features(spark, sf):
-    return Z.session_features(Z.sessionize(X.base_events(spark, sf), X.GAP_MINUTES))
+    return Z.session_features(Z.sessionize(X.one_project(spark, sf), X.GAP_MINUTES))
 
 
 @query("day_key_sessions", f"""WITH {RAW}, d AS (
@@ -87,7 +88,7 @@ SELECT client_name, day, user_id,
   {ts('min(event_time)')} AS session_start, {ts('max(event_time)')} AS session_end, count(*) AS n_events
 FROM d GROUP BY ALL""")
 def day_key_sessions(spark, sf):
-    return Z.rollup(Z.day_key_sessions(X.base_events(spark, sf)))
+    return Z.rollup(Z.day_key_sessions(X.one_project(spark, sf)))
 
 
 @query("daily_sessions", f"""WITH {RAW}, d AS (
@@ -103,10 +104,22 @@ SELECT client_name, d AS day, user_id,
   {ts('min(event_time)')} AS session_start, {ts('max(event_time)')} AS session_end, count(*) AS n_events
 FROM e GROUP BY ALL""")
 def daily_sessions(spark, sf):
-    ev = Z.sessionize(X.base_events(spark, sf), 120, split_days=True, tz="Asia/Seoul")
+    ev = Z.sessionize(X.one_project(spark, sf), 120, split_days=True, tz="Asia/Seoul")
     return Z.rollup(ev)
 
 
+@query("two_projects", f"""WITH {SESSIONS}, r AS (SELECT client_name, day, user_id, session_key, min(event_time) AS t0, max(event_time) AS t1, count(*) AS n_events, count(DISTINCT token) AS tokens FROM ev GROUP BY ALL)
+SELECT 'p0' AS project_id, client_name, day, user_id, session_key, {ts('t0')} AS session_start, {ts('t1')} AS session_end, n_events, tokens FROM r
+UNION ALL SELECT 'p1', client_name, strftime(CAST(day AS TIMESTAMP) + INTERVAL 7 DAY, '%Y-%m-%d'), user_id, session_key, {ts('t0 + INTERVAL 7 DAY')}, {ts('t1 + INTERVAL 7 DAY')}, n_events, tokens
+FROM r WHERE CAST(user_id AS BIGINT) % 2 = 0""")
+def two_projects(spark, sf):
+    """Equal users, clients and session ids of two projects are sessions of their own, in packed form too."""
+    p = P.pack_numbered(Z.sessionize(X.two_projects(spark, sf), X.GAP_MINUTES), chunk_events=20)
+    key = ["project_id", *SESSION_KEYS]
+    ev = P.unpack(p)
+    return ev.groupBy(*key).agg(F.min("event_time").alias("session_start"), F.max("event_time").alias("session_end"), F.count("*").alias("n_events"), F.count_distinct("token").alias("tokens"))
+
+
 @query("user_norm", """WITH r AS (
   SELECT event_id, CASE WHEN user_id % 3 = 0 THEN ' ' WHEN user_id % 3 = 1 THEN '' ELSE CAST(user_id AS VARCHAR) END AS u,
     CASE WHEN user_id % 5 < 2 THEN '' ELSE 'api_' || user_id END AS m1,

@@ -6,6 +6,15 @@ from pyspark.sql import types as T
 
 # Canonical key of a session.
 SESSION_KEYS = ("client_name", "day", "user_id", "session_key")
+
+
+def keys_of(keys, *frames):
+    """The given keys; the default ones with the project in front where all `frames` name it, so that equal users of two projects stay apart."""
+    if keys is SESSION_KEYS and all("project_id" in f.columns for f in frames):
+        return ("project_id", *SESSION_KEYS)
+    return keys
+
+
 # Rows that are compared with each other by the sequence models.
 PARTITION_KEYS = ("client_name", "day")
 
