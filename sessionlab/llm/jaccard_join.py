@@ -14,8 +14,8 @@ suffice, and this is repeated until no list newly becomes long.
 Classes with so many long lists that one of them is among their first are `dense`: texts of which thousands of copies exist. Two dense
 classes without a short list in common differ by all their short lists s, and by the difference of their numbers of long
 lists r at least: 185 (s + s' + |r - r'|) <= 15 (n + n') must hold. In each long list the class with the most room by this bound is held against all
-others; only classes for which the bound leaves a partner in another component go on, with a new head in each round, and
-what is left after `ROUNDS` rounds is compared pair by pair. No list of copies is compared with itself as a whole.
+others; only classes for which the bound leaves a partner in another component go on, with a new head in each round. When few
+are left, or after `ROUNDS` rounds, these are compared pair by pair. No list of copies is compared with itself as a whole.
 
 Defined results: shingles are compared by 64-bit hashes; null texts and texts without words have no set and stay alone; fewer
 words than a shingle are one shingle; rows of one id with different texts are documents of their own, and a component's id is
@@ -44,7 +44,8 @@ MERGED = 2
 ROUNDS = 3
 SEED = 42
 PARITY_WORDS = 8
-BROADCAST_NUMBERS = 100_000
+BROADCAST_NUMBERS = 500_000
+FEW_PAIRS = 4_000_000  # places in lists that may be compared pair by pair; the bound leaves few of them
 
 
 @dataclass(frozen=True)
@@ -126,6 +127,11 @@ def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, {SKETCH}")
 
 
+def near_side(df: DataFrame) -> DataFrame:
+    """A written table of single numbers as a join side: broadcast where there are at most `BROADCAST_NUMBERS`, else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_NUMBERS + 1).count() <= BROADCAST_NUMBERS else df
+
+
 def full_sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(id, found: all shingles in order) of the classes `wanted` (id, set_key, rep); `docs` (doc_id, text) are read again for them."""
     ids = small_side(wanted.select(F.col("rep").alias("_rep")).distinct())
@@ -166,7 +172,7 @@ def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
 
 
 def merged_lists(posts: DataFrame, like: Likeness) -> DataFrame:
-    """Candidate pairs (a, b) from posts (token, id, n, dense), whose lists hold `LIMIT` classes at most.
+    """Candidate pairs (a, b) from posts (token, id, n, dense), whose lists are short.
 
     A list goes to each of its members with the members after it that fit by size. Two dense classes may share one short
     list only, others share `MERGED` of them.
@@ -222,46 +228,58 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
 
     def cleared(heads: DataFrame, col: str) -> DataFrame:
         """Of the classes that meet a long list in `col`: near, the other lists there, and far, the long ones."""
-        hits = heads.select("id", F.explode(col).alias("token")).join(small_side(long), "token", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("far"))
+        hits = heads.select("id", F.explode(col).alias("token")).join(near_side(long), "token", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("far"))
         hits = materialize(hits, "long-hits")
         held = hits.agg(F.sum(F.size("far") + 2)).first()[0] or 0
-        return heads.join(F.broadcast(hits) if held <= BROADCAST_NUMBERS else hits, "id").withColumn("near", F.array_except(col, "far"))
+        return heads.join(F.broadcast(hits) if 4 * held <= BROADCAST_NUMBERS else hits, "id").withColumn("near", F.array_except(col, "far"))
+
+    def first_lists(of: DataFrame) -> DataFrame:
+        return of.select("id", "n", F.explode(F.slice("head", F.lit(1), room)).alias("token"))
+
+    def resting() -> DataFrame:
+        """Classes that have not moved on, with their first lists."""
+        return first_lists(sets.select("id", "n", "head").join(near_side(gone), "id", "left_anti"))
 
-    brief = sets.select("id", "n", F.explode(F.slice("head", F.lit(1), room)).alias("token"))
+    brief = first_lists(sets)
     counts = lengths(brief)
     long = new = materialize(counts.where(F.col("c") > LIMIT).select("token"), "long-lists")
     if long.isEmpty():
         return brief.join(counts.select("token"), "token").withColumn("dense", F.lit(False)), None
-    whole = moved = grown = None
+    whole = moved = grown = gone = None
     while True:
         # Only classes that meet a list which has newly become long go on.
         heads = sets.select("id", "n", "head")
         if moved is not None:
-            now = brief.join(moved.select("id"), "id", "left_anti").select("id", "token").unionByName(moved.where("not lacks").select("id", F.explode("taken").alias("token")))
-            met = materialize(now.join(small_side(new), "token", "left_semi").select("id").distinct(), "long-met")
+            now = resting().select("id", "token").unionByName(moved.where("not lacks").select("id", F.explode("taken").alias("token")))
+            met = materialize(now.join(near_side(new), "token", "left_semi").select("id").distinct(), "long-met")
             if met.isEmpty():
                 break
-            heads = heads.join(small_side(met), "id", "left_semi")
-        went = cleared(heads, "head").withColumns({"lacks": F.size("near") < room, "taken": F.slice("near", F.lit(1), room)})
+            heads = heads.join(near_side(met), "id", "left_semi")
+        # Where most of the first lists are long, the others will be too: such classes enter whole at once.
+        went = cleared(heads, "head").withColumns({"lacks": (F.size("near") < room) | (2 * F.size("far") > room), "taken": F.slice("near", F.lit(1), room)})
         went = materialize(went.select("id", "n", "lacks", F.when(~F.col("lacks"), F.col("taken")).alias("taken"), F.array_except("taken", F.slice("head", F.lit(1), room)).alias("fresh")), "moved-on")
         lacking = materialize(sets.join(small_side(went.where("lacks").select("id")), "id", "left_semi").select("id", "set_key", "rep", "n"), "lacking")
         more = materialize(full_sets(lacking, docs, like.words).join(lacking.select("id", "n"), "id"), "entered-whole")
         fresh = went.where("not lacks").select(F.explode("fresh").alias("token")).unionByName(more.select(F.explode("found").alias("token"))).groupBy("token").agg(F.count("*").alias("e"))
         grown = materialize(fresh if grown is None else grown.unionByName(fresh).groupBy("token").agg(F.sum("e").alias("e")), "list-growth")
         moved = went if moved is None else moved.join(went.select("id"), "id", "left_anti").unionByName(went)
+        gone = moved.select("id")
         whole = more if whole is None else whole.unionByName(more)
-        # A list of one is not among the counts; a length may come out too high, which only makes the list a long one.
-        over = grown.join(counts, "token", "left").where(F.col("e") + F.coalesce("c", F.lit(1)) > LIMIT).select("token")
+        # A list of one is not among the counts; a length may come out too high, which only makes the list a long one. Lists that
+        # grow may do so to twice the limit, and a few of them beyond it, which ends the search for further ones sooner.
+        size = F.col("e") + F.coalesce("c", F.lit(1))
+        over = grown.join(counts, "token", "left").where(size > 2 * LIMIT).select("token", size.alias("size"))
         new = materialize(over.join(long, "token", "left_anti"), "long-lists")
-        if new.isEmpty():
+        if (new.agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0) <= FEW_PAIRS:
             break
+        new = new.select("token")
         long = materialize(long.unionByName(new), "long-lists")
     split = materialize(cleared(whole, "found").withColumn("s", F.size("near").cast("long")).withColumn("dense", F.col("s") < room), "split-lists")
     # A class that entered whole and met no long list there after all has its first lists like any other.
     free = whole.join(split.select("id"), "id", "left_anti").select("id", "n", F.lit(False).alias("dense"), F.explode(F.slice("found", F.lit(1), room)).alias("token"))
     near = split.select("id", "n", "dense", F.explode(F.slice("near", F.lit(1), room)).alias("token"))
     light = moved.where("not lacks").select("id", "n", F.lit(False).alias("dense"), F.explode("taken").alias("token"))
-    others = brief.join(moved.select("id"), "id", "left_anti").withColumn("dense", F.lit(False))
+    others = resting().withColumn("dense", F.lit(False))
     posts = reduce(DataFrame.unionByName, (others, light, near, free))
     shared = lengths(posts).select("token")
     far = split.where("dense").select("id", "n", "s", F.explode(F.slice("far", F.lit(1), room - F.col("s").cast("int"))).alias("token"))
@@ -329,7 +347,10 @@ def jaccard_links(sets: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame
         rows = materialize(dense.open(rows.select("token", "id", "f", "g"), components(links)), "open")
         if rows.isEmpty():
             return links
-        new, rows = dense.stars(rows) if turn < ROUNDS - 1 else (dense.pairs(rows), rows)
+        squares = rows.groupBy("token").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+        if turn == ROUNDS - 1 or squares <= FEW_PAIRS:
+            return links.unionByName(probed(materialize(dense.pairs(rows), "pairs"), sets, docs, like))
+        new, rows = dense.stars(rows)
         links = materialize(links.unionByName(probed(materialize(new, "pairs"), sets, docs, like)), "links")
     return links
 

@@ -79,6 +79,7 @@ def test_components_equal_all_pairs(spark, monkeypatch, seed, limit, rounds):
     """Low limits send the groups through the long lists."""
     monkeypatch.setattr(J, "LIMIT", limit)
     monkeypatch.setattr(J, "ROUNDS", rounds)
+    monkeypatch.setattr(J, "FEW_PAIRS", 0 if seed == 2 else 100)
     rows = collection(seed, 12, 25) + (EDGES if seed < 3 else [])
     got = [tuple(r) for r in J.jaccard_components(table(spark, rows)).collect()]
     assert sorted(got, key=repr) == all_pairs(rows)
