@@ -17,6 +17,16 @@ ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double":
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Rows of one Arrow batch. Spark also ends a batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), which bounds very long texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session set to batches of `BATCH_ROWS`: a batch is held several times over, by the JVM, by Arrow and as Python objects."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,10 +36,7 @@ def schema_of(fields: str) -> pa.Schema:
 
 
 def map_columns(df: DataFrame, fn: Callable[..., Iterable[list]], fields: str) -> DataFrame:
-    """Batches of `df` through `fn`, which gets one Python list per column and returns one list (or array) per field.
-
-    Spark cuts batches at 10,000 rows or 64 MB (spark.sql.execution.arrow.maxBytesPerBatch), whichever comes first.
-    """
+    """Batches of `df` through `fn`, which gets one Python list per column and returns one list (or array) per field."""
     shape = schema_of(fields)
 
     def run(batches):
@@ -37,7 +44,7 @@ def map_columns(df: DataFrame, fn: Callable[..., Iterable[list]], fields: str) -
             out = fn(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, shape)], schema=shape)
 
-    return df.mapInArrow(run, fields)
+    return small_batches(df).mapInArrow(run, fields)
 
 
 def text_key(col: str) -> list[Column]:

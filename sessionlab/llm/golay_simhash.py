@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..staging import materialize, small_side
 from . import jaccard_join
-from .common import components, map_columns, text_key
+from .common import components, map_columns, small_batches, text_key
 
 # The generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the code, and the seed of the hash.
 GENERATOR = 0b110001110101
@@ -199,7 +199,7 @@ def _similar_components(docs: DataFrame, like: jaccard_join.Likeness, id_col: st
                 made.append(jaccard_join.sketch(found, like))
             fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], fps, *jaccard_join.sketch_columns(made)], names=["doc_id", "t1", "t2", "fp", "set_key", "n", "head", "parity"])
-    rows = docs.select("doc_id", *text_key("text"), "text").mapInArrow(run, f"doc_id long, t1 long, t2 long, fp long, {jaccard_join.SKETCH}")
+    rows = small_batches(docs).select("doc_id", *text_key("text"), "text").mapInArrow(run, f"doc_id long, t1 long, t2 long, fp long, {jaccard_join.SKETCH}")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = jaccard_join.classes_of(rows)
 

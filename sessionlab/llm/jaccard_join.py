@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import materialize, small_side
-from .common import components
+from .common import components, small_batches
 
 LIMIT = 64
 MERGED = 2
@@ -124,7 +124,7 @@ def sketches(docs: DataFrame, like: Likeness) -> DataFrame:
         for b in batches:
             made = sketch_columns([sketch(shingles(t, like.words), like) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *made], names=["doc_id", "set_key", "n", "head", "parity"])
-    return docs.mapInArrow(run, f"doc_id long, {SKETCH}")
+    return small_batches(docs).mapInArrow(run, f"doc_id long, {SKETCH}")
 
 
 def near_side(df: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def full_sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             found = [shingles(t, size) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(u) for u in found], type=pa.binary()), pa.array(found, type=pa.list_(pa.int64()))], names=["set_key", "found"])
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-    read = texts.mapInArrow(run, "set_key binary, found array<long>").join(wanted.select("set_key", "id"), "set_key")
+    read = small_batches(texts).mapInArrow(run, "set_key binary, found array<long>").join(wanted.select("set_key", "id"), "set_key")
     return read.groupBy("id").agg(F.first("found").alias("found"))
 
 
