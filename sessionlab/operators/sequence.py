@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..schema import PARTITION_KEYS, SESSION_KEYS, keys_of
 from ..staging import join_scope, materialize, small_side
+from .drilldown import drilldown
 from .scan import neighbours
 from .stats import median_mad, quantiles, scale_0_100, top_k
 
@@ -227,11 +228,15 @@ REASONS = {"b1": "TRANSITIONS", "b2": "NGRAMS", "b3": "ENTROPY"}
 
 
 def sequence_summary(scores: DataFrame, model: str, k: int = 200, keys: Sequence[str] = SESSION_KEYS,
-                     part: Sequence[str] = PARTITION_KEYS) -> DataFrame:
-    """Ranked sessions of every partition with model type and reason."""
+                     part: Sequence[str] = PARTITION_KEYS, events: DataFrame | None = None, window_s: int = 30) -> DataFrame:
+    """Ranked sessions of every partition with model type and reason; with `events` also `timeline_1line` of the ranked sessions."""
     keys = keys_of(keys, scores)
     risk, what = F.col("risk_score_seq"), REASONS[model]
     reason = F.when(risk >= 100, f"RARE_{what}").when(risk > 0, f"UNUSUAL_{what}").otherwise("TYPICAL")
-    return rank_sequences(scores, part, k).select(
+    top = rank_sequences(scores, part, k).select(
         *keys, "rank", "seq_raw", "risk_score_seq", "n_events", F.lit(model.upper()).alias("model_type"),
         reason.alias("primary_reason_code"))
+    if events is None:
+        return top
+    top = materialize(top, "ranked")
+    return top.join(drilldown(events, top, keys, window_s).select(*keys, "timeline_1line"), list(keys), "left")

@@ -15,6 +15,7 @@ from ..profiles import IMPL, Profile
 from ..schema import SESSION_KEYS
 from ..staging import materialize
 
+# The columns of the summary that its readers look for.
 SUMMARY = ("risk_pct", "risk_score", "anomaly_score", *SESSION_KEYS, "n_events", "duration_s", "n_events_dd", "n_tokens_dd",
            "n_outcomes_dd", "error_rate_dd", "rate_limited_rate_dd", "burst_score", "route_skew_pct", "max_events_in_30s",
            "p50_gap_s", "p95_gap_s", "dt_bucket_top3", "route_group_top3", "outcome_top3", "token_top3", "top_error_route",

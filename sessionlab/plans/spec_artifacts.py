@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +16,42 @@ from ..operators import risk as R
 from ..operators.stats import feature_stats, scale_0_100, top_k, with_stats
 from ..profiles import SPEC, Profile
 from ..schema import ARRAY_COLUMNS, SESSION_KEYS, SPEC_FEATURES
+from ..sources.writers import fingerprint
 from ..staging import join_scope, materialize, small_side
 
 CHUNK_EVENTS = 50_000
 ORDERING = "event_time ASC, observation_id ASC"
 
+# Fixed values of the run record that readers look for.
+SPEC_VERSION = "1.0.1"
+REVISION = "revised-2026-02-20-frozen-2026-02-20"
+TIE_BREAKERS = "ORDER BY if_raw DESC, risk_score_v2 DESC, n_events DESC, session_id_norm ASC"
+
+
+def rules_hash(profile: Profile = SPEC) -> str:
+    """Changes whenever a tag's condition or observed value does: the rules are hashed as the expressions they are."""
+    told = [f"{tag}|{cond}|{value}" for tag, (cond, value) in sorted(R.tag_rules(profile).items())]
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()[:16]
+
+
+def run_record(inputs: DataFrame, scope: Sequence[str], written: Mapping[str, DataFrame], keys: Sequence[str] = SESSION_KEYS, profile: Profile = SPEC,
+               guard_days: int = 7, feature_version: str = "1.0.0", code_sha: str = "", masking: str = "uuid, hex and number parts of routes") -> DataFrame:
+    """The mandatory record of one run. `inputs` are fingerprinted; `written` are tables, of which the rows are counted."""
+    spark = inputs.sparkSession
+    params = {"trees": profile.trees, "sample": profile.sample, "seed": profile.seed, "features": list(profile.features)}
+    row = {
+        "spec_version": SPEC_VERSION, "revision": REVISION, "feature_version": feature_version, "if_params": json.dumps(params, sort_keys=True), "model_scope": ",".join(scope),
+        "code_sha": code_sha, "masking_policy": masking, "outcome_parsing_policy": "exact names first, then http:429, other http:4xx and 5xx, level:error, else ok",
+        "time_window_guard": f"{guard_days} days", "epoch_sentinel_policy": "a time in 1970 makes its session TIME_UNRELIABLE",
+        "feature_hygiene": "missing and NaN 0, +Inf the largest finite value, -Inf 0", "risk_tag_rules_hash": rules_hash(profile), "topk_k": profile.top_k,
+        "partition_keys": ",".join(scope), "session_keys": ",".join(keys), "ranking_tiebreakers": TIE_BREAKERS}
+    made = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'int' if isinstance(v, int) else 'string'}" for k, v in row.items()))
+    counts = [df.agg(F.struct(F.lit(name).alias("table"), F.count("*").alias("rows")).alias("c")) for name, df in written.items()]
+    listed = reduce(DataFrame.unionByName, counts).agg(F.map_from_entries(F.array_sort(F.collect_list("c"))).alias("rows_written"))
+    data = fingerprint(inputs).select(F.concat_ws(":", "rows", "xor_hash", "sum_hash", "schema_hash").alias("data_fingerprint"), F.col("rows").alias("input_rows"))
+    # One row each.
+    return made.crossJoin(F.broadcast(data)).crossJoin(F.broadcast(listed)).withColumn("generated_at", F.current_timestamp())
+
 
 def explode_meta(packed: DataFrame, keys: Sequence[str] = SESSION_KEYS, arrays: Sequence[str] = ARRAY_COLUMNS) -> DataFrame:
     """Per session of packed rows: how long each array is over all chunks, how many aligned places there are, what is cut off."""

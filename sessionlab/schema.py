@@ -79,7 +79,7 @@ REVIEW_LOG = T.StructType([
     T.StructField("label_source", T.StringType()),
 ])
 
-# Column spellings met in the wild -> canonical name.
+# Column spellings met in the wild -> canonical name.
 COLUMN_VARIANTS = {
     "tokens": "token",
     "outcomes": "outcome_class",
@@ -87,12 +87,12 @@ COLUMN_VARIANTS = {
     "event_times": "event_time",
     "dt_buckets": "dt_bucket",
 }
-# Names under which an event time may arrive, in order of preference.
+# Names under which an event time may arrive, in order of preference.
 TIME_COLUMNS = ("event_time", "event_ts", "timestamp", "start_time", "created_at", "ts")
 
 ARRAY_COLUMNS = ("token", "outcome_class", "route_group", "event_time", "dt_bucket")
 
-# Numeric columns of the session feature table, in output order.
+# Numeric columns of the session feature table, in output order.
 OUTCOME_COUNTS = ("error", "rate_limited", "auth_fail", "guardrail_warn", "guardrail_block",
                   "bad_request", "internal_error")
 ROUTE_COUNTS = ("chat", "embeddings", "models", "images", "audio", "files", "moderations",
