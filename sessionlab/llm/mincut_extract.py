@@ -82,27 +82,50 @@ def hint(tag: str, attributes: str, inherited: str) -> str:
     return inherited
 
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+class Spot:
+    """A block element's place in the tree: the block element around it (None at the top) and its depth from 1."""
+    __slots__ = ("parent", "depth")
+
+    def __init__(self, parent: Spot | None):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 1
+
+
+def distance(p: Spot | None, q: Spot | None, most: int) -> int:
+    """Steps between two places in the tree, `most` if there are as many or more."""
+    steps = 0
+    while p is not q and steps < most:
+        if q is None or p is not None and p.depth >= q.depth:
+            p = p.parent
+        else:
+            q = q.parent
+        steps += 1
+    return steps
+
+
 class Block:
-    __slots__ = ("text", "linked", "hint", "path", "heading")
+    __slots__ = ("text", "linked", "hint", "spot", "heading")
 
-    def __init__(self, text, linked, hint, path, heading):
-        self.text, self.linked, self.hint, self.path, self.heading = text, linked, hint, path, heading
+    def __init__(self, text, linked, hint, spot, heading):
+        self.text, self.linked, self.hint, self.spot, self.heading = text, linked, hint, spot, heading
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order, with the numbers of the elements they stand in."""
-    stack: list[tuple[str, str, int]] = [("", "", 0)]  # name, hint, number
+    """Text blocks in page order, with the places of the elements they stand in."""
+    stack: list[tuple[str, str, Spot | None]] = [("", "", None)]  # name, hint, innermost block element
     open_tags: Counter = Counter()
     found: list[Block] = []
     parts: list[str] = []
-    linked, number, at, end = 0, 0, 0, len(page)
+    linked, at, end = 0, 0, len(page)
 
     def close_block():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append(Block(text, linked, stack[-1][1], tuple(e[2] for e in stack if e[0] in BLOCK), any(e[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack)))
+                found.append(Block(text, linked, stack[-1][1], stack[-1][2], any(open_tags[h] > 0 for h in HEADINGS)))
             parts.clear()
         linked = 0
 
@@ -153,8 +176,7 @@ def blocks_of(page: str) -> list[Block]:
                 k -= 1
             if stack[k][0] in CLOSED_BY[tag]:
                 pop_to(k)
-        number += 1
-        stack.append((tag, hint(tag, attributes, stack[-1][1]), number))
+        stack.append((tag, hint(tag, attributes, stack[-1][1]), Spot(stack[-1][2]) if tag in BLOCK else stack[-1][2]))
         open_tags[tag] += 1
     close_block()
     return found
@@ -174,19 +196,13 @@ def content_nats(b: Block) -> float:
 def edges_of(found: list[Block]) -> list[tuple[int, int, int]]:
     """Smoothness edges (i, j, capacity): to the block before, and to the last block under the same parent."""
     edges, last = [], {}
+    far = math.ceil(UNIT * EDGE)    # beyond so many steps every capacity is 1
     for i, b in enumerate(found):
         near = {i - 1} if i else set()
-        parent = b.path[-2] if len(b.path) > 1 else 0
+        parent = b.spot.parent if b.spot else None
         if parent in last:
             near.add(last[parent])
-        for j in near:
-            p, q = b.path, found[j].path
-            shared = 0
-            for x, y in zip(p, q):
-                if x != y:
-                    break
-                shared += 1
-            edges.append((j, i, math.ceil(UNIT * EDGE / max(1, len(p) + len(q) - 2 * shared))))
+        edges += ((j, i, math.ceil(UNIT * EDGE / max(1, distance(b.spot, found[j].spot, far)))) for j in near)
         last[parent] = i
     return edges
 

@@ -89,3 +89,12 @@ def test_lists_of_numbers_are_left_alone(spark):
     got = {x.doc_id: x for x in pseudonyms.pseudonymise(docs(spark, rows), "k").collect()}
     assert sum(got[i].n_replaced > 0 for i in range(1000)) <= 20 and got[2000].n_replaced == 0
     assert all(got[3000 + i].n_replaced == 1 for i in range(len(cards)))
+
+
+def test_deep_pages_take_linear_time():
+    from sessionlab.llm import mincut_extract
+    page = "<div>word " * 50_000
+    assert mincut_extract.main_text(page) in ("", "\n".join(["word"] * 50_000))
+    found = mincut_extract.blocks_of("<div>a<div>b<p>c</p></div></div><h2>d</h2>")
+    assert [b.spot.depth for b in found] == [1, 2, 3, 1] and [b.heading for b in found] == [False, False, False, True]
+    assert [mincut_extract.distance(found[0].spot, b.spot, 99) for b in found] == [0, 1, 2, 2] and mincut_extract.distance(found[2].spot, found[3].spot, 3) == 3
