@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made, one of toxic and one of ordinary training text. A text's windows are compressed with
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A text's windows are compressed with
 either; a window that the toxic dictionary makes shorter speaks for toxicity. Counts of such windows at several gains,
 the largest gains and the mean are turned into a score by a logistic fit on documents that neither dictionary has seen.
 
-The toxic dictionary holds the word starts that stand out in toxic documents against ordinary ones (in so many documents,
-and so many times more often), the strongest last, where matches are cheapest; a start stands for words that share it.
+Toxic documents are mostly ordinary words, and a dictionary trained on all of their text is much like one trained on
+ordinary text. So the toxic one is trained on what sets them apart: of each word the longest start that stands in
+`MIN_DOCS` toxic documents at least and in them `MIN_RATIO` times as often as in ordinary ones. A window is one word.
 
 Fitted on the driver on a bounded sample: `sample` toxic and twice as many ordinary documents of at most `LONGEST`
 characters, by hash order of their ids. Scoring reads every whole text.
@@ -29,6 +30,9 @@ from .common import map_columns
 SAMPLE = 2500
 LONGEST = 20_000
 TOXIC_BYTES, ORDINARY_BYTES = 8192, 32768
+ORDINARY_WORDS = 300_000
+# Length of the pieces that training counts and of the segments it picks, and words of a training sample.
+PIECE, SEGMENT, SAMPLE_WORDS = 6, 32, 8
 MIN_DOCS, MIN_RATIO = 4, 20.0
 GAINS = (2, 4, 6, 8)
 CACHED, CACHED_LENGTH = 300_000, 64
@@ -46,27 +50,36 @@ def starts(word: bytes) -> list[bytes]:
     return [w[:n] for n in range(5, min(len(w), 24) + 1)]
 
 
+def trained(words: list[bytes], size: int) -> bytes:
+    """A dictionary trained on the words; the words themselves where they are too few to train one."""
+    samples = [b"".join(words[i:i + SAMPLE_WORDS]) for i in range(0, len(words), SAMPLE_WORDS)]
+    try:
+        return zstandard.train_dictionary(size, samples, d=PIECE, k=SEGMENT).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(words))[-size:] or b" " * 8
+
+
 def dictionaries(texts: list[str], toxic: list[int]) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary."""
-    seen, words, total = (Counter(), Counter()), Counter(), [0, 0]
+    """The toxic and the ordinary dictionary."""
+    seen, total = (Counter(), Counter()), [0, 0]
     for text, y in zip(texts, toxic):
-        own = set(windows(text))
-        seen[y].update({s for w in own for s in starts(w)})
+        seen[y].update({s for w in set(windows(text)) for s in starts(w)})
         total[y] += 1
-        if not y:
-            words.update(own)
-    held = []
-    for s, n in seen[1].items():
-        ratio = (n / total[1]) / ((seen[0][s] + 0.5) / max(total[0], 1))
-        if n >= min(MIN_DOCS, max(2, total[1] // 20)) and ratio >= MIN_RATIO:
-            held.append((n * float(np.log(ratio)), s))
-    held.sort()
-    common = [b" " + w + b" " for w, _ in sorted(words.items(), key=lambda x: (x[1], x[0]))]
-    return b"".join(s for _, s in held)[-TOXIC_BYTES:] or b" " * 8, b"".join(common)[-ORDINARY_BYTES:] or b" " * 8
+    least = min(MIN_DOCS, max(2, total[1] // 20))
+    apart = {s for s, n in seen[1].items() if n >= least and (n / total[1]) / ((seen[0][s] + 0.5) / max(total[0], 1)) >= MIN_RATIO}
+    unlike, usual = [], []
+    for text, y in zip(texts, toxic):
+        if y:
+            longest = (max((s for s in starts(w) if s in apart), key=len, default=None) for w in windows(text))
+            unlike += [s for s in longest if s]
+        else:
+            usual += [b" " + w + b" " for w in windows(text)]
+    step = -(-len(usual) // ORDINARY_WORDS) or 1
+    return trained(unlike, TOXIC_BYTES), trained(usual[::step], ORDINARY_BYTES)
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held = zstandard.ZstdCompressionDict(content)
     params = zstandard.ZstdCompressionParameters.from_level(
         3, dict_size=len(content), source_size=64, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     held.precompute_compress(compression_params=params)
