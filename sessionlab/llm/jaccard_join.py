@@ -4,8 +4,9 @@ A document's set is its distinct shingles; equal sets are one class, of which on
 can only reach the similarity (0.85, say) where it shares T = ceil(0.85 n) of them, so of its lists the T longest but one or
 two may be set aside: what is linked to it stands in the others. Lists are ordered by one rule for all classes, long ones (over
 `LIMIT` classes) last, the rest by hash; each class enters only the first n - T + `MERGED` of its lists. A class's short lists
-are merged on a heap that skips ahead over candidates that cannot gather the needed count (MergeSkip); candidates that pass a
-bound from 512 parity bits of both sets are decided by binary probes of the one sorted set, long lists included, in the other.
+are merged on a heap that skips ahead over candidates that cannot gather the needed count (MergeSkip); candidates that pass
+bounds from 512 parity bits and from the first shingles of both sets are decided by binary probes of the one sorted set, long
+lists included, in the other.
 
 Which lists are long need not be counted over all shingles. Lists of the first n - T + `MERGED` shingles by hash are counted;
 classes that meet a long one there move on to their next shingles, or enter all of them where twice as many do not
@@ -141,8 +142,9 @@ def full_sets(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             found = [shingles(t, size) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(u) for u in found], type=pa.binary()), pa.array(found, type=pa.list_(pa.int64()))], names=["set_key", "found"])
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-    read = small_batches(texts).mapInArrow(run, "set_key binary, found array<long>").join(wanted.select("set_key", "id"), "set_key")
-    return read.groupBy("id").agg(F.first("found").alias("found"))
+    read = materialize(small_batches(texts).mapInArrow(run, "set_key binary, found array<long>").join(small_side(wanted.select("set_key", "id")), "set_key").select("id", "found"), "whole-sets")
+    # Rows that repeat an id and its text would count twice; mostly there are none, and the sets need not be exchanged.
+    return read if read.count() <= wanted.count() else read.groupBy("id").agg(F.first("found").alias("found"))
 
 
 def merge_skip(lists: list[list[int]], need: int) -> list[tuple[int, int]]:
@@ -196,27 +198,51 @@ def merged_lists(posts: DataFrame, like: Likeness) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def paired(pairs: DataFrame, arrays: DataFrame, keep) -> DataFrame:
+    """Of `pairs` (a, b, na, nb, least) those for which `keep(na, nb, least, x, y)` holds of the arrays (id, found) of both."""
+    met = pairs.join(arrays.withColumnsRenamed({"id": "a", "found": "fa"}), "a").join(arrays.withColumnsRenamed({"id": "b", "found": "fb"}), "b")
+
+    def run(batches):
+        for batch in batches:
+            numbers = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            kept = [bool(keep(*n, x.values.to_numpy(), y.values.to_numpy())) for n, x, y in zip(numbers, batch.column(5), batch.column(6))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:5], names=["a", "b", "na", "nb", "least"]).filter(pa.array(kept, type=pa.bool_()))
+    return small_batches(met).select("a", "b", "na", "nb", "least", "fa", "fb").mapInArrow(run, "a long, b long, na long, nb long, least long")
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Numbers that two sorted sets share: binary probes of the smaller one in the larger."""
+    few, many = sorted((x, y), key=len)
+    if not len(few):
+        return 0
+    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    return int((many[at] == few).sum())
+
+
+def heads_agree(n: int, m: int, least: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets may share `least`, by their first shingles: in the range both show, they differ by no more than the whole sets may."""
+    ends = [h[-1] for h, size in ((x, n), (y, m)) if len(h) < size]
+    if ends:
+        x, y = x[:np.searchsorted(x, min(ends), side="right")], y[:np.searchsorted(y, min(ends), side="right")]
+    return len(x) + len(y) - 2 * common(x, y) <= n + m - 2 * least
+
+
 def probed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
-    """Of `pairs` (a, b: classes of `sets`) those that are linked, by the parity bound first and binary probes of the whole sets then."""
+    """Of `pairs` (a, b: classes of `sets`) those that are linked: by bounds from parity and from the first shingles, then by binary probes of the whole sets."""
     known = sets.select("id", "n", "parity")
     both = pairs.join(known.withColumnsRenamed({"id": "a", "n": "na", "parity": "pa"}), "a").join(known.withColumnsRenamed({"id": "b", "n": "nb", "parity": "pb"}), "b")
     least = like.needed(F.col("na"), F.col("nb"))
     bits = reduce(Column.__add__, [F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(PARITY_WORDS)])
-    left = both.where((least <= F.least("na", "nb")) & (bits <= F.col("na") + F.col("nb") - 2 * least)).select("a", "b", least.alias("least"))
+    left = both.where((least <= F.least("na", "nb")) & (bits <= F.col("na") + F.col("nb") - 2 * least)).select("a", "b", "na", "nb", least.alias("least"))
     left = materialize(left, "candidates")
-    wanted = left.select(F.col("a").alias("id")).unionByName(left.select(F.col("b").alias("id"))).distinct()
-    held = materialize(full_sets(materialize(sets.join(wanted, "id", "left_semi").select("id", "set_key", "rep"), "wanted"), docs, like.words), "whole-sets")
-    met = left.join(held.withColumnsRenamed({"id": "a", "found": "fa"}), "a").join(held.withColumnsRenamed({"id": "b", "found": "fb"}), "b")
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for least_, fa, fb in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
-                few, many = sorted((fa.values.to_numpy(), fb.values.to_numpy()), key=len)
-                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                keep.append(int((many[at] == few).sum()) >= least_)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
-    return materialize(met.select("a", "b", "least", "fa", "fb").mapInArrow(run, "a long, b long"), "links")
+    def members(of: DataFrame) -> DataFrame:
+        return materialize(of.select(F.col("a").alias("id")).unionByName(of.select(F.col("b").alias("id"))).distinct(), "members")
+    heads = sets.join(near_side(members(left)), "id", "left_semi").select("id", F.col("head").alias("found"))
+    left = materialize(paired(left, heads, heads_agree), "likely")
+    wanted = materialize(sets.join(near_side(members(left)), "id", "left_semi").select("id", "set_key", "rep"), "wanted")
+    found = paired(left, full_sets(wanted, docs, like.words), lambda n, m, least, x, y: common(x, y) >= least)
+    return materialize(found.select("a", "b"), "links")
 
 
 def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame | None]:
@@ -268,7 +294,7 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
         # A list of one is not among the counts; a length may come out too high, which only makes the list a long one. Lists that
         # grow may do so to twice the limit, and a few of them beyond it, which ends the search for further ones sooner.
         size = F.col("e") + F.coalesce("c", F.lit(1))
-        over = grown.join(counts, "token", "left").where(size > 2 * LIMIT).select("token", size.alias("size"))
+        over = grown.where(F.col("e") > LIMIT).join(counts, "token", "left").where(size > 2 * LIMIT).select("token", size.alias("size"))
         new = materialize(over.join(long, "token", "left_anti"), "long-lists")
         if (new.agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0) <= FEW_PAIRS:
             break

@@ -105,3 +105,19 @@ def test_parity_is_a_lower_bound():
         a, b = (np.unique((r.integers(0, 3000, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) for _ in range(2))
         differing = sum(int(x).bit_count() for x in (J.parity(a) ^ J.parity(b)).view(np.uint64).tolist())
         assert differing <= len(np.setxor1d(a, b))
+
+
+def test_heads_never_part_linked_sets():
+    r = np.random.default_rng(6)
+    like, parted = J.LIKENESS, 0
+    for _ in range(400):
+        base = np.unique(r.integers(-2 ** 62, 2 ** 62, r.integers(6, 300)))
+        x, y = (np.unique(np.r_[base[r.random(len(base)) > r.random() * 0.2], r.integers(-2 ** 62, 2 ** 62, r.integers(0, 30))]) for _ in range(2))
+        if min(len(x), len(y)) < like.least:
+            continue
+        least = -(-like.part * (len(x) + len(y)) // (like.part + like.whole))
+        agree = J.heads_agree(len(x), len(y), least, J.sketch(x, like)[2], J.sketch(y, like)[2])
+        linked = len(np.intersect1d(x, y)) >= least
+        assert J.common(x, y) == len(np.intersect1d(x, y)) and (agree or not linked)
+        parted += not agree
+    assert parted > 100
