@@ -245,6 +245,20 @@ def probed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -
     return materialize(found.select("a", "b"), "links")
 
 
+def by_token(whole: DataFrame) -> DataFrame:
+    """(token, ids) of whole sets (id, found), gathered within each batch: copies share their tokens, which then are few rows."""
+    def run(batches):
+        for batch in batches:
+            found = batch.column(1).combine_chunks() if isinstance(batch.column(1), pa.ChunkedArray) else batch.column(1)
+            tokens = found.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), found.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.argsort(tokens, kind="stable")
+            first = np.flatnonzero(np.diff(tokens[order], prepend=tokens[order][:1] - 1)) if len(tokens) else np.zeros(0, dtype=np.int64)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[first, len(tokens)].astype(np.int32)), pa.array(owner[order]))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[order][first]), ids], names=["token", "ids"])
+    return small_batches(whole).select("id", "found").mapInArrow(run, "token long, ids array<long>")
+
+
 def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame | None]:
     """Posts (token, id, n, dense) of the short lists, and (token, id, n, s) of the long lists that dense classes enter (None if none is long)."""
     room = like.first(F.col("n")).cast("int")
@@ -286,7 +300,7 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
         went = materialize(went.select("id", "n", "lacks", F.when(~F.col("lacks"), F.col("taken")).alias("taken"), F.array_except("taken", F.slice("head", F.lit(1), room)).alias("fresh")), "moved-on")
         lacking = materialize(sets.join(small_side(went.where("lacks").select("id")), "id", "left_semi").select("id", "set_key", "rep", "n"), "lacking")
         more = materialize(full_sets(lacking, docs, like.words).join(lacking.select("id", "n"), "id"), "entered-whole")
-        fresh = went.where("not lacks").select(F.explode("fresh").alias("token")).unionByName(more.select(F.explode("found").alias("token"))).groupBy("token").agg(F.count("*").alias("e"))
+        fresh = went.where("not lacks").select(F.explode("fresh").alias("token")).groupBy("token").agg(F.count("*").alias("e")).unionByName(by_token(more).select("token", F.size("ids").cast("long").alias("e"))).groupBy("token").agg(F.sum("e").alias("e"))
         grown = materialize(fresh if grown is None else grown.unionByName(fresh).groupBy("token").agg(F.sum("e").alias("e")), "list-growth")
         moved = went if moved is None else moved.join(went.select("id"), "id", "left_anti").unionByName(went)
         gone = moved.select("id")
@@ -300,13 +314,15 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
             break
         new = new.select("token")
         long = materialize(long.unionByName(new), "long-lists")
-    split = materialize(cleared(whole, "found").withColumn("s", F.size("near").cast("long")).withColumn("dense", F.col("s") < room), "split-lists")
-    # A class that entered whole and met no long list there after all has its first lists like any other.
-    free = whole.join(split.select("id"), "id", "left_anti").select("id", "n", F.lit(False).alias("dense"), F.explode(F.slice("found", F.lit(1), room)).alias("token"))
+    # Of classes that entered whole most lists are long: the few others are looked up, and the long ones are the rest.
+    few = by_token(whole).join(near_side(long), "token", "left_anti").select(F.explode("ids").alias("_id"), "token").groupBy("_id").agg(F.array_sort(F.collect_list("token")).alias("near"))
+    split = whole.join(few, F.col("id") == F.col("_id"), "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
+    split = split.withColumns({"far": F.array_except("found", "near"), "s": F.size("near").cast("long")}).drop("_id", "found")
+    split = materialize(split.withColumn("dense", F.col("s") < room), "split-lists")
     near = split.select("id", "n", "dense", F.explode(F.slice("near", F.lit(1), room)).alias("token"))
     light = moved.where("not lacks").select("id", "n", F.lit(False).alias("dense"), F.explode("taken").alias("token"))
     others = resting().withColumn("dense", F.lit(False))
-    posts = reduce(DataFrame.unionByName, (others, light, near, free))
+    posts = reduce(DataFrame.unionByName, (others, light, near))
     shared = lengths(posts).select("token")
     far = split.where("dense").select("id", "n", "s", F.explode(F.slice("far", F.lit(1), room - F.col("s").cast("int"))).alias("token"))
     return posts.join(shared, "token"), materialize(far, "dense-posts")
