@@ -88,8 +88,9 @@ def topk_sets(spark, sf):
     s, _ = scores(spark, sf)
     a, b = (materialize(ranked(s, c).select(*SESSION_KEYS), "top") for c in ("score_markov", "score_entropy"))
     n = F.count("*").alias("n")
-    return a.intersect(b).groupBy(F.lit("intersect").alias("op")).agg(n).unionByName(
-        a.union(b).distinct().groupBy(F.lit("union").alias("op")).agg(n))
+    # Counted without groups, so that an empty set has its row.
+    return a.intersect(b).agg(n).select(F.lit("intersect").alias("op"), "n").unionByName(
+        a.union(b).distinct().agg(n).select(F.lit("union").alias("op"), "n"))
 
 
 @query("jaccard", f"""WITH {SCORES}, a AS (SELECT {KEYS} FROM sc ORDER BY score_markov DESC, {KEYS} LIMIT 200), b AS (SELECT {KEYS} FROM sc ORDER BY score_entropy DESC, {KEYS} LIMIT 200)

@@ -159,3 +159,14 @@ def test_deviations_do_not_exchange_the_rows(spark):
             assert "SortMergeJoin" not in p and "ShuffledHashJoin" not in p and "hashpartitioning(day" not in p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_top_sets_without_common_sessions_are_counted(spark, monkeypatch):
+    from sessionlab.plans import catalog, q_evaluate, registry  # noqa: F401
+    made = spark.range(60).select(F.lit("c").alias("client_name"), F.lit("d").alias("day"), F.col("id").cast("string").alias("user_id"), F.lit("gap:1").alias("session_key"),
+                                  F.col("id").cast("double").alias("score_markov"), (-F.col("id")).cast("double").alias("score_entropy"))
+    monkeypatch.setattr(q_evaluate, "scores", lambda spark, sf: (made, None))
+    got = {r["op"]: r["n"] for r in registry.QUERIES["topk_sets"](spark, "unused").collect()}
+    assert got == {"intersect": 0, "union": 40}
+    monkeypatch.setattr(q_evaluate, "scores", lambda spark, sf: (made.where("false"), None))
+    assert {r["op"]: r["n"] for r in registry.QUERIES["topk_sets"](spark, "unused").collect()} == {"intersect": 0, "union": 0}
