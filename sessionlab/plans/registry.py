@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Counts and keys compress well: tasks that read more than this would hold tens of times as much in sorts and hash tables.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "200",
     # Top lists of up to this many rows per group are cut inside each task before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }

@@ -81,3 +81,14 @@ def test_entry_and_contract(spark):
 def test_sampled_outlier_factor_is_not_registered():
     import __spark_entry__ as entry
     assert "lof" not in entry.queries()
+
+
+def test_tasks_of_large_exchanges_stay_small(spark):
+    from pyspark.sql import functions as F
+    from sessionlab.plans import registry
+    for key, value in registry.SETTINGS.items():
+        spark.conf.set(key, value)
+    # Over 100 MB of counts in a session of 4 partitions.
+    counts = spark.range(12_000_000).groupBy(F.xxhash64("id").alias("h")).agg(F.count("*").alias("c"))
+    assert counts.rdd.getNumPartitions() > 4
+    assert counts.count() == 12_000_000
