@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import GAP_COUNTS, OUTCOME_COUNTS, ROUTE_COUNTS, SESSION_KEYS, keys_of
-from ..staging import join_scope, materialize
+from ..staging import materialize
 
 MINUTE_US = 60_000_000
 
@@ -21,8 +21,8 @@ def time_slice(df: DataFrame, start: str, end: str, column: str = "created_at")
 
 
 def join_events(traces: DataFrame, observations: DataFrame, start: str, end: str,
-                trace_start: str | None = None) -> DataFrame:
-    """One classified row per observation whose trace names a user.
+                trace_start: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """One classified row per observation whose trace names a user, with the columns `extra` of the observation.
 
     `trace_start` widens the trace range backwards, so that late observations of earlier traces keep
     their user; by default both tables are cut to the same range.
@@ -37,7 +37,7 @@ def join_events(traces: DataFrame, observations: DataFrame, start: str, end: str
         "project_id", F.col("id").alias("observation_id"), "trace_id", F.col("created_at").alias("event_time"),
         F.col("name").alias("obs_name"), "level",
         F.col("metadata")[C.META_CLIENT].alias("o_client"),
-        F.col("metadata")[C.META_ROUTE].alias("o_route"))
+        F.col("metadata")[C.META_ROUTE].alias("o_route"), *extra)
     path = C.route(F.col("o_route"), F.col("t_route"))
     return (ob.join(tr, ["project_id", "trace_id"], "left")
             .where(F.col("user_id").isNotNull())
@@ -45,7 +45,7 @@ def join_events(traces: DataFrame, observations: DataFrame, start: str, end: str
                     C.client_name(F.col("o_client"), F.col("t_client")).alias("client_name"),
                     "session_id", "event_time", "obs_name", "level", path.alias("route"),
                     C.route_group(path).alias("route_group"),
-                    C.outcome_class(F.col("obs_name"), F.col("level")).alias("outcome_class")))
+                    C.outcome_class(F.col("obs_name"), F.col("level")).alias("outcome_class"), *extra))
 
 
 def entity_of(events: DataFrame) -> tuple[str, ...]:
@@ -77,6 +77,8 @@ def sessionize(events: DataFrame, gap_minutes: int = 30, entity: Sequence[str] |
     if stage:
         ev = materialize(ev, "events")
 
+    # One structured key: its fields may be null and still compare as equal, and the order inside the minute and the join share one exchange.
+    slot = F.struct(*part, "_min").alias("_slot")
     w = Window.partitionBy(*part).orderBy("_min")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     since = F.col("_min") - F.lag("_min").over(w)
@@ -86,20 +88,22 @@ def sessionize(events: DataFrame, gap_minutes: int = 30, entity: Sequence[str] |
         .withColumn("_new", F.when(since.isNull() | (~F.col("_has") & (since >= gap_minutes)), 1).otherwise(0))
         .withColumn("_prev", F.when(F.col("_new") == 0, F.lag("_t1").over(w)))
         .withColumn("_before", F.sum("_n").over(run) - F.col("_n"))
-        .select(*part, "_min", "_prev",
+        .select(slot, "_prev",
                 F.sum("_new").over(run).alias("_no"),
                 (F.col("_before") - F.last(F.when(F.col("_new") == 1, F.col("_before")), True).over(run)).alias("_seq0"),
                 F.last(F.when(F.col("_new") == 1, F.col("_t0")), True).over(run).alias("session_start")))
 
-    inside = Window.partitionBy(*part, "_min").orderBy("event_time", "observation_id")
+    inside = Window.partitionBy("_slot").orderBy("event_time", "observation_id")
     key = F.when(F.col("_has"), F.concat(F.lit("sid:"), "session_id")) \
         .otherwise(F.concat(F.lit("gap:"), F.col("_no").cast("string")))
-    out = (join_scope(ev, minutes, [*part, "_min"])
-           .withColumn("seq_no", (F.col("_seq0") + F.row_number().over(inside) - 1).cast("long"))
-           .withColumn("prev_time", F.coalesce(F.lag("event_time").over(inside), F.col("_prev")))
+    placed = ev.select("*", slot).withColumns({"_nth": F.row_number().over(inside), "_last": F.lag("event_time").over(inside)})
+    out = (placed.join(minutes, "_slot")
+           .withColumn("seq_no", (F.col("_seq0") + F.col("_nth") - 1).cast("long"))
+           .withColumn("prev_time", F.coalesce("_last", "_prev"))
            .withColumn("session_key", key)
            .withColumn("day", C.local_day(F.col("session_start"), tz)))
-    return finish_events(out).drop("_has", "_sid", "_min", "_day", "_prev", "_no", "_seq0")
+    made = ("session_start", "seq_no", "prev_time", "session_key", "day", "dt_ms", "dt_bucket", "token")
+    return finish_events(out).select(*(c for c in events.columns if c not in made), *made)
 
 
 def finish_events(df: DataFrame) -> DataFrame:

@@ -163,3 +163,14 @@ def test_packing_a_chunked_table_again_keeps_the_numbers(spark):
     again = pack(once, "2024-01-01")
     assert once.count() == again.count() == 3
     assert sorted(r.seq_no for r in unpack(again).collect()) == sorted(r.seq_no for r in unpack(once).collect()) == list(range(25))
+
+
+def test_sessionize_exchanges_the_events_once(spark):
+    rows = [(str(i), f"u{i % 3}", None, i * 70) for i in range(200)]
+    ev = events(spark, rows).withColumn("client_name", F.when(F.col("user_id") != "u1", F.col("client_name")))
+    got = sessionize(ev, stage=False)
+    p = got._jdf.queryExecution().executedPlan().toString()
+    # One exchange of the events, three of the minutes: by minute, by entity, and back to meet the events.
+    assert p.count("Exchange hashpartitioning(") <= 4
+    # Users without a client keep their sessions.
+    assert by_id(got, "session_key", "seq_no", "dt_ms") == brute(rows)
