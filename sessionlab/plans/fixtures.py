@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,17 +65,17 @@ def observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = No
         F.when(kind == "error", "ERROR").otherwise("DEFAULT").alias("level"),
         F.create_map(F.lit(C.META_CLIENT), F.when(k % 17 == 0, "").otherwise(_client()),
                      F.lit(C.META_ROUTE), route).alias("metadata"),
-        F.when(k == 13, 1).otherwise(0).alias("is_deleted"))
+        F.when(k == 13, 1).otherwise(0).alias("is_deleted"), k)
 
 
-def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base_events(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     ev = _events(spark, sf_dir)
-    return join_events(traces(spark, sf_dir, ev), observations(spark, sf_dir, ev), START, END)
+    return join_events(traces(spark, sf_dir, ev), observations(spark, sf_dir, ev), START, END, extra=extra)
 
 
-def one_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+def one_project(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """The base events without their project: most queries show sessions of one project, whose keys do not name it."""
-    return base_events(spark, sf_dir).drop("project_id")
+    return base_events(spark, sf_dir, extra).drop("project_id")
 
 
 def two_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,17 +85,27 @@ def two_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(other)
 
 
-_STAGED: dict[tuple[str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessionised events, written once per application: everything after sessionising reads this table."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def staged(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STAGED:
-        _STAGED[key] = materialize(sessionize(one_project(spark, sf_dir), GAP_MINUTES), "session-events")
+        _STAGED[key] = materialize(make(), name)
     return _STAGED[key]
 
 
+def numbered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session events with the number `k` of their row, from which signals are made."""
+    return staged(spark, sf_dir, "session-events", lambda: sessionize(one_project(spark, sf_dir, ("k",)), GAP_MINUTES))
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessionised events, written once per application: everything after sessionising reads this table."""
+    return numbered_events(spark, sf_dir).drop("k")
+
+
 def weekly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session events with `day` holding the Monday of the session's week: five comparable periods."""
     monday = F.date_format(F.date_trunc("week", "session_start"), "yyyy-MM-dd")

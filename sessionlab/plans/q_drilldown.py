@@ -260,10 +260,10 @@ sp AS (SELECT *, {PARSED} AS outcome FROM sg)"""
 
 
 def spec_events(spark, sf):
-    k = X.read(spark, sf, "events").select(F.col("event_id").cast("string").alias("observation_id"),
-                                           F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
-    ev = X.session_events(spark, sf).join(k, "observation_id")
-    return materialize(ev.withColumn("raw", signals(ev)).withColumn("outcome", C.parse_outcome(F.col("raw"))), "signals")
+    """Events with their signals, written once: rules, timelines and details read the same table."""
+    ev = X.numbered_events(spark, sf)
+    ev = ev.withColumn("raw", signals(ev)).withColumn("outcome", C.parse_outcome(F.col("raw")))
+    return X.staged(spark, sf, "signals", lambda: ev.select(*SESSION_KEYS, "seq_no", "event_time", "route_group", "token", "raw", "outcome"))
 
 
 @query("outcome_parse", f"WITH {SESSIONS}, {SIGNALS} SELECT raw, outcome, count(*) AS n FROM sp GROUP BY ALL")

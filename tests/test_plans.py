@@ -92,3 +92,10 @@ def test_tasks_of_large_exchanges_stay_small(spark):
     counts = spark.range(12_000_000).groupBy(F.xxhash64("id").alias("h")).agg(F.count("*").alias("c"))
     assert counts.rdd.getNumPartitions() > 4
     assert counts.count() == 12_000_000
+
+
+def test_signals_are_written_once_and_need_no_join(spark):
+    from sessionlab.plans import q_drilldown as Q
+    assert Q.spec_events(spark, SF) is Q.spec_events(spark, SF)
+    assert "k" not in X.session_events(spark, SF).columns and "k" in X.numbered_events(spark, SF).columns
+    assert "Join" not in plan(Q.spec_events(spark, SF))
