@@ -33,19 +33,22 @@ NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}[\p{L}'’-]*"
 MARK = "\u0001"
 
 
+def split_words(plain: Column) -> Column:
+    """The words of a text of single blanks; none of an empty one. The text is named once, so that the patterns that make it run once."""
+    return F.array_remove(F.split(plain, " "), "")
+
+
 def template(text: Column) -> Column:
     """The text's template words. Only texts that can hold a placeholder go through the patterns."""
     named = F.regexp_replace(text, NAME, f" {MARK}name ")
     numbered = F.regexp_replace(F.regexp_replace(named, NUMBER + UNIT, f" {MARK}num {MARK}unit "), NUMBER, f" {MARK}num ")
     marked = F.when(named.rlike("[0-9]"), numbered).otherwise(named)
-    plain = F.trim(F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return split_words(F.trim(F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{M}}\p{{N}}{MARK}]+", " ")))
 
 
 def plain_words(text: Column) -> Column:
     """The text's words without case and punctuation."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return split_words(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")))
 
 
 def slot_values(text: Column) -> Column:

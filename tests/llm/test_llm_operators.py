@@ -301,6 +301,15 @@ def test_verbatim_and_repeated_values(spark):
     assert got == {1: [7], 2: [], 3: [8], 4: [9], 5: [10], 6: [], 7: [7], 8: [7]}
 
 
+def test_patterns_are_named_once(spark):
+    """Spark does not share what stands in a condition with a branch: a text made by patterns is named once, or they run twice."""
+    from pyspark.sql import functions as F
+    plan = spark.sql("select 'a' as text").select(template_match.plain_words(F.col("text")).alias("p"), template_match.template(F.col("text")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(r"[^\p{L}\p{M}\p{N}]+") == 1 and plan.count("\\p{N}\u0001]+") == 1
+    words = spark.createDataFrame([("",), (" ,. ",), ("One, two",), (None,)], "text string").select(template_match.plain_words(F.col("text"))).collect()
+    assert [r[0] for r in words] == [[], [], ["one", "two"], None]
+
+
 def test_templates_use_no_python(spark):
     bench = spark.createDataFrame([(7, prose(20, 1))], "item_id long, text string")
     for df in (template_match.contamination(docs(spark, EDGE), bench), pseudonyms.pseudonymise(docs(spark, EDGE), "k")):
