@@ -34,7 +34,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import materialize, small_side
@@ -245,6 +245,11 @@ def probed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -
     return materialize(found.select("a", "b"), "links")
 
 
+def beside_copies(whole: DataFrame) -> DataFrame:
+    """Whole sets (id, found) in ranges of their first shingle: near copies mostly stand in one batch, and no group of copies in one task."""
+    return whole.repartitionByRange(F.col("found")[0], "id").sortWithinPartitions(F.col("found")[0], "id")
+
+
 def by_token(whole: DataFrame) -> DataFrame:
     """(token, ids) of whole sets (id, found), gathered within each batch: copies share their tokens, which then are few rows."""
     def run(batches):
@@ -280,12 +285,16 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
         """Classes that have not moved on, with their first lists."""
         return first_lists(sets.select("id", "n", "head").join(near_side(gone), "id", "left_anti"))
 
+    def shared(posts: DataFrame) -> DataFrame:
+        """Posts of lists that more than one class enters: each list's length is counted where its posts meet, so that they are exchanged once."""
+        return posts.withColumn("_c", F.count("*").over(Window.partitionBy("token"))).where("_c > 1").drop("_c")
+
     brief = first_lists(sets)
     counts = lengths(brief)
     long = new = materialize(counts.where(F.col("c") > LIMIT).select("token"), "long-lists")
     if long.isEmpty():
-        return brief.join(counts.select("token"), "token").withColumn("dense", F.lit(False)), None
-    whole = moved = grown = gone = None
+        return shared(brief).withColumn("dense", F.lit(False)), None
+    whole = entered = moved = grown = gone = None
     while True:
         # Only classes that meet a list which has newly become long go on.
         heads = sets.select("id", "n", "head")
@@ -300,11 +309,13 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
         went = materialize(went.select("id", "n", "lacks", F.when(~F.col("lacks"), F.col("taken")).alias("taken"), F.array_except("taken", F.slice("head", F.lit(1), room)).alias("fresh")), "moved-on")
         lacking = materialize(sets.join(small_side(went.where("lacks").select("id")), "id", "left_semi").select("id", "set_key", "rep", "n"), "lacking")
         more = materialize(full_sets(lacking, docs, like.words).join(lacking.select("id", "n"), "id"), "entered-whole")
-        fresh = went.where("not lacks").select(F.explode("fresh").alias("token")).groupBy("token").agg(F.count("*").alias("e")).unionByName(by_token(more).select("token", F.size("ids").cast("long").alias("e"))).groupBy("token").agg(F.sum("e").alias("e"))
+        lists = materialize(by_token(beside_copies(more)), "entered-lists")
+        fresh = went.where("not lacks").select(F.explode("fresh").alias("token")).groupBy("token").agg(F.count("*").alias("e")).unionByName(lists.select("token", F.size("ids").cast("long").alias("e"))).groupBy("token").agg(F.sum("e").alias("e"))
         grown = materialize(fresh if grown is None else grown.unionByName(fresh).groupBy("token").agg(F.sum("e").alias("e")), "list-growth")
         moved = went if moved is None else moved.join(went.select("id"), "id", "left_anti").unionByName(went)
         gone = moved.select("id")
         whole = more if whole is None else whole.unionByName(more)
+        entered = lists if entered is None else entered.unionByName(lists)
         # A list of one is not among the counts; a length may come out too high, which only makes the list a long one. Lists that
         # grow may do so to twice the limit, and a few of them beyond it, which ends the search for further ones sooner.
         size = F.col("e") + F.coalesce("c", F.lit(1))
@@ -315,7 +326,7 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
         new = new.select("token")
         long = materialize(long.unionByName(new), "long-lists")
     # Of classes that entered whole most lists are long: the few others are looked up, and the long ones are the rest.
-    few = by_token(whole).join(near_side(long), "token", "left_anti").select(F.explode("ids").alias("_id"), "token").groupBy("_id").agg(F.array_sort(F.collect_list("token")).alias("near"))
+    few = entered.join(near_side(long), "token", "left_anti").select(F.explode("ids").alias("_id"), "token").groupBy("_id").agg(F.array_sort(F.collect_list("token")).alias("near"))
     split = whole.join(few, F.col("id") == F.col("_id"), "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
     split = split.withColumns({"far": F.array_except("found", "near"), "s": F.size("near").cast("long")}).drop("_id", "found")
     split = materialize(split.withColumn("dense", F.col("s") < room), "split-lists")
@@ -323,9 +334,8 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
     light = moved.where("not lacks").select("id", "n", F.lit(False).alias("dense"), F.explode("taken").alias("token"))
     others = resting().withColumn("dense", F.lit(False))
     posts = reduce(DataFrame.unionByName, (others, light, near))
-    shared = lengths(posts).select("token")
     far = split.where("dense").select("id", "n", "s", F.explode(F.slice("far", F.lit(1), room - F.col("s").cast("int"))).alias("token"))
-    return posts.join(shared, "token"), materialize(far, "dense-posts")
+    return shared(posts), materialize(far, "dense-posts")
 
 
 class Dense:

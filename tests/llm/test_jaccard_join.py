@@ -121,3 +121,36 @@ def test_heads_never_part_linked_sets():
         assert J.common(x, y) == len(np.intersect1d(x, y)) and (agree or not linked)
         parted += not agree
     assert parted > 100
+
+
+def sets_and_docs(spark, rows):
+    docs = table(spark, rows).select("doc_id", "text")
+    made = J.materialize(J.sketches(docs, J.LIKENESS).withColumn("row", J.F.monotonically_increasing_id()), "sketches")
+    return J.materialize(J.sets_of(made, J.classes_of(made.where("n > 0")), J.LIKENESS), "sets"), docs
+
+
+def test_posts_meet_once(spark):
+    """Lengths of lists are counted where the posts meet: there is no second exchange of all posts, nor a join with it."""
+    posts, far = J.posted(*sets_and_docs(spark, collection(5, 6, 8)), J.LIKENESS)
+    assert far is None and "Join" not in posts._jdf.queryExecution().optimizedPlan().toString()
+    lists = collections.Counter(r.token for r in posts.collect())
+    assert lists and min(lists.values()) > 1
+
+
+def test_whole_sets_are_gathered_once(spark, monkeypatch):
+    """Classes that enter whole are spread over their shingles once, copies beside each other wherever they were read."""
+    monkeypatch.setattr(J, "LIMIT", 4)
+    seen, plain_by_token = [], J.by_token
+
+    def by_token(whole):
+        seen.extend(r.id for r in whole.select("id").collect())
+        return plain_by_token(whole)
+    monkeypatch.setattr(J, "by_token", by_token)
+    J.posted(*sets_and_docs(spark, collection(2, 12, 25)), J.LIKENESS)
+    assert seen and len(seen) == len(set(seen))
+
+    r = np.random.default_rng(8)
+    groups = [np.unique(r.integers(-2 ** 62, 2 ** 62, 50)).tolist() for _ in range(40)]
+    whole = spark.createDataFrame([(40 * k + g, groups[g]) for k in range(40) for g in range(40)], "id long, found array<long>").repartition(40, "id")
+    rows = plain_by_token(J.beside_copies(whole)).count()
+    assert rows <= 3 * 40 * 50 < plain_by_token(whole).count()
