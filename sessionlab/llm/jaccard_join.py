@@ -30,6 +30,7 @@ import heapq
 from bisect import bisect_left
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,9 @@ ROUNDS = 3
 SEED = 42
 PARITY_WORDS = 8
 BROADCAST_NUMBERS = 500_000
+BATCH_BITS = 8  # whole sets are gathered 256 at a time
+BUCKETS = 256  # parts in which their shingles are gathered, at least
+BUCKET_TOKENS = 1 << 20  # shingles of all sets that a part may hold
 FEW_PAIRS = 4_000_000  # places in lists that may be compared pair by pair; the bound leaves few of them
 
 
@@ -222,8 +226,8 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 def heads_agree(n: int, m: int, least: int, x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sets may share `least`, by their first shingles: in the range both show, they differ by no more than the whole sets may."""
     ends = [h[-1] for h, size in ((x, n), (y, m)) if len(h) < size]
-    if ends:
-        x, y = x[:np.searchsorted(x, min(ends), side="right")], y[:np.searchsorted(y, min(ends), side="right")]
+    if ends:  # short of the end itself: of numbers cut to their upper halves, others may be equal to it
+        x, y = x[:np.searchsorted(x, min(ends))], y[:np.searchsorted(y, min(ends))]
     return len(x) + len(y) - 2 * common(x, y) <= n + m - 2 * least
 
 
@@ -238,7 +242,9 @@ def probed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, like: Likeness) -
 
     def members(of: DataFrame) -> DataFrame:
         return materialize(of.select(F.col("a").alias("id")).unionByName(of.select(F.col("b").alias("id"))).distinct(), "members")
-    heads = sets.join(near_side(members(left)), "id", "left_semi").select("id", F.col("head").alias("found"))
+    # Upper halves keep the order, and what they hide can only make two sets look closer.
+    upper = F.transform("head", lambda x: F.shiftright(x, 32).cast("int"))
+    heads = sets.join(near_side(members(left)), "id", "left_semi").select("id", upper.alias("found"))
     left = materialize(paired(left, heads, heads_agree), "likely")
     wanted = materialize(sets.join(near_side(members(left)), "id", "left_semi").select("id", "set_key", "rep"), "wanted")
     found = paired(left, full_sets(wanted, docs, like.words), lambda n, m, least, x, y: common(x, y) >= least)
@@ -250,18 +256,82 @@ def beside_copies(whole: DataFrame) -> DataFrame:
     return whole.repartitionByRange(F.col("found")[0], "id").sortWithinPartitions(F.col("found")[0], "id")
 
 
+def dealt(sets: DataFrame) -> DataFrame:
+    """(batch, bucket, tokens, counts): the shingles of sets (batch, buckets, found) with the sets they stand in, gathered within each batch.
+
+    A row holds what a batch has in one of the `buckets`, not a single shingle: shingles that stand in one set only would each be a row.
+    """
+    def run(batches):
+        for rows in batches:
+            found = rows.column(2).combine_chunks() if isinstance(rows.column(2), pa.ChunkedArray) else rows.column(2)
+            flat, of = found.flatten().to_numpy(zero_copy_only=False), np.repeat(rows.column(0).to_numpy(zero_copy_only=False), found.value_lengths().to_numpy(zero_copy_only=False))
+            buckets = rows.column(1)[0].as_py() if len(rows) else 1
+            for batch in np.unique(of):
+                tokens, counts = np.unique(flat[of == batch], return_counts=True)
+                bucket = np.mod(tokens, buckets)
+                order = np.argsort(bucket, kind="stable")
+                names, first = np.unique(bucket[order], return_index=True)
+                ends = pa.array(np.r_[first, len(tokens)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), batch)), pa.array(names), *(pa.ListArray.from_arrays(ends, pa.array(x[order].astype(np.int64))) for x in (tokens, counts))],
+                                                 names=["batch", "bucket", "tokens", "counts"])
+    return small_batches(sets).select(F.col("batch").cast("long"), F.col("buckets").cast("long"), "found").mapInArrow(run, "batch long, bucket long, tokens array<long>, counts array<long>")
+
+
 def by_token(whole: DataFrame) -> DataFrame:
-    """(token, ids) of whole sets (id, found), gathered within each batch: copies share their tokens, which then are few rows."""
+    """`dealt` of whole sets (id, found and, where they have them, batch and buckets): copies share their shingles, which then are few."""
+    plain = {c: F.lit(v) for c, v in (("batch", 0), ("buckets", BUCKETS)) if c not in whole.columns}
+    return dealt(whole.withColumns(plain))
+
+
+def frequent(lists: DataFrame, least: int) -> DataFrame:
+    """(token, e) of the shingles of `lists` (`dealt`) that stand in more than `least` sets; a group is one bucket."""
+    def summed(rows: pa.Table) -> pa.Table:
+        flat, counts = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("tokens", "counts"))
+        tokens, back = np.unique(flat, return_inverse=True)
+        e = np.bincount(back, weights=counts, minlength=len(tokens)).astype(np.int64)
+        return pa.table({"token": tokens[e > least], "e": e[e > least]})
+    return lists.select("bucket", "tokens", "counts").groupBy("bucket").applyInArrow(summed, "token long, e long")
+
+
+def apart(whole: DataFrame, lists: DataFrame, long: DataFrame, buckets: int) -> DataFrame:
+    """(id, n, near, far) of whole sets (id, n, batch, found): near, the shingles whose lists are not `long` (token), and far, the others.
+
+    The long ones among the shingles of each batch are found by bucket; then each batch's sets meet them. No shingle is a row of its own.
+    """
+    def held(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        known = theirs.column("token").to_numpy()
+        lists = [x.values.to_numpy() for x in mine.column("tokens")]
+        lists = [x[np.isin(x, known)] for x in lists]
+        met = [i for i, x in enumerate(lists) if len(x)]
+        return pa.table({"batch": mine.column("batch").take(pa.array(met, type=pa.int64())), "tokens": pa.array([lists[i] for i in met], type=pa.list_(pa.int64()))})
+    by_bucket = long.select("token", F.pmod("token", F.lit(buckets).cast("long")).alias("bucket")).groupBy("bucket")
+    here = lists.select("batch", "bucket", "tokens").groupBy("bucket").cogroup(by_bucket).applyInArrow(held, "batch long, tokens array<long>")
+
+    def cut(sets: pa.Table, theirs: pa.Table) -> pa.Table:
+        known = np.unique(theirs.column("tokens").combine_chunks().flatten().to_numpy(zero_copy_only=False))
+        found = [x.values.to_numpy() for x in sets.column("found")]
+        far = [np.isin(x, known) for x in found]
+        kind = pa.list_(pa.int64())
+        return pa.table({"id": sets.column("id"), "n": sets.column("n"), "near": pa.array([x[~f] for x, f in zip(found, far)], type=kind), "far": pa.array([x[f] for x, f in zip(found, far)], type=kind)})
+    sets = whole.select("id", "n", "batch", "found").groupBy("batch")
+    return sets.cogroup(here.groupBy("batch")).applyInArrow(cut, "id long, n long, near array<long>, far array<long>")
+
+
+def marked(heads: DataFrame, known: np.ndarray) -> DataFrame:
+    """Of `heads` (id, n, head) those that meet one of the sorted numbers `known`: near, the other numbers of the head, and far, these."""
     def run(batches):
         for batch in batches:
-            found = batch.column(1).combine_chunks() if isinstance(batch.column(1), pa.ChunkedArray) else batch.column(1)
-            tokens = found.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), found.value_lengths().to_numpy(zero_copy_only=False))
-            order = np.argsort(tokens, kind="stable")
-            first = np.flatnonzero(np.diff(tokens[order], prepend=tokens[order][:1] - 1)) if len(tokens) else np.zeros(0, dtype=np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[first, len(tokens)].astype(np.int32)), pa.array(owner[order]))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[order][first]), ids], names=["token", "ids"])
-    return small_batches(whole).select("id", "found").mapInArrow(run, "token long, ids array<long>")
+            head = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
+            flat, of = head.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(batch)), head.value_lengths().to_numpy(zero_copy_only=False))
+            hit = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat
+            met = np.bincount(of[hit], minlength=len(batch)) > 0
+            parts = []
+            for part in (~hit & met[of], hit):
+                ends = np.cumsum(np.bincount(of[part], minlength=len(batch))[met])
+                parts.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat[part])))
+            kept = batch.filter(pa.array(met))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:2], kept.column(2), *parts], names=["id", "n", "head", "near", "far"])
+    return small_batches(heads).select("id", "n", "head").mapInArrow(run, "id long, n long, head array<long>, near array<long>, far array<long>")
 
 
 def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame | None]:
@@ -271,12 +341,13 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
     def lengths(posts: DataFrame) -> DataFrame:
         return materialize(posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "list-lengths")
 
-    def cleared(heads: DataFrame, col: str) -> DataFrame:
-        """Of the classes that meet a long list in `col`: near, the other lists there, and far, the long ones."""
-        hits = heads.select("id", F.explode(col).alias("token")).join(near_side(long), "token", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("far"))
-        hits = materialize(hits, "long-hits")
-        held = hits.agg(F.sum(F.size("far") + 2)).first()[0] or 0
-        return heads.join(F.broadcast(hits) if 4 * held <= BROADCAST_NUMBERS else hits, "id").withColumn("near", F.array_except(col, "far"))
+    def cleared(heads: DataFrame) -> DataFrame:
+        """Of the classes (id, n, head) that meet a long list in their heads: near, the other lists there, and far, the long ones."""
+        known = long.select("token").limit(BROADCAST_NUMBERS + 1).toArrow().column(0).to_numpy()
+        if len(known) <= BROADCAST_NUMBERS:  # they go to the heads, which then are not exchanged
+            return marked(heads, np.sort(known))
+        hits = heads.select("id", F.explode("head").alias("token")).join(long, "token", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("far"))
+        return heads.join(materialize(hits, "long-hits"), "id").withColumn("near", F.array_except("head", "far"))
 
     def first_lists(of: DataFrame) -> DataFrame:
         return of.select("id", "n", F.explode(F.slice("head", F.lit(1), room)).alias("token"))
@@ -294,8 +365,9 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
     long = new = materialize(counts.where(F.col("c") > LIMIT).select("token"), "long-lists")
     if long.isEmpty():
         return shared(brief).withColumn("dense", F.lit(False)), None
-    whole = entered = moved = grown = gone = None
-    while True:
+    whole = entered = moved = gone = None
+    buckets = max(BUCKETS, -(-(sets.agg(F.sum("n")).first()[0] or 0) // BUCKET_TOKENS))
+    for turn in count():
         # Only classes that meet a list which has newly become long go on.
         heads = sets.select("id", "n", "head")
         if moved is not None:
@@ -305,30 +377,30 @@ def posted(sets: DataFrame, docs: DataFrame, like: Likeness) -> tuple[DataFrame,
                 break
             heads = heads.join(near_side(met), "id", "left_semi")
         # Where most of the first lists are long, the others will be too: such classes enter whole at once.
-        went = cleared(heads, "head").withColumns({"lacks": (F.size("near") < room) | (2 * F.size("far") > room), "taken": F.slice("near", F.lit(1), room)})
+        went = cleared(heads).withColumns({"lacks": (F.size("near") < room) | (2 * F.size("far") > room), "taken": F.slice("near", F.lit(1), room)})
         went = materialize(went.select("id", "n", "lacks", F.when(~F.col("lacks"), F.col("taken")).alias("taken"), F.array_except("taken", F.slice("head", F.lit(1), room)).alias("fresh")), "moved-on")
         lacking = materialize(sets.join(small_side(went.where("lacks").select("id")), "id", "left_semi").select("id", "set_key", "rep", "n"), "lacking")
-        more = materialize(full_sets(lacking, docs, like.words).join(lacking.select("id", "n"), "id"), "entered-whole")
-        lists = materialize(by_token(beside_copies(more)), "entered-lists")
-        fresh = went.where("not lacks").select(F.explode("fresh").alias("token")).groupBy("token").agg(F.count("*").alias("e")).unionByName(lists.select("token", F.size("ids").cast("long").alias("e"))).groupBy("token").agg(F.sum("e").alias("e"))
-        grown = materialize(fresh if grown is None else grown.unionByName(fresh).groupBy("token").agg(F.sum("e").alias("e")), "list-growth")
+        more = beside_copies(full_sets(lacking, docs, like.words).withColumn("n", F.size("found").cast("long")))
+        numbered = F.shiftright(F.monotonically_increasing_id(), BATCH_BITS) + F.lit(min(turn, 127) << 56)
+        more = materialize(more.withColumns({"batch": numbered, "buckets": F.lit(buckets)}), "entered-whole")
+        fresh = dealt(went.where("not lacks").select(F.lit(-1).alias("batch"), F.lit(buckets).alias("buckets"), F.col("fresh").alias("found")))
+        lists = materialize(by_token(more).unionByName(fresh), "entered-lists")
         moved = went if moved is None else moved.join(went.select("id"), "id", "left_anti").unionByName(went)
         gone = moved.select("id")
         whole = more if whole is None else whole.unionByName(more)
         entered = lists if entered is None else entered.unionByName(lists)
         # A list of one is not among the counts; a length may come out too high, which only makes the list a long one. Lists that
         # grow may do so to twice the limit, and a few of them beyond it, which ends the search for further ones sooner.
+        grown = materialize(frequent(entered, LIMIT), "list-growth")
         size = F.col("e") + F.coalesce("c", F.lit(1))
-        over = grown.where(F.col("e") > LIMIT).join(counts, "token", "left").where(size > 2 * LIMIT).select("token", size.alias("size"))
+        met = counts.join(near_side(grown.select("token")), "token", "left_semi")
+        over = grown.join(met, "token", "left").where(size > 2 * LIMIT).select("token", size.alias("size"))
         new = materialize(over.join(long, "token", "left_anti"), "long-lists")
         if (new.agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0) <= FEW_PAIRS:
             break
         new = new.select("token")
         long = materialize(long.unionByName(new), "long-lists")
-    # Of classes that entered whole most lists are long: the few others are looked up, and the long ones are the rest.
-    few = entered.join(near_side(long), "token", "left_anti").select(F.explode("ids").alias("_id"), "token").groupBy("_id").agg(F.array_sort(F.collect_list("token")).alias("near"))
-    split = whole.join(few, F.col("id") == F.col("_id"), "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
-    split = split.withColumns({"far": F.array_except("found", "near"), "s": F.size("near").cast("long")}).drop("_id", "found")
+    split = apart(whole, entered.where("batch >= 0"), long, buckets).withColumn("s", F.size("near").cast("long"))
     split = materialize(split.withColumn("dense", F.col("s") < room), "split-lists")
     near = split.select("id", "n", "dense", F.explode(F.slice("near", F.lit(1), room)).alias("token"))
     light = moved.where("not lacks").select("id", "n", F.lit(False).alias("dense"), F.explode("taken").alias("token"))

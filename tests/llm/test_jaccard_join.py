@@ -154,3 +154,59 @@ def test_whole_sets_are_gathered_once(spark, monkeypatch):
     whole = spark.createDataFrame([(40 * k + g, groups[g]) for k in range(40) for g in range(40)], "id long, found array<long>").repartition(40, "id")
     rows = plain_by_token(J.beside_copies(whole)).count()
     assert rows <= 3 * 40 * 50 < plain_by_token(whole).count()
+
+
+def test_shingles_of_whole_sets_are_no_rows_of_their_own(spark):
+    """Sets without common shingles are as many rows as there are parts, and their counts are exact."""
+    r = np.random.default_rng(9)
+    sets = [np.unique(r.integers(-2 ** 62, 2 ** 62, 300)).tolist() for _ in range(300)]
+    shared = sets[0][:20]
+    whole = spark.createDataFrame([(k, sorted({*s, *shared})) for k, s in enumerate(sets)], "id long, found array<long>").repartition(4, "id")
+    lists = J.by_token(whole)
+    assert lists.count() <= 4 * J.BUCKETS
+    assert {tuple(x) for x in J.frequent(lists, 5).collect()} == {(t, 300) for t in shared}
+    made = whole.withColumns({"n": J.F.size("found").cast("long"), "batch": J.F.col("id") % 7})
+    long = spark.createDataFrame([(t,) for t in [*shared[:9], *sets[5][30:60], 12345]], "token long")
+    found = {x.id: x for x in J.apart(made, J.by_token(made), long, J.BUCKETS).collect()}
+    known = {*shared[:9], *sets[5][30:60]}
+    assert len(found) == 300
+    for k, s in enumerate(sets):
+        every = {*s, *shared}
+        assert found[k].far == sorted(every & known) and found[k].near == sorted(every - known) and found[k].n == len(every)
+
+
+@pytest.mark.parametrize("few", [500_000, 3])
+def test_heads_stay_where_they_are(spark, monkeypatch, few):
+    """Classes find their long lists without a join of their heads, unless the long lists are very many; the posts are the same."""
+    monkeypatch.setattr(J, "LIMIT", 4)
+    monkeypatch.setattr(J, "BROADCAST_NUMBERS", few)
+    plans, plain = [], J.materialize
+
+    def materialize(df, name="stage"):
+        if name == "moved-on":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, name)
+    args = sets_and_docs(spark, collection(2, 12, 25))
+    monkeypatch.setattr(J, "materialize", materialize)
+    posts, far = J.posted(*args, J.LIKENESS)
+    assert plans and all(("Join Inner" in p) == (few == 3) for p in plans)
+    lists = collections.Counter(r.token for r in posts.collect())
+    assert lists and min(lists.values()) > 1 and far is not None
+
+
+def test_halved_heads_never_part_linked_sets():
+    """Numbers with equal upper halves stand on both sides of a head's end."""
+    like = J.LIKENESS
+    x = np.r_[np.arange(40) * 2 ** 32, 40 * 2 ** 32 + np.arange(200)].astype(np.int64)
+    y = np.r_[x, 2 ** 61]
+    least = -(-like.part * (len(x) + len(y)) // (like.part + like.whole))
+    heads = [J.sketch(s, like)[2] >> 32 for s in (x[x != 40 * 2 ** 32 + 1], y)]
+    for cut in range(41, 78):
+        assert J.heads_agree(len(x) - 1, len(y), least, heads[0][:cut], heads[1])
+    r = np.random.default_rng(11)
+    for _ in range(300):
+        base = np.unique(r.integers(0, 2 ** 34, 200))
+        a, b = (np.unique(np.r_[base[r.random(len(base)) > r.random() * 0.15], r.integers(0, 2 ** 34, r.integers(0, 20))]) for _ in range(2))
+        need = -(-like.part * (len(a) + len(b)) // (like.part + like.whole))
+        if len(np.intersect1d(a, b)) >= need:
+            assert J.heads_agree(len(a), len(b), need, *((J.sketch(s, like)[2] >> 32).astype(np.int32) for s in (a, b)))
