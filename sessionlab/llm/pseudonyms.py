@@ -13,10 +13,12 @@ rows; an empty table gives an empty result; columns other than id and text are n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 10
+ROUNDS = 10  # even, so that both halves end in their places
 
 # The formats looked for, in this order where two begin at one place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
@@ -53,6 +55,11 @@ HIDDEN = "".join(chr(0xE000 + i) for i in range(36))
 SHOWN = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that it uses more than once: written out, the value would stand in the plan, and be computed, each time."""
+    return F.transform(F.array(value), body)[0]
+
+
 def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -75,30 +82,28 @@ def keystream(key: str, kind: str, turn: Column, other: Column, i: Column) -> Co
 def shifted(half: Column, other: Column, key: str, kind: str, turn: Column) -> Column:
     """Every digit, small and capital letter (A-Z) of `half` moved on within its own class."""
     def move(c, i):
-        code, by = F.ascii(c), keystream(key, kind, turn, other, i)
-
-        def within(first, size):
-            return F.chr(F.lit(first) + (code - first + by) % size)
-        return F.when(c.between("0", "9"), within(48, 10)).when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26)).otherwise(c)
+        first = F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
+        size = F.when(first == 48, 10).otherwise(26)
+        return F.when(first.isNotNull(), F.chr(first + (F.ascii(c) - first + keystream(key, kind, turn, other, i)) % size)).otherwise(c)
     return F.array_join(F.transform(letters(half), move), "")
 
 
 def feistel(core: Column, key: str, kind: str) -> Column:
     """The two halves of `core` shifted in turn, each by a keyed hash of the other: a permutation of strings of its shape."""
-    cut = F.floor(F.length(core) / 2).cast("int")
-    start = F.struct(F.substring(core, F.lit(1), cut).alias("a"), F.substring(core, cut + 1, F.length(core)).alias("b"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, t: F.struct(
-        F.when(t % 2 == 1, shifted(s["a"], s["b"], key, kind, t)).otherwise(s["a"]).alias("a"),
-        F.when(t % 2 == 0, shifted(s["b"], s["a"], key, kind, t)).otherwise(s["b"]).alias("b")))
-    return F.concat(end["a"], end["b"])
+    def halves(s):
+        cut = F.floor(F.length(s) / 2).cast("int")
+        return F.struct(F.substring(s, F.lit(1), cut).alias("a"), F.substring(s, cut + 1, F.length(s)).alias("b"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), named(core, halves), lambda s, t: F.struct(
+        s["b"].alias("a"), shifted(s["a"], s["b"], key, kind, t).alias("b")))
+    return named(end, lambda e: F.concat(e["a"], e["b"]))
 
 
 def feistel_number(x: Column, half: int, key: str, kind: str) -> Column:
     """A permutation of 0 to half*half - 1."""
-    start = F.struct(F.floor(x / half).cast("long").alias("a"), (x % half).cast("long").alias("b"))
+    start = named(x, lambda v: F.struct(F.floor(v / half).cast("long").alias("a"), (v % half).cast("long").alias("b")))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, t: F.struct(
         s["b"].alias("a"), ((s["a"] + keystream(key, kind, t, s["b"].cast("string"), F.lit(0)) % half) % half).alias("b")))
-    return end["a"] * half + end["b"]
+    return named(end, lambda e: e["a"] * half + e["b"])
 
 
 def refilled(shape: Column, chars: Column, what: str) -> Column:
@@ -124,32 +129,32 @@ def mod97(s: Column) -> Column:
 def card(m: Column, key: str) -> tuple[Column, Column]:
     d = digits(m)
     core = F.concat(part(d, F.lit(1), F.lit(1)), feistel(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
-    return luhn(d, 1) % 10 == 0, refilled(m, F.concat(core, ((10 - luhn(core, 2) % 10) % 10).cast("string")), "[0-9]")
+    whole = named(core, lambda c: F.concat(c, ((10 - luhn(c, 2) % 10) % 10).cast("string")))
+    return luhn(d, 1) % 10 == 0, refilled(m, whole, "[0-9]")
 
 
 def iban(m: Column, key: str) -> tuple[Column, Column]:
     s = F.replace(m, F.lit(" "), F.lit(""))
     country, rest = F.substring(s, 1, 2), part(s, F.lit(5))
-    fresh = feistel(rest, key, "iban")
-    check = F.lpad((98 - mod97(F.concat(fresh, country, F.lit("00")))).cast("string"), 2, "0")
-    return mod97(F.concat(rest, F.substring(s, 1, 4))) == 1, refilled(m, F.concat(country, check, fresh), "[0-9A-Z]")
+    check = lambda fresh: F.lpad((98 - mod97(F.concat(fresh, country, F.lit("00")))).cast("string"), 2, "0")
+    whole = named(feistel(rest, key, "iban"), lambda fresh: F.concat(country, check(fresh), fresh))
+    return mod97(F.concat(rest, F.substring(s, 1, 4))) == 1, refilled(m, whole, "[0-9A-Z]")
 
 
 def ip(m: Column, key: str) -> tuple[Column, Column]:
     o = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    n = feistel_number(((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3], 65536, key, "ip")
-    out = F.concat_ws(".", *(F.floor(n / 256 ** k).cast("long") % 256 for k in (3, 2, 1, 0)))
+    fresh = feistel_number(((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3], 65536, key, "ip")
+    out = named(fresh, lambda n: F.concat_ws(".", *(F.floor(n / 256 ** k).cast("long") % 256 for k in (3, 2, 1, 0))))
     return F.forall(o, lambda x: x < 256), out
 
 
 def date(m: Column, key: str) -> tuple[Column, Column]:
-    shape = F.when(m.contains("-"), "yyyy-MM-dd").when(m.contains("/"), "yyyy/MM/dd").otherwise("dd.MM.yyyy")
     iso = F.when(m.contains("."), F.concat_ws("-", part(m, F.lit(7), F.lit(4)), part(m, F.lit(4), F.lit(2)), part(m, F.lit(1), F.lit(2)))).otherwise(F.replace(m, F.lit("/"), F.lit("-")))
     day = F.try_to_date(iso, "yyyy-MM-dd")
     n = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
     x = F.pmod(n, F.lit(16384))
     fresh = F.date_add(F.lit("1900-01-01").cast("date"), (n - x + feistel_number(x, 128, key, "date")).cast("int"))
-    text = F.when(shape == "dd.MM.yyyy", F.date_format(fresh, "dd.MM.yyyy")).when(shape == "yyyy/MM/dd", F.date_format(fresh, "yyyy/MM/dd")).otherwise(F.date_format(fresh, "yyyy-MM-dd"))
+    text = named(fresh, lambda x: F.when(m.contains("-"), F.date_format(x, "yyyy-MM-dd")).when(m.contains("/"), F.date_format(x, "yyyy/MM/dd")).otherwise(F.date_format(x, "dd.MM.yyyy")))
     return F.coalesce(F.year(day).between(1000, 9899), F.lit(False)), text
 
 
@@ -166,8 +171,8 @@ def phone(m: Column, key: str) -> tuple[Column, Column]:
     north = (n == 10) & ~m.startswith("+") | (n == 11) & d.startswith("1")
     at = n - 9  # place of the area's first digit
     core = F.when(north, F.concat(F.substring(d, at + 1, F.lit(2)), F.substring(d, at + 4, F.lit(6)))).otherwise(part(d, F.lit(4)))
-    fresh = feistel(core, key, "phone")
-    out = F.when(north, F.concat(F.substring(d, F.lit(1), at), F.substring(fresh, 1, 2), F.substring(d, at + 3, F.lit(1)), F.substring(fresh, 3, 6))).otherwise(F.concat(F.substring(d, 1, 3), fresh))
+    out = named(feistel(core, key, "phone"), lambda fresh: F.when(north, F.concat(
+        F.substring(d, F.lit(1), at), F.substring(fresh, 1, 2), F.substring(d, at + 3, F.lit(1)), F.substring(fresh, 3, 6))).otherwise(F.concat(F.substring(d, 1, 3), fresh)))
     return n.between(8, 15), refilled(m, out, "[0-9]")
 
 
@@ -186,8 +191,8 @@ def password(m: Column, key: str) -> tuple[Column, Column]:
     return F.lit(True), F.concat(name, feistel(part(m, F.length(name) + 1), key, "password"))
 
 
-def in_run(m: Column, key: str) -> tuple[Column, Column]:
-    """A run of groups with the cards and IBANs in it replaced, and their number. What is replaced is hidden from later readings."""
+def in_run(m: Column, key: str) -> Column:
+    """A run of groups with the cards and IBANs in it replaced (s), and their number (n). What is replaced is hidden from later readings."""
     def readings(patterns):
         return F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, patterns)), lambda p: F.regexp_extract_all(m, p, F.lit(1)))))
 
@@ -201,7 +206,7 @@ def in_run(m: Column, key: str) -> tuple[Column, Column]:
     start = F.struct(m.alias("s"), F.lit(0).alias("n"))
     ibans = F.when(m.rlike("^[A-Z]"), F.aggregate(readings(IBAN_READINGS), start, put(iban))).otherwise(start)
     end = F.aggregate(readings(CARD_READINGS), ibans, put(card))
-    return F.translate(end["s"], HIDDEN, SHOWN), end["n"]
+    return named(end, lambda e: F.struct(F.translate(e["s"], HIDDEN, SHOWN).alias("s"), e["n"].alias("n")))
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -209,17 +214,14 @@ def pseudonym(m: Column, key: str) -> Column:
     def when_ok(found):
         return F.when(found[0], F.struct(found[1].alias("s"), F.lit(1).alias("n"))).otherwise(F.struct(m.alias("s"), F.lit(0).alias("n")))
 
-    def run(m, key):
-        s, n = in_run(m, key)
-        return F.struct(s.alias("s"), n.alias("n"))
-    kinds = ((m.rlike(f"^(?:{PASSWORD})$"), password), (m.contains("@"), email), (m.rlike("^A[KS]IA[0-9A-Z]{16}$"), access_key), (m.rlike("^[A-Z]{2}"), None),
+    kinds = ((m.rlike(f"^(?:{PASSWORD})$"), password), (m.contains("@"), email), (m.rlike("^A[KS]IA[0-9A-Z]{16}$"), access_key),
              (m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), ip), (m.rlike(r"^(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})$"), date),
              (m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ssn), (m.rlike(r"^[+(]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), phone))
     out = None
     for test, fn in kinds:
-        fresh = run(m, key) if fn is None else when_ok(fn(m, key))
+        fresh = when_ok(fn(m, key))
         out = F.when(test, fresh) if out is None else out.when(test, fresh)
-    return out.otherwise(run(m, key))
+    return out.otherwise(in_run(m, key))  # what begins with two capitals, or with a digit and is nothing else
 
 
 def with_pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:

@@ -173,6 +173,12 @@ def test_pseudonyms(spark):
     assert got[3].text == f"again {m[2]} and {m[1].replace(' ', '-')}"
 
 
+def test_pseudonyms_write_each_value_once(spark):
+    # Written out wherever they are used, the networks stood in the plan 290 times, in 250,000 characters that the driver held.
+    plan = pseudonyms.pseudonymise(docs(spark, [(1, "a", "s")]), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") < 20 and len(plan) < 60_000
+
+
 def test_phone_numbers_by_length_and_punctuation(spark):
     numbers = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (489) 055-1352", "(017) 555-7713", "117-155-7713"]
     got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs(spark, [(i, f"Call {n} now", "s") for i, n in enumerate(numbers)]), "k").collect()}
