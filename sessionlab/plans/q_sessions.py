@@ -175,9 +175,8 @@ def client_filter(spark, sf):
 @query("spec_route", f"""WITH {RAW} SELECT observation_id, CASE WHEN k % 5 = 0 THEN 'UNKNOWN_ROUTE' WHEN coalesce(route, '') <> '' THEN route ELSE obs_name END AS route FROM (
   SELECT observation_id, CASE WHEN k % 5 <> 0 THEN route END AS route, obs_name, k FROM named)""")
 def spec_route(spark, sf):
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    ids = X.read(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), k.alias("k"))
-    o = X.observations(spark, sf).join(ids, "id")
+    t = F.col("created_at")
+    o = X.observations(spark, sf).where((t >= F.lit(X.START).cast("timestamp")) & (t < F.lit(X.END).cast("timestamp")))
     gone = F.col("k") % 5 == 0
     return o.select(F.col("id").alias("observation_id"), C.route_or_name(
         F.when(gone, "  ").otherwise(F.col("metadata")[C.META_ROUTE]), F.when(gone, "").otherwise(F.col("name"))).alias("route"))

@@ -99,3 +99,30 @@ def test_signals_are_written_once_and_need_no_join(spark):
     assert Q.spec_events(spark, SF) is Q.spec_events(spark, SF)
     assert "k" not in X.session_events(spark, SF).columns and "k" in X.numbered_events(spark, SF).columns
     assert "Join" not in plan(Q.spec_events(spark, SF))
+
+
+def test_spec_route_equals_its_sql(spark, tmp_path):
+    """One row per event of the range, also where ids repeat or are missing, on plain and on odd rows."""
+    import duckdb
+    from oracle_check import compare, connect
+    import __spark_entry__ as entry
+    run, sql = entry.queries()["spec_route"], entry.oracle_sql()["spec_route"]
+    assert compare(run(spark, SF), connect(SF).execute(sql).df()) is None
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    rows = [(1, "2024-01-01 00:00:00", 0, "view", 50.0, '{"k": 5}'), (2, "2024-01-02", 1, "view", 50.0, '{"k": 1}'),
+            (2, "2024-01-02", 1, "view", 50.0, '{"k": 1}'), (2, "2024-01-03", 1, "view", 2.0, '{"k": 27}'),
+            (3, "2024-01-04", 2, "click", 70.0, '{"k": 41}'), (4, "2024-01-05", 2, "view", 50.0, '{"k": 13}'),
+            (None, "2024-01-06", 3, "error", 50.0, '{"k": 2}'), (5, "2024-01-07", None, None, None, None),
+            (6, "2024-01-31 23:59:59.999999", 3, "error", 50.0, '{"k": 12}'), (7, "2024-02-01", 3, "view", 50.0, '{"k": 1}'),
+            (8, "2023-12-31", 3, "view", 50.0, '{"k": 1}'), (9, None, 3, "view", 50.0, '{"k": 1}')]
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?, ?)", rows)
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    out = run(spark, str(tmp_path))
+    assert compare(out, con.execute(sql).df()) is None
+    assert sorted(((r["observation_id"], r["route"]) for r in out.collect()), key=str) == sorted([
+        ("1", "UNKNOWN_ROUTE"), ("2", "/v1/chat/completions"), ("2", "/v1/chat/completions"), ("2", "litellm-bad_request_error"),
+        ("3", "litellm-rate_limit_exceed"), ("4", "litellm-acompletion"), (None, "/responses"), ("5", "litellm-acompletion"),
+        ("6", "/foo")], key=str)
+    assert "Join" not in plan(out)
